@@ -21,42 +21,44 @@ class RankQueue:
     """The set of ranks with waiting pairs as a three-level bitmap; a bucket per rank holds list positions.
 
     The next rank is found by find-first-set from the top word down. A bucket is a heap, so positions of
-    one rank come out from left to right even if a merge adds one later.
+    one rank come out from left to right even if a merge adds one later. ``pop`` leaves the queue empty
+    in the end, so one queue serves all pre-tokens.
     """
 
+    __slots__ = ("low", "mid", "top", "buckets")
+
     def __init__(self, ranks: int):
         self.low, self.mid, self.top = [0] * ((ranks >> 6) + 1), [0] * ((ranks >> 12) + 1), 0
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
+        buckets = self.buckets
+        if rank in buckets:
+            heappush(buckets[rank], position)
+        else:
+            buckets[rank] = [position]
             self.low[rank >> 6] |= 1 << (rank & 63)
             self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
             self.top |= 1 << (rank >> 12)
-        else:
-            heappush(bucket, position)
 
     def pop(self) -> tuple[int, int]:
-        """The lowest rank and its leftmost position; (-1, -1) once empty."""
-        if not self.top:
-            return -1, -1
-        a = (self.top & -self.top).bit_length() - 1
-        word = self.mid[a]
+        """The lowest rank and its leftmost position; the queue must not be empty."""
+        top, mid, low = self.top, self.mid, self.low
+        a = (top & -top).bit_length() - 1
+        word = mid[a]
         b = a << 6 | (word & -word).bit_length() - 1
-        word = self.low[b]
-        rank = b << 6 | (word & -word).bit_length() - 1
+        bits = low[b]
+        rank = b << 6 | (bits & -bits).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] &= word - 1
-            if not self.low[b]:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top &= self.top - 1
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        low[b] = bits = bits & (bits - 1)
+        if not bits:
+            mid[a] = word = word & (word - 1)
+            if not word:
+                self.top = top & (top - 1)
+        return rank, bucket[0]
 
 
 @dataclass
@@ -64,7 +66,7 @@ class Tokenizer:
     ranks: dict[bytes, int]
     pattern: str
     #: Pre-tokens remembered, and the longest of them in characters; both bound the cache's memory.
-    remembered: int = 400_000
+    remembered: int = 1_000_000
     longest: int = 64
     _cache: dict[str, bytes] = field(default_factory=dict)
 
@@ -80,31 +82,33 @@ class Tokenizer:
         if piece in ranks:
             return [ranks[piece]]
         queue, get = self._queue, ranks.get
+        push, pop = queue.push, queue.pop
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # the linked list of tokens by start
-        due = [-1] * n  # rank of the pair that starts here; a queue entry of another rank is stale
-        for i in range(n - 1):
-            if (r := get(piece[i : i + 2])) is not None:
-                due[i] = r
-                queue.push(r, i)
-        while True:
-            rank, i = queue.pop()
-            if rank < 0:
-                break
+        after.append(n)
+        # rank of the pair that starts at a position; a queue entry of another rank is stale
+        due = [get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1, -1]
+        for i, r in enumerate(due):
+            if r >= 0:
+                push(r, i)
+        while queue.top:
+            rank, i = pop()
             if due[i] != rank:
                 continue
             j = after[i]
             k = after[i] = after[j]
-            due[j] = due[i] = -1
+            due[j] = -1
             if k < n:
                 before[k] = i
-                if (r := get(piece[i : after[k]])) is not None:
-                    due[i] = r
-                    queue.push(r, i)
-            if (h := before[i]) >= 0:
-                r = get(piece[h:k])
-                due[h] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, h)
+                due[i] = r = get(piece[i : after[k]], -1)
+                if r >= 0:
+                    push(r, i)
+            else:
+                due[i] = -1
+            h = before[i]
+            if h >= 0:
+                due[h] = r = get(piece[h:k], -1)
+                if r >= 0:
+                    push(r, h)
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : after[i]]])
