@@ -179,7 +179,8 @@ def links(fingerprints: DataFrame) -> DataFrame:
         keyed = rows.select("id", "fp", F.explode(each[F.col("mask")]).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp", "id")
         counts, _ = materialise(keyed.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
         shared, _ = materialise(keyed.join(counts, ["mask", "value"]), "simhash-shared")
-        few = shared.where(F.col("n") <= BUCKET).select("mask", "value", "fp", "id").repartition("mask", "value").sortWithinPartitions("mask", "value", "id")
+        # the last level holds 256 values a key at most, and all of its keys are compared
+        few = (shared.where(F.col("n") <= BUCKET) if level < 2 else shared).select("mask", "value", "fp", "id").repartition("mask", "value").sortWithinPartitions("mask", "value", "id")
         part = few.mapInArrow(_compare, LINK)
         found = part if found is None else found.unionAll(part)
         rows = shared.where(F.col("n") > BUCKET).select("id", "fp", "mask")
