@@ -13,7 +13,7 @@ from quadloom.functions.terms import BOXED, K_BNODE, K_IRI, K_LITERAL, K_TRIPLE,
 from quadloom.plans.engine import Engine
 from quadloom.plans.solution import Solution, join, left_join, semi_join, union
 from quadloom.sources.graphs import QuadGraph, bind
-from quadloom.sparql.ast import RDF, RDFS, SH, XSD, Alt, BNode, Inv, IRI, Lit, Mod, Seq, Triple, Var
+from quadloom.sparql.ast import RDF, RDFS, SH, XSD, Alt, BNode, Inv, IRI, Lit, Mod, Seq, Triple, TripleTerm, Var
 from quadloom.sparql.parser import parse_turtle
 
 
@@ -261,6 +261,8 @@ class Validator:
                 whole(name[0].upper() + name[1:], both.where(F.coalesce(~good(both.value("value"), both.value("other")), F.lit(True))).keep(["focus", "value"]))
         for node in shape.get("node"):
             whole("Node", semi_join(values, self._bad_values(node, values), False))
+        for node in shape.get("someValue"):
+            whole("SomeValue", semi_join(focus, semi_join(values, self._bad_values(node, values), True).keep(["focus"]), True))
         for node in shape.get("not"):
             whole("Not", semi_join(values, self._bad_values(node, values), True))
         for head in shape.get("and"):
@@ -282,6 +284,27 @@ class Validator:
             every = self.engine.graph.scan([Triple(Var("focus"), Var("p"), Var("value"))])
             others = every.where(~self._lexical(every.value("p")).isin(*[a.v for a in allowed if isinstance(a, IRI)]))
             whole("Closed", join(focus, others.keep(["focus", "value"])))
+        for c in shape.get("rootClass"):
+            pairs = self.engine._path(Mod(IRI(RDFS + "subClassOf"), "*"), None)
+            below = bind(pairs.df, [(Var("value"), pairs.value("s")), (c, pairs.value("o"))])
+            same = values.where(self._any_of(value, [c])).keep(["value"])
+            whole("RootClass", semi_join(values, union([below, same]), True))
+        if any(shape.get(n) for n in ("minListLength", "maxListLength", "uniqueMembers", "memberShape")):
+            out += self._list_constraints(shape, values)
+        for expr in shape.get("expression"):
+            from quadloom.operators.node_expressions import values_of
+
+            nodes = values_of(self, expr, self._as_focus(values))
+            node = F.col("node")
+            good = nodes.groupBy("focus").agg(F.count("*").alias("n"), F.min((node["v"] == "true") & (node["dt"] == XSD + "boolean")).alias("yes")).where("n = 1 and yes").select(F.col("focus").alias("value"))
+            whole("Expression", semi_join(values, Solution(good, {"value": BOXED}, {"value"}), True))
+        for node in shape.get("reifierShape"):
+            reifiers = self._reifiers(shape, values)
+            bad = self.failing(node, self._focus(reifiers, "reifier"))
+            bad = bad.select({"reifier": bad.value("focus")}, {"reifier"})
+            whole("ReifierShape", semi_join(reifiers, bad, False).keep(["focus", "value"]))
+        if shape.one("reificationRequired") == Lit("true", XSD + "boolean"):
+            whole("ReificationRequired", semi_join(values, self._reifiers(shape, values).keep(["focus", "value"]), True))
         for head in shape.get("uniqueValuesFor"):
             whole("UniqueValuesFor", self._unique_values(focus, self.shapes.items(head)))
         for node in shape.get("sparql"):
@@ -291,6 +314,47 @@ class Validator:
             whole("SPARQL", join(focus, rows))
         return out
 
+    def _reifiers(self, shape: Shape, values: Solution) -> Solution:
+        """(focus, value, reifier) of the triples that the shape's predicate makes."""
+        term = TripleTerm(Var("focus"), shape.path, Var("value"))
+        found = self.engine.graph.scan([Triple(Var("reifier"), IRI(RDF + "reifies"), term)])
+        return join(values, found)
+
+    def _list_constraints(self, shape: Shape, values: Solution) -> Found:
+        """Values that are lists: their length, repeats and members. A value that is no list has no cells and violates."""
+        from quadloom.operators.closure import closure
+
+        engine, first, rest = self.engine, IRI(RDF + "first"), IRI(RDF + "rest")
+        cells = engine.graph.scan([Triple(Var("s"), rest, Var("o"))])
+        reach = closure(cells.df.select(box(cells.value("s")).alias("s"), box(cells.value("o")).alias("o")))
+        heads = self._as_focus(values).df.select(box(Value(F.col("focus"), values.kinds["value"])).alias("s"))
+        own = reach.join(heads, "s", "left_semi").unionByName(heads.select("s", F.col("s").alias("o"))).distinct()
+        members = engine.graph.scan([Triple(Var("c"), first, Var("m"))])
+        listed = own.join(members.df.select(box(members.value("c")).alias("o"), box(members.value("m")).alias("m")), "o").select("s", "o", "m")
+        n = listed.groupBy("s").agg(F.count("*").alias("n"), F.count_distinct("m").alias("d"))
+        nil = heads.where((F.col("s")["k"] == K_IRI) & (F.col("s")["v"] == RDF + "nil")).select("s", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("d"))
+        sizes = n.unionByName(nil)
+        sizes = join(values, Solution(sizes.select(F.col("s").alias("value"), "n", "d"), {"value": BOXED, "n": Kind("integer"), "d": Kind("integer")}, {"value", "n", "d"}))
+        no_list = semi_join(values, sizes.keep(["value"]), True)
+        out: Found = []
+
+        def wrong(component: str, condition: Column) -> None:
+            out.append((component + "ConstraintComponent", union([sizes.where(condition).keep(["focus", "value"]), no_list])))
+
+        length, distinct = sizes.value("n").col, sizes.value("d").col
+        for k in shape.get("minListLength"):
+            wrong("MinListLength", length < int(k.v))
+        for k in shape.get("maxListLength"):
+            wrong("MaxListLength", length > int(k.v))
+        if shape.one("uniqueMembers") == Lit("true", XSD + "boolean"):
+            wrong("UniqueMembers", distinct < length)
+        for node in shape.get("memberShape"):
+            bad = self.failing(node, Solution(listed.select(F.col("m").alias("focus")).distinct(), {"focus": BOXED}, {"focus"}))
+            hit = listed.join(bad.df.select(box(bad.value("focus")).alias("m")), "m", "left_semi").select(F.col("s").alias("value")).distinct()
+            failing = semi_join(values, Solution(hit, {"value": BOXED}, {"value"}), False)
+            out.append(("MemberShapeConstraintComponent", union([failing, no_list])))
+        return out
+
     def _lexical(self, v: Value) -> Column:
         from quadloom.functions.terms import lexical
 
