@@ -36,41 +36,55 @@ SENTENCE = re.compile(r"[.!?\n]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the fit: labelled rows sampled, words kept as features, identity sentences taken from a row."""
+    """Bounds of the fit: labelled rows sampled, features kept, identity sentences taken from a row. Features are
+    words and, as slurs are inflected and compounded, the beginnings of words in so many letters."""
 
     rows: int = 16_384
     features: int = 2048
     least_documents: int = 4
     sentences: int = 8
-    l1: float = 4e-4
-    l2: float = 1e-4
+    prefixes: tuple[int, ...] = (3, 4, 5)
+    l1: float = 2e-5
+    l2: float = 1e-6
     counterfactual: float = 1.0
-    steps: int = 400
+    steps: int = 3000
     threshold: float = 0.3
 
 
+def features(words: list[str], prefixes: tuple[int, ...]) -> set[str]:
+    """The words, and the beginnings of those that are longer, marked as such."""
+    out = {*words}
+    longer = list(out)
+    for n in prefixes:
+        out |= {"^" + w[:n] for w in longer if len(w) > n}
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
     intercept: float
     threshold: float
+    prefixes: tuple[int, ...] = ()
 
     def score(self, text: str | None) -> float:
-        found = self.weights.keys() & WORD.findall((text or "").lower())
+        found = self.weights.keys() & features(WORD.findall((text or "").lower()), self.prefixes)
         return float(1 / (1 + np.exp(-(self.intercept + sum(self.weights[w] for w in sorted(found))))))
 
 
-def words_and_swaps(text: str | None, sentences: int) -> tuple[list[str], list[str]]:
-    """Distinct words, and for sentences with an identity term 'sentence words|swapped sentence words'."""
+def words_and_swaps(text: str | None, settings: Settings) -> tuple[list[str], list[str]]:
+    """Distinct features, and for sentences with an identity term 'sentence features|swapped sentence features'."""
     text = (text or "").lower()
-    words, pairs = {*WORD.findall(text)}, []
+    found = WORD.findall(text)
+    words, pairs = {*found}, []
+    joined = lambda own: " ".join(sorted(features(own, settings.prefixes)))
     if words & SWAPS.keys():
         for sentence in SENTENCE.split(text):
             own = WORD.findall(sentence)
-            for term in sorted({*own} & SWAPS.keys())[: max(0, sentences - len(pairs))]:
+            for term in sorted({*own} & SWAPS.keys())[: max(0, settings.sentences - len(pairs))]:
                 other = SWAPS[term][len(own) % len(SWAPS[term])]
-                pairs.append(" ".join(sorted({*own})) + "|" + " ".join(sorted({other if w == term else w for w in own})))
-    return sorted(words), pairs
+                pairs.append(joined(own) + "|" + joined([other if w == term else w for w in own]))
+    return sorted(features(found, settings.prefixes)), pairs
 
 
 def sample(labelled: DataFrame, settings: Settings) -> DataFrame:
@@ -78,7 +92,7 @@ def sample(labelled: DataFrame, settings: Settings) -> DataFrame:
     schema = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("pairs", T.ArrayType(T.StringType()))])
 
     def each(batch):
-        both = [words_and_swaps(t, settings.sentences) for t in batch.column(1).to_pylist()]
+        both = [words_and_swaps(t, settings) for t in batch.column(1).to_pylist()]
         return {"toxic": batch.column(0), "words": [w for w, _ in both], "pairs": [p for _, p in both]}
 
     return map_arrow(labelled.select("toxic", "text"), each, schema)
@@ -147,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     index = [np.array(x, int) for x in got.column("ids").to_pylist()]
     halves = [np.array(h.split(), int) for ps in got.column("pairs").to_pylist() for h in ps]
     w, b = fit_logistic(index, np.array(got.column("toxic").to_pylist(), float), list(zip(halves[::2], halves[1::2], strict=True)), len(vocabulary), settings)
-    return Model({word: float(w[i]) for word, i in vocabulary.items() if w[i]}, b, settings.threshold)
+    return Model({word: float(w[i]) for word, i in vocabulary.items() if w[i]}, b, settings.threshold, settings.prefixes)
 
 
 def score_column(model: Model, text: Column) -> Column:
