@@ -51,14 +51,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows whose Python objects exist at once in a worker.
+SLICE = 512
+
+
 def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: T.StructType) -> DataFrame:
-    """mapInArrow with a function from a record batch to a dict of columns."""
+    """mapInArrow with a function from a record batch, of SLICE rows at most, to a dict of columns."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                columns = each(batch)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                columns = each(whole.slice(at, SLICE))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
