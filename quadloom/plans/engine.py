@@ -28,6 +28,7 @@ from quadloom.functions.terms import (
     triple_text,
 )
 from quadloom.operators.closure import closure
+from quadloom.plans.durable import durable
 from quadloom.plans.solution import Solution, column_name, join, left_join, minus, semi_join, union
 from quadloom.sources.graphs import QUADS, MappedGraph, QuadGraph, bind, quads_frame, variable
 from quadloom.sparql.ast import (
@@ -64,6 +65,10 @@ from quadloom.sparql.ast import (
 from quadloom.sparql.parser import parse_query, parse_update
 
 
+#: The variable that carries a path's graph.
+HERE = "~g"
+
+
 def variables_of(e) -> set[str]:
     if isinstance(e, Var):
         return {e.name}
@@ -355,20 +360,20 @@ class Engine:
         return s.where(self._scope(s).ebv(e))
 
     def _marked(self, s: Solution, e, graph) -> Solution:
-        """EXISTS inside an expression: a flag joined on the distinct keys that the pattern shares."""
+        """EXISTS inside an expression: a flag for each distinct binding of the variables that the pattern sees."""
         names = list(s.kinds)
 
         def replaced(x):
             nonlocal s
             if isinstance(x, Exists):
                 inner, outer = self._group(x.pattern, graph, pull=True)
-                shared = [n for n in inner.kinds if n in s.kinds]
-                if outer or not set(shared) <= inner.certain & s.certain:
-                    raise Unsupported("a correlated EXISTS inside an expression")
+                seen = set(inner.kinds).union(*[variables_of(o) for o in outer])
+                keys = s.keep([n for n in s.kinds if n in seen]).distinct() if seen & set(s.kinds) else self._unit()
+                condition = None
+                if outer:
+                    condition = lambda seen, outer=outer: F.coalesce(_all([Scope(seen, self.functions, None, self.now).ebv(o) for o in outer]), F.lit(False))
                 flag = f"~exists{len(s.kinds)}"
-                keys = inner.keep(shared).distinct()
-                keys = keys.select(keys.values() | {flag: Value(F.lit(True), Kind("boolean"))})
-                s = left_join(s, keys)
+                s = _flagged(s, semi_join(keys, inner, False, condition), flag)
                 found = Call("BOUND", (Var(flag),))
                 return Call("!", (found,)) if x.negated else found
             if isinstance(x, Call):
@@ -423,60 +428,112 @@ class Engine:
 
     # property paths
     def _path_pattern(self, t: Triple, graph) -> Solution:
+        if isinstance(graph, Var):
+            seeds = None
+            if variable(t.s) is None:
+                every = self.graph.scan([Triple(Var("s"), Var("p"), Var("o"))], Var(HERE)).keep([HERE]).distinct()
+                seeds = every.select({"s": Value(boxed_constant(t.s), BOXED)} | every.values(), {"s", HERE})
+            pairs = self._path(t.p, Var(HERE), zero=[x for x in (t.s, t.o) if variable(x) is None], seeds=seeds)
+            return bind(pairs.df, [(t.s, pairs.value("s")), (t.o, pairs.value("o")), (graph, pairs.value(HERE))])
         start = t.s if variable(t.s) is None else None
         pairs = self._path(t.p, graph, start)
-        return bind(pairs.df, [(t.s, pairs.value("s")), (t.o, pairs.value("o"))] + ([(graph, pairs.value("~g"))] if graph is not None and "~g" in pairs.kinds else []))
+        return bind(pairs.df, [(t.s, pairs.value("s")), (t.o, pairs.value("o"))])
+
+    def _path(self, p, graph, start=None, zero=(), seeds: Solution | None = None) -> Solution:
+        """Pairs (s, o) of a path, as bags; ``start`` is the ground term it begins at, if there is one.
 
-    def _path(self, p, graph, start=None) -> Solution:
-        """Pairs (s, o) of a path, as bags; ``start`` is the ground term it begins at, if there is one."""
+        Where graph is a variable, the pairs carry the graph they lie in, and every step stays in it;
+        ``zero`` are ground terms that a path of no step reaches in every graph. Only pairs that begin at
+        ``seeds`` are asked for; a closure grows from them alone, so that it costs what it reaches.
+        """
         self.paths += 1
-        here = IRI(graph.v) if isinstance(graph, IRI) else graph
-        if isinstance(here, Var):
-            raise Unsupported("a path in GRAPH ?g")
+        inside = isinstance(graph, Var)
+        ends = ["s", "o", HERE] if inside else ["s", "o"]
+        step = lambda p, s=None: self.graph.scan([Triple(s if s is not None else Var("s"), p, Var("o"))], graph)
         if isinstance(p, IRI):
-            return self.graph.scan([Triple(start if start is not None else Var("s"), p, Var("o"))], here) if start is None else self._from(start, self.graph.scan([Triple(start, p, Var("o"))], here))
+            return step(p) if start is None else self._from(start, step(p, start))
         if isinstance(p, Inv):
-            s = self._path(p.a, graph)
-            return s.select({"s": s.value("o"), "o": s.value("s")}, {"s", "o"})
+            s = self._path(p.a, graph, zero=zero)
+            return s.select({n: s.value({"s": "o", "o": "s"}.get(n, n)) for n in ends}, set(ends))
         if isinstance(p, Alt):
-            return union([self._path(p.a, graph, start), self._path(p.b, graph, start)])
+            return union([self._path(p.a, graph, start, zero, seeds), self._path(p.b, graph, start, zero, seeds)])
         if isinstance(p, Seq):
-            a, b = self._path(p.a, graph, start), self._path(p.b, graph)
+            a = self._path(p.a, graph, start, zero, seeds)
             middle = f"~m{self.paths}"
-            both = join(a.select({"s": a.value("s"), middle: a.value("o")}, {"s", middle}), b.select({middle: b.value("s"), "o": b.value("o")}, {middle, "o"}))
-            return both.keep(["s", "o"])
+            reached = a.select({n: a.value("o" if n == "s" else n) for n in ["s", *ends[2:]]}, {"s", *ends[2:]}).distinct()
+            b = self._path(p.b, graph, zero=zero, seeds=reached)
+            first = {n: a.value("o" if n == middle else n) for n in ["s", middle, *ends[2:]]}
+            then = {n: b.value("s" if n == middle else n) for n in [middle, *ends[1:]]}
+            return join(a.select(first, set(first)), b.select(then, set(then))).keep(ends)
         if isinstance(p, NegSet):
-            if start is not None and not p.has_inverse:
-                every = self._from(start, self.graph.scan([Triple(start, Var("p"), Var("o"))], here))
-            else:
-                every = self.graph.scan([Triple(Var("s"), Var("p"), Var("o"))], here)
+            every = self._from(start, step(Var("p"), start)) if start is not None and not p.has_inverse else step(Var("p"))
             parts = []
             if p.has_forward:
                 parts.append(every.where(~lexical(every.value("p")).isin(*p.forward)) if p.forward else every)
             if p.has_inverse:
                 back = every.where(~lexical(every.value("p")).isin(*p.inverse))
-                parts.append(back.select({"s": back.value("o"), "o": back.value("s")}, {"s", "o"}))
-            return union([x.keep(["s", "o"]) for x in parts])
+                parts.append(back.select({n: back.value({"s": "o", "o": "s"}.get(n, n)) for n in ends}, set(ends)))
+            return union([x.keep(ends) for x in parts])
         if isinstance(p, Mod):
-            step = self._path(p.a, graph)
-            if step.kinds["s"] != step.kinds["o"]:
-                step = step.boxed({"s", "o"})
-            kind = step.kinds["s"]
-            first = None
-            if start is not None:
-                first = bind(step.df, [(start, step.value("s"))]).df.sparkSession.range(1).select(boxed_constant(start).alias("s")) if kind == BOXED else step.df.where(_starts(step.value("s"), start)).select("s")
-            pairs = step.df.select("s", "o").distinct() if p.kind == "?" else closure(step.df, first)
-            found = Solution(pairs, {"s": kind, "o": kind}, {"s", "o"})
-            if p.kind == "+":
-                return found
-            if start is not None:
-                zero = Solution(self.spark.range(1).select(boxed_constant(start).alias("s"), boxed_constant(start).alias("o")), {"s": BOXED, "o": BOXED}, {"s", "o"})
-            else:
-                nodes = self.graph.nodes(here)
-                zero = nodes.select({"s": nodes.value("node"), "o": nodes.value("node")}, {"s", "o"})
-            return union([found, zero]).distinct()
+            return self._repeated_inside(p, graph, zero, seeds) if inside else self._repeated(p, graph, start, seeds)
         raise Unsupported(f"path {p}")
 
+    def _repeated(self, p: Mod, graph, start, seeds: Solution | None) -> Solution:
+        step = self._path(p.a, graph)
+        if step.kinds["s"] != step.kinds["o"] or seeds is not None and seeds.kinds["s"] != step.kinds["s"]:
+            step = step.boxed({"s", "o"})
+        kind = step.kinds["s"]
+        first = None
+        if seeds is not None:
+            seeds = seeds.boxed({"s"} if kind == BOXED else set())
+            seeds = Solution(durable(seeds.df, "seeds"), seeds.kinds, seeds.certain)
+            first = seeds.df
+        if start is not None:
+            first = bind(step.df, [(start, step.value("s"))]).df.sparkSession.range(1).select(boxed_constant(start).alias("s")) if kind == BOXED else step.df.where(_starts(step.value("s"), start)).select("s")
+        if p.kind == "?":
+            pairs = step.df.select("s", "o").distinct() if first is None else step.df.select("s", "o").join(first.distinct(), "s", "left_semi").distinct()
+        else:
+            pairs = closure(step.df, first)
+        found = Solution(pairs, {"s": kind, "o": kind}, {"s", "o"})
+        if p.kind == "+":
+            return found
+        if start is not None:
+            none = Solution(self.spark.range(1).select(boxed_constant(start).alias("s"), boxed_constant(start).alias("o")), {"s": BOXED, "o": BOXED}, {"s", "o"})
+        elif seeds is not None:
+            none = seeds.select({"s": seeds.value("s"), "o": seeds.value("s")}, {"s", "o"})
+        else:
+            nodes = self.graph.nodes(graph)
+            none = nodes.select({"s": nodes.value("node"), "o": nodes.value("node")}, {"s", "o"})
+        return union([found, none]).distinct()
+
+    def _repeated_inside(self, p: Mod, graph: Var, zero, seeds: Solution | None) -> Solution:
+        """The closure of nodes paired with their graph, so that no path leaves its graph."""
+
+        def node(x: Solution, n: str):
+            return F.struct(lexical(x.value(HERE)).alias("g"), x.value(n).col.alias("v"))
+
+        step = self._path(p.a, graph, zero=zero).boxed({"s", "o"})
+        edges = step.df.select(node(step, "s").alias("s"), node(step, "o").alias("o"))
+        first = None
+        if seeds is not None:
+            seeds = seeds.boxed({"s"})
+            first = durable(seeds.df.select(node(seeds, "s").alias("s")).distinct(), "seeds")
+        if p.kind == "?":
+            pairs = edges.distinct() if first is None else edges.join(first, "s", "left_semi").distinct()
+        else:
+            pairs = closure(edges, first)
+        if p.kind != "+":
+            none = first
+            if first is None:
+                nodes = self.graph.scan([Triple(Var("s"), Var("p"), Var("o"))], graph).boxed({"s", "o"})
+                own = nodes.df.select(F.array(node(nodes, "s"), node(nodes, "o")).alias("n"), lexical(nodes.value(HERE)).alias("g"))
+                none = own.select(F.explode("n").alias("s"))
+                for t in zero:
+                    none = none.unionByName(own.select("g").distinct().select(F.struct("g", boxed_constant(t).alias("v")).alias("s")))
+            pairs = pairs.unionByName(none.select("s", F.col("s").alias("o"))).distinct()
+        out = pairs.select(F.col("s.v").alias("s"), F.col("o.v").alias("o"), F.col("s.g").alias(column_name(HERE)))
+        return Solution(out, {"s": BOXED, "o": BOXED, HERE: Kind("iri")}, {"s", "o", HERE})
+
     def _from(self, start, s: Solution) -> Solution:
         return s.select({"s": constant(start)} | s.values(), s.certain | {"s"})
 
@@ -530,6 +587,18 @@ class Engine:
         return more(after, engine.instantiate(s, in_graph(u.insert))) if u.insert else after
 
 
+def _flagged(s: Solution, hit: Solution, flag: str) -> Solution:
+    """s with a flag that is bound where its binding, unbound variables included, is one of ``hit``."""
+    hit = hit.boxed({n for n in hit.kinds if hit.kinds[n] != s.kinds[n]})
+    marks = hit.select({f"{n}~hit": v for n, v in hit.values().items()} | {flag: Value(F.lit(True), Kind("boolean"))}, {flag})
+    on = F.lit(True)
+    for n in hit.kinds:
+        mine, theirs = s.value(n).col, marks.value(f"{n}~hit").col
+        on = on & (mine == theirs if n in s.certain else mine.eqNullSafe(theirs))
+    joined = s.df.join(marks.df, on, "left")
+    return Solution(joined, s.kinds | {flag: Kind("boolean")}, s.certain)
+
+
 def _starts(value: Value, term):
     from quadloom.sources.graphs import _is
 

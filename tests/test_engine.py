@@ -75,6 +75,12 @@ CASES = [
     ("SELECT ?s WHERE { { ?s :kind :odd } UNION { ?s a :Other } }", [("s1",), ("s3",)]),
     ("SELECT ?a ?b WHERE { ?a :kind :odd . ?b a :Other }", [("s1", "s3")]),
     ("SELECT ?p WHERE { :s3 !(:num|:name|:when) ?o BIND(1 AS ?p) }", [("1",), ("1",)]),
+    ("SELECT ?g ?o WHERE { GRAPH ?g { :s0 (:tag|:none)/:none* ?o } }", [("g1", "a"), ("g2", "a")]),
+    ("SELECT ?g ?m WHERE { GRAPH ?g { :s0 :list/rdf:rest*/rdf:first ?m } }", [("g2", "1"), ("g2", "2"), ("g2", "3")]),
+    ("SELECT ?g WHERE { GRAPH ?g { :absent :none? :absent } }", [("g1",), ("g2",)]),
+    ("SELECT ?g ?s WHERE { GRAPH ?g { ?x ^:tag ?s } }", [("g1", "s0"), ("g1", "s9"), ("g2", "s0")]),
+    ("SELECT ?s WHERE { ?s :num ?n FILTER(?n > 2.9 || EXISTS { ?x :num ?m FILTER(?m = ?n + 1) }) }", [("s0",), ("s3",)]),
+    ("SELECT ?s WHERE { ?s :name ?n OPTIONAL { ?s :next ?x } FILTER(!(EXISTS { ?x :kind :odd }) && ?n != 'zz' || ?n = 'zz') }", [("s1",), ("s2",)]),
     ("SELECT ?t WHERE { :s1 :title ?x BIND(UCASE(?x) AS ?t) FILTER(hasLANG(?t)) }", [("T",)]),
 ]
 
