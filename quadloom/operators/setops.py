@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.functions.terms import K_BNODE, K_IRI, K_TRIPLE, struct, triple_part
+from quadloom.functions.terms import K_BNODE, K_IRI, K_TRIPLE, nt_text, struct, triple_part, triple_text
 from quadloom.operators.closure import closure
+from quadloom.plans.durable import durable
 from quadloom.sparql.ast import RDF
 
 COLUMNS = ["g", "s", "p", "o"]
@@ -75,14 +76,94 @@ def reifier_annotations(quads: DataFrame) -> DataFrame:
     return reified.join(said, ["g", "reifier"]).select(part(0).alias("s"), part(1)["v"].alias("p"), part(2).alias("o"), "reifier", "ap", "ao")
 
 
+#: The vocabulary of the basic encoding (fixed values).
+FORM = RDF + "PropositionForm"
+FORM_PARTS = (RDF + "propositionFormSubject", RDF + "propositionFormPredicate", RDF + "propositionFormObject")
+
+
 def to_basic(quads: DataFrame) -> DataFrame:
-    """RDF 1.1 quads: each triple term becomes a blank node named by its digest, with subject, predicate and object."""
-    node = struct(K_BNODE, F.concat(F.lit("tt"), F.md5(F.col("o")["v"])))
+    """RDF 1.1 quads: each triple term of a graph becomes a blank node, named by a digest, that four triples describe.
+
+    A term inside a term is described in turn, one round for each level of nesting. Quads that use the
+    vocabulary beside triple terms are refused, as nothing could tell them from an encoding.
+    """
     is_term = F.col("o")["k"] == K_TRIPLE
-    terms = quads.where(is_term).select("g", node.alias("n"), F.col("o").alias("t")).distinct()
-    pieces = F.array(
-        F.struct(F.lit(RDF + "type").alias("p"), struct(K_IRI, RDF + "TripleTerm").alias("o")),
-        *[F.struct(F.lit(RDF + f"ttm{name}").alias("p"), triple_part(F.col("t"), i).alias("o")) for i, name in enumerate(("Subject", "Predicate", "Object"))],
-    )
-    told = terms.select("g", F.col("n").alias("s"), F.explode(pieces).alias("x")).select("g", "s", "x.p", "x.o")
-    return quads.select("g", "s", "p", F.when(is_term, node).otherwise(F.col("o")).alias("o")).unionByName(told).distinct()
+    if not quads.where(is_term).isEmpty() and not quads.where(F.col("p").isin(*FORM_PARTS) | (F.col("o")["v"] == FORM)).isEmpty():
+        raise ValueError("quads with triple terms that use the vocabulary of their encoding")
+    node = struct(K_BNODE, F.concat(F.lit("tt"), F.md5(F.concat_ws("\u0001", "g", F.col("o")["v"]))))
+    out, work = None, quads.select(COLUMNS)
+    while True:
+        plain = work.select("g", "s", "p", F.when(is_term, node).otherwise(F.col("o")).alias("o"))
+        out = plain if out is None else out.unionByName(plain)
+        terms = work.where(is_term).select("g", node.alias("n"), F.col("o").alias("t")).distinct()
+        pieces = F.array(F.struct(F.lit(RDF + "type").alias("p"), struct(K_IRI, FORM).alias("o")), *[F.struct(F.lit(p).alias("p"), triple_part(F.col("t"), i).alias("o")) for i, p in enumerate(FORM_PARTS)])
+        work = terms.select("g", F.col("n").alias("s"), F.explode(pieces).alias("x")).select("g", "s", "x.p", "x.o")
+        if work.isEmpty():
+            return out.distinct()
+
+
+def from_basic(quads: DataFrame) -> DataFrame:
+    """The inverse: described blank nodes become triple terms again, innermost first; a node without all its parts is refused."""
+    work = quads.select(COLUMNS)
+    while True:
+        forms = work.where((F.col("p") == RDF + "type") & (F.col("o")["v"] == FORM)).select("g", F.col("s").alias("n"))
+        if forms.isEmpty():
+            return work.distinct()
+        parts = forms
+        for i, p in enumerate(FORM_PARTS):
+            parts = parts.join(work.where(F.col("p") == p).select("g", F.col("s").alias("n"), F.col("o").alias(f"o{i}")), ["g", "n"])
+        inner = forms.select("g", F.col("n").alias("o2"))
+        ready = parts.join(inner, ["g", "o2"], "left_anti").select("g", "n", triple_text(F.col("o0"), F.col("o1"), F.col("o2")).alias("t"))
+        ready = durable(ready, "forms")
+        if ready.isEmpty():
+            raise ValueError("a description of a triple term lacks parts or holds itself")
+        rest = work.join(ready.select("g", F.col("n").alias("s")), ["g", "s"], "left_anti")
+        work = rest.join(ready.select("g", F.col("n").alias("o"), "t"), ["g", "o"], "left").select("g", "s", "p", F.coalesce("t", "o").alias("o"))
+
+
+def coloured(quads: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, colour) of blank nodes: digests refined by the colours around them until the number of classes stands.
+
+    Each round is one join and one aggregation; neighbours are hashed one by one and their digests summed, so
+    that no node's neighbourhood is collected. Blank nodes inside triple terms are not followed.
+    """
+    blank = lambda c: F.col(c)["k"] == K_BNODE
+    named = lambda c: F.when(blank(c), F.lit("_")).otherwise(nt_text(F.col(c)))
+    edges = quads.select("g", "p", F.col("s"), F.col("o")).where(blank("s") | blank("o"))
+    one = lambda me, other, way: edges.where(blank(me)).select(F.col(me)["v"].alias("node"), F.when(blank(other), F.col(other)["v"]).alias("next"), F.concat_ws("\u0001", F.lit(way), "g", "p", named(other), (F.col("s") == F.col("o")).cast("string")).alias("label"))
+    links = durable(one("s", "o", ">").unionByName(one("o", "s", "<")), "links")
+    colours, classes = durable(links.select("node").distinct().withColumn("colour", F.lit("")), "colours"), 1
+    for _ in range(rounds):
+        seen = links.join(colours.select(F.col("node").alias("next"), F.col("colour").alias("beside")), "next", "left")
+        digest_ = F.xxhash64("label", F.coalesce("beside", F.lit(""))).cast("decimal(38,0)")
+        again = F.xxhash64(F.coalesce("beside", F.lit("")), "label", F.lit("second")).cast("decimal(38,0)")
+        sums = seen.groupBy("node").agg(F.sum(digest_).alias("a"), F.sum(again).alias("b"), F.count("*").alias("n"))
+        colours = durable(sums.join(colours, "node").select("node", F.sha2(F.concat_ws("|", "colour", "a", "b", "n"), 256).alias("colour")), "colours")
+        now = colours.select("colour").distinct().count()
+        if now == classes:
+            break
+        classes = now
+    return colours
+
+
+def canonical(quads: DataFrame) -> DataFrame:
+    """Quads with blank nodes named by their colours. Refused where refinement leaves two blank nodes of one colour: telling such nodes apart is a search, not a pass over data."""
+    colours = coloured(quads)
+    if not colours.groupBy("colour").count().where("count > 1").isEmpty():
+        raise ValueError("blank nodes that refinement cannot tell apart")
+    out = quads.select(COLUMNS)
+    for c in ("s", "o"):
+        name = colours.select(F.col("node").alias("~n"), "colour")
+        joined = out.join(name, (F.col(c)["k"] == K_BNODE) & (F.col(c)["v"] == F.col("~n")), "left")
+        out = joined.withColumn(c, F.when(F.col("colour").isNotNull(), struct(K_BNODE, F.concat(F.lit("c"), F.col("colour")))).otherwise(F.col(c))).select(COLUMNS)
+    return out
+
+
+def isomorphic(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two graphs are equal up to the names of blank nodes; canonical() says what is refused. Graphs whose colours differ are told apart at once."""
+    if a.distinct().count() != b.distinct().count():
+        return False
+    x, y = (coloured(q).groupBy("colour").count() for q in (a, b))
+    if not x.exceptAll(y).isEmpty() or not y.exceptAll(x).isEmpty():
+        return False
+    return same_ground(canonical(a.distinct()), canonical(b.distinct()))

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions.expressions import java_regex
-from quadloom.functions.terms import BOXED, K_BNODE, K_IRI, K_LITERAL, K_TRIPLE, NATIVE, Kind, Value, box, boxed_constant, constant, equal, less, nt_text, same_term
+from quadloom.functions.terms import BOXED, K_BNODE, K_IRI, K_LITERAL, K_TRIPLE, NATIVE, Kind, Value, box, boxed_constant, constant, equal, less, nt_text, parse_nt, same_term, struct
+from quadloom.plans.durable import durable
 from quadloom.plans.engine import Engine
 from quadloom.plans.solution import Solution, join, left_join, semi_join, union
-from quadloom.sources.graphs import QuadGraph, bind
+from quadloom.sources.graphs import QuadGraph, bind, quads_frame, term_text
 from quadloom.sparql.ast import RDF, RDFS, SH, XSD, Alt, BNode, Inv, IRI, Lit, Mod, Seq, Triple, TripleTerm, Var
-from quadloom.sparql.parser import parse_turtle
+from quadloom.sparql.parser import parse_query, parse_turtle
 
 
 @dataclass
@@ -35,6 +38,7 @@ class Shapes:
 
     def __init__(self, text: str, prefixes: dict[str, str] | None = None):
         self.facts: dict[object, dict[str, list]] = {}
+        self.prefixes = prefixes or {}
         for _, t in parse_turtle(text, {"sh": SH, "xsd": XSD, "rdf": RDF, "rdfs": RDFS} | (prefixes or {})):
             self.facts.setdefault(t.s, {}).setdefault(t.p.v, []).append(t.o)
         self.shapes: dict[object, Shape] = {}
@@ -78,11 +82,59 @@ class Shapes:
         raise ValueError(f"no path at {node}")
 
     def targeted(self) -> list[Shape]:
-        names = [SH + n for n in ("targetClass", "targetNode", "targetSubjectsOf", "targetObjectsOf")]
+        names = [SH + n for n in ("targetClass", "targetNode", "targetSubjectsOf", "targetObjectsOf", "targetWhere")]
         implicit = lambda f: IRI(RDFS + "Class") in f.get(RDF + "type", []) and any(t in f.get(RDF + "type", []) for t in (IRI(SH + "NodeShape"), IRI(SH + "PropertyShape")))
         return [self.shape(n) for n, f in list(self.facts.items()) if any(x in f for x in names) or implicit(f)]
 
 
+    def declared(self) -> dict[str, str]:
+        """Prefixes that sh:declare gives to embedded queries."""
+        out = {}
+        for facts in self.facts.values():
+            if SH + "namespace" in facts and SH + "prefix" in facts:
+                out[facts[SH + "prefix"][0].v] = facts[SH + "namespace"][0].v
+        return self.prefixes | out
+
+    def references(self, node) -> set:
+        """Shapes that a shape's conformance looks at."""
+        facts, out = self.facts.get(node, {}), set()
+        for name in ("property", "node", "not", "someValue", "qualifiedValueShape", "memberShape", "reifierShape"):
+            out |= set(facts.get(SH + name, []))
+        for name in ("and", "or", "xone"):
+            for head in facts.get(SH + name, []):
+                out |= set(self.items(head))
+        return out
+
+    def on_cycle(self, node) -> set:
+        """The shapes on a cycle of references through this one; empty if there is none."""
+        reach, work = {}, [node]
+        while work:
+            at = work.pop()
+            if at not in reach:
+                reach[at] = self.references(at)
+                work += reach[at]
+        back = {n for n in reach if node in reach[n]}
+        while True:
+            more = {n for n in reach if reach[n] & back} - back
+            if not more:
+                return back
+            back |= more
+
+    def components(self) -> list[tuple[IRI, list[tuple[str, str, bool]]]]:
+        """Declared constraint components: their IRI and parameters (predicate, name, whether optional)."""
+        out = []
+        for node, facts in self.facts.items():
+            if SH + "parameter" in facts and isinstance(node, IRI):
+                told = []
+                for p in facts[SH + "parameter"]:
+                    path = self.facts[p][SH + "path"][0].v
+                    told.append((path, re.split("[#/]", path)[-1], self.facts[p].get(SH + "optional", [Lit("false")])[0].v == "true"))
+                if all(optional for *_, optional in told):
+                    raise ValueError(f"{node.v}: a component needs a parameter that is not optional")
+                out.append((node, told))
+        return out
+
+
 def path_text(p) -> str:
     if isinstance(p, IRI):
         return f"<{p.v}>"
@@ -101,10 +153,13 @@ class Validator:
 
     def __init__(self, engine: Engine, shapes: Shapes):
         self.engine, self.shapes, self.open = engine, shapes, []
+        self.assumed: dict[object, Solution] = {}
+        self.links: list[Shape] | None = None
 
     def violations(self) -> DataFrame:
         parts = []
-        for shape in self.shapes.targeted():
+        for shape in dict.fromkeys(s.node for s in self.shapes.targeted() + self.linked()):
+            shape = self.shapes.shape(shape)
             if shape.one("deactivated") == Lit("true", XSD + "boolean"):
                 continue
             parts += self.report(shape, self.targets(shape))
@@ -116,6 +171,17 @@ class Validator:
             out = out.unionByName(p)
         return out.distinct()
 
+    def linked(self) -> list[Shape]:
+        """Shapes that nodes of the data name by sh:shape; a shapes graph holds few, so their names fit the driver."""
+        if not isinstance(self.engine.graph, QuadGraph):
+            return []
+        if self.links is not None:
+            return self.links
+        links = self.engine.graph.scan([Triple(Var("focus"), IRI(SH + "shape"), Var("shape"))])
+        names = [r[0] for r in links.df.where(box(links.value("shape"))["v"].isin(*[n.v for n in self.shapes.facts if isinstance(n, IRI)])).select(box(links.value("shape"))["v"]).distinct().collect()]
+        self.links = [self.shapes.shape(IRI(n)) for n in sorted(names)]
+        return self.links
+
     def report(self, shape: Shape, focus: Solution) -> list[DataFrame]:
         """Rows for the shape's own constraints and those of its property shapes."""
         severity = shape.one("severity", IRI(SH + "Violation")).v
@@ -124,7 +190,7 @@ class Validator:
         values = self.values(shape, focus)
         for component, s in self.constraints(shape, focus, values):
             text = lambda n, s=s: nt_text(box(s.value(n))) if n in s.kinds else F.lit(None).cast("string")
-            out.append(s.df.select(text("focus").alias("focus"), F.lit(path_text(shape.path) if shape.path else None).cast("string").alias("path"), text("value").alias("value"), F.lit(SH + component).alias("component"), F.lit(name).alias("shape"), F.lit(severity).alias("severity")))
+            out.append(s.df.select(text("focus").alias("focus"), F.lit(path_text(shape.path) if shape.path else None).cast("string").alias("path"), text("value").alias("value"), F.lit(component if ":" in component else SH + component).alias("component"), F.lit(name).alias("shape"), F.lit(severity).alias("severity")))
         for node in shape.get("property"):
             inner = self.shapes.shape(node)
             if inner.one("deactivated") != Lit("true", XSD + "boolean"):
@@ -156,13 +222,31 @@ class Validator:
             parts.append(self._focus(self.engine.graph.scan([Triple(Var("s"), p, Var("o"))]), "o"))
         for n in shape.get("targetNode"):
             parts.append(Solution(self.engine.spark.range(1).select(boxed_constant(n).alias("focus")), {"focus": BOXED}, {"focus"}))
+        for node in shape.get("targetWhere"):
+            every = self._every_node()
+            parts.append(semi_join(every, self.failing(node, every), True))
+        if shape.node in [s.node for s in self.linked()]:
+            parts.append(self.engine.graph.scan([Triple(Var("focus"), IRI(SH + "shape"), shape.node)]))
         return parts[0] if len(parts) == 1 else union(parts).distinct()
 
+    def _every_node(self) -> Solution:
+        nodes = self.engine.graph.nodes()
+        return self._focus(nodes, "node")
+
     def values(self, shape: Shape, focus: Solution) -> Solution:
         """(focus, value) pairs as a set; a node shape's value is the focus itself."""
         if shape.path is None:
             return focus.select({"focus": focus.value("focus"), "value": focus.value("focus")}, {"focus", "value"})
-        return self._pairs(shape.path, focus, "value")
+        found = self._pairs(shape.path, focus, "value")
+        if not shape.get("values") and not shape.get("defaultValue"):
+            return found
+        from quadloom.operators.node_expressions import values_of
+
+        computed = lambda expr, nodes: Solution(values_of(self, expr, nodes).select("focus", F.col("node").alias("value")), {"focus": BOXED, "value": BOXED}, {"focus", "value"})
+        parts = [found] + [computed(x, focus) for x in shape.get("values")]
+        found = union(parts).distinct()
+        without = semi_join(focus, found.keep(["focus"]), True)
+        return union([found] + [computed(x, without) for x in shape.get("defaultValue")]).distinct()
 
     def _pairs(self, path, focus: Solution, name: str) -> Solution:
         pairs = self.engine._path(path, None)
@@ -172,23 +256,51 @@ class Validator:
     # conformance of values to other shapes
     def failing(self, node, nodes: Solution) -> Solution:
         """Those of the nodes (focus) that do not conform to a shape."""
-        if node in self.open:
-            raise NotImplementedError("recursive shapes")
+        if node in self.assumed:
+            return semi_join(nodes, self.assumed[node], False)
+        if node not in self.open and self.shapes.on_cycle(node):
+            return self._recursive(node, nodes)
         self.open.append(node)
         try:
-            shape = self.shapes.shape(node)
-            if shape.one("deactivated") == Lit("true", XSD + "boolean"):
-                return nodes.where(F.lit(False))
-            values = self.values(shape, nodes)
-            parts = [self._focus(s, "focus") for _, s in self.constraints(shape, nodes, values)]
-            for p in shape.get("property"):
-                bad = self.failing(p, self._as_focus(values))
-                bad = bad.select({"value": bad.value("focus")}, {"value"})
-                parts.append(self._focus(semi_join(values, bad, False), "focus"))
-            return union(parts).distinct() if parts else nodes.where(F.lit(False))
+            return self._failing_once(self.shapes.shape(node), nodes)
         finally:
             self.open.pop()
 
+    def _failing_once(self, shape: Shape, nodes: Solution) -> Solution:
+        if shape.one("deactivated") == Lit("true", XSD + "boolean"):
+            return nodes.where(F.lit(False))
+        values = self.values(shape, nodes)
+        parts = [self._focus(s, "focus") for _, s in self.constraints(shape, nodes, values)]
+        for p in shape.get("property"):
+            bad = self.failing(p, self._as_focus(values))
+            bad = bad.select({"value": bad.value("focus")}, {"value"})
+            parts.append(self._focus(semi_join(values, bad, False), "focus"))
+        return union(parts).distinct() if parts else nodes.where(F.lit(False))
+
+    def _recursive(self, node, nodes: Solution) -> Solution:
+        """Failures of a recursive shape: at first all nodes conform, then failures spread until none is new.
+
+        Each round is a table. The result is the largest set of conforming nodes, which a cycle through
+        sh:not, sh:xone or an upper bound on qualified values need not have, so that such a cycle is refused.
+        """
+        for n in self.shapes.on_cycle(node):
+            if any(SH + x in self.shapes.facts.get(n, {}) for x in ("not", "xone", "qualifiedMaxCount")):
+                raise ValueError(f"{node} is recursive through a negation")
+        every = union([self._every_node(), nodes]).distinct().boxed({"focus"})
+        every = Solution(durable(every.df, "nodes"), every.kinds, every.certain)
+        known, bad, outer = -1, every.where(F.lit(False)), self.assumed
+        try:
+            while True:
+                self.assumed = outer | {node: bad}
+                found = self._failing_once(self.shapes.shape(node), every)
+                bad = Solution(durable(found.boxed({"focus"}).df, "failing"), {"focus": BOXED}, {"focus"})
+                n = bad.df.count()
+                if n == known:
+                    return semi_join(nodes, bad, False)
+                known = n
+        finally:
+            self.assumed = outer
+
     def _bad_values(self, node, values: Solution) -> Solution:
         bad = self.failing(node, self._as_focus(values))
         return bad.select({"value": bad.value("focus")}, {"value"})
@@ -274,11 +386,16 @@ class Validator:
                 whole(name.capitalize(), self._by_failures(values, nodes, lambda failed, n=len(nodes), wrong=wrong: wrong(failed, n)))
         for node in shape.get("qualifiedValueShape"):
             good = semi_join(values, self._bad_values(node, values), True)
+            if shape.one("qualifiedValueShapesDisjoint") == Lit("true", XSD + "boolean"):
+                for other in self._siblings(shape, node):
+                    good = semi_join(good, self._bad_values(other, good), False)
             for n in shape.get("qualifiedMinCount"):
                 if int(n.v) > 0:
                     whole("QualifiedMinCount", self._counted(focus, good, lambda c, k=int(n.v): c < k))
             for n in shape.get("qualifiedMaxCount"):
                 whole("QualifiedMaxCount", self._counted(focus, good, lambda c, k=int(n.v): c > k))
+        if shape.one("closed") == IRI(SH + "ByTypes"):
+            whole("Closed", self._closed_by_types(shape, values))
         if shape.one("closed") == Lit("true", XSD + "boolean"):
             allowed = [self.shapes.shape(p).path for p in shape.get("property")] + [x for h in shape.get("ignoredProperties") for x in self.shapes.items(h)]
             every = self.engine.graph.scan([Triple(Var("focus"), Var("p"), Var("value"))])
@@ -308,10 +425,79 @@ class Validator:
         for head in shape.get("uniqueValuesFor"):
             whole("UniqueValuesFor", self._unique_values(focus, self.shapes.items(head)))
         for node in shape.get("sparql"):
-            query = self.shapes.facts[node][SH + "select"][0].v
-            found = self.engine.solutions(query)
-            rows = found.select({"focus": found.value("this")} | ({"value": found.value("value")} if "value" in found.kinds else {}), {"focus"})
-            whole("SPARQL", join(focus, rows))
+            found = self._selected(node, shape, focus, {})
+            whole("SPARQL", found)
+        for component, parameters in self.shapes.components():
+            if all(optional or p in shape.facts for p, _, optional in parameters):
+                for bad in self._declared(component, parameters, shape, focus, values):
+                    out.append((component.v, bad))
+        return out
+
+    def _siblings(self, shape: Shape, node) -> set:
+        """Qualified value shapes of the other property shapes beside this one."""
+        out = set()
+        for facts in self.shapes.facts.values():
+            beside = facts.get(SH + "property", [])
+            if shape.node in beside:
+                out |= {q for p in beside for q in self.shapes.facts.get(p, {}).get(SH + "qualifiedValueShape", [])}
+        return out - {node}
+
+    def _closed_by_types(self, shape: Shape, values: Solution) -> Solution:
+        """Triples of the values whose predicate none of the value's types declares; the (type, predicate) table is small."""
+        ignored = {RDF + "type"} | {x.v for h in shape.get("ignoredProperties") for x in self.shapes.items(h)}
+        types = {o for f in self.shapes.facts.values() for o in f.get(SH + "targetClass", [])} | {n for n, f in self.shapes.facts.items() if RDFS + "subClassOf" in f or RDF + "type" in f}
+        pairs = [(c, p) for c in types if isinstance(c, IRI) for p in self._properties_of(c, set())]
+        graph, spark = self.engine.graph, self.engine.spark
+        every = graph.scan([Triple(Var("value"), Var("p"), Var("o"))])
+        mine = join(values, every.where(~self._lexical(every.value("p")).isin(*ignored)).boxed({"p"}))
+        typed = graph.scan([Triple(Var("value"), IRI(RDF + "type"), Var("c"))]).boxed({"c"})
+        told = spark.createDataFrame([(c.v, p) for c, p in pairs], "c string, p string")
+        allowed = typed.df.withColumn("~c", typed.value("c").col["v"]).join(told.withColumnRenamed("p", "~p"), F.col("~c") == told["c"]).select(typed.value("value").col.alias("value"), F.col("~p"))
+        allowed = Solution(allowed.select("value", boxed_iri(F.col("~p")).alias("p")).distinct(), {"value": typed.kinds["value"], "p": BOXED}, {"value", "p"})
+        bad = semi_join(mine, allowed, True)
+        return bad.select({"focus": bad.value("focus"), "value": bad.value("o")}, {"focus", "value"})
+
+    def _properties_of(self, node, seen: set) -> set[str]:
+        """Predicates that a class or node shape declares, by itself, its superclasses, the shapes that target it and its sh:node."""
+        if node in seen:
+            return set()
+        seen.add(node)
+        facts = self.shapes.facts.get(node, {})
+        out = {x.v for p in facts.get(SH + "property", []) for x in self.shapes.facts[p].get(SH + "path", []) if isinstance(x, IRI)}
+        near = facts.get(RDFS + "subClassOf", []) + facts.get(SH + "node", []) + [n for n, f in self.shapes.facts.items() if node in f.get(SH + "targetClass", [])]
+        for n in near:
+            out |= self._properties_of(n, seen)
+        return out
+
+    def _query(self, text: str, shape: Shape, bound: dict):
+        from quadloom.graph import substituted
+
+        return substituted(parse_query(text, self.engine.prefixes | self.shapes.declared()), bound | ({"PATH": shape.path} if shape.path is not None else {}))
+
+    def _selected(self, node, shape: Shape, focus: Solution, bound: dict) -> Solution:
+        """(focus, value) rows of a SELECT, run once with all focus nodes as $this."""
+        q = self._query(self.shapes.facts[node][SH + "select"][0].v, shape, bound)
+        given = focus.select({"this": focus.value("focus")}, {"this"})
+        found = self.engine._modified(q, self.engine._group(q.pattern, None, given=given)[0])
+        return found.select({"focus": found.value("this")} | ({"value": found.value("value")} if "value" in found.kinds else {}), {"focus"})
+
+    def _declared(self, component: IRI, parameters: list, shape: Shape, focus: Solution, values: Solution) -> list[Solution]:
+        """Violations of a declared component, for each choice of its parameters' values; an ASK runs once for all values."""
+        own, out = self.shapes.facts[component], []
+        validators = own.get(SH + ("propertyValidator" if shape.path is not None else "nodeValidator"), []) + own.get(SH + "validator", [])
+        if not validators:
+            return out
+        facts = self.shapes.facts[validators[0]]
+        for choice in product(*[shape.facts.get(p, [None]) for p, _, _ in parameters]):
+            bound = {name: v for (_, name, _), v in zip(parameters, choice, strict=True) if v is not None}
+            if SH + "select" in facts:
+                out.append(self._selected(validators[0], shape, focus, bound))
+                continue
+            q = self._query(facts[SH + "ask"][0].v, shape, bound)
+            given = values.select({"this": values.value("focus"), "value": values.value("value")}, {"this", "value"})
+            good = self.engine._group(q.pattern, None, given=given)[0]
+            good = good.select({"focus": good.value("this"), "value": good.value("value")}, {"focus", "value"})
+            out.append(semi_join(values, good.distinct(), True))
         return out
 
     def _reifiers(self, shape: Shape, values: Solution) -> Solution:
@@ -407,6 +593,91 @@ class Validator:
         return semi_join(key, Solution(many, {n: key.kinds[n] for n in names}, set(names)), False).keep(["focus"])
 
 
+def boxed_iri(text: Column) -> Column:
+    return box(Value(text, Kind("iri")))
+
+
+def report_graph(engine: Engine, shapes_text: str, prefixes: dict[str, str] | None = None, disallows: tuple[str, ...] | None = None) -> DataFrame:
+    """The validation report as quads. disallows: severities that break conformance; by default any result does."""
+    shapes = Shapes(shapes_text, prefixes or engine.prefixes)
+    found = durable(Validator(engine, shapes).violations(), "results")
+    spark, report = engine.spark, struct(K_BNODE, "report")
+    told: list = []
+    paths = {path_text(s.path): _path_node(s.path, told) for s in shapes.shapes.values() if s.path is not None}
+    nodes = spark.createDataFrame([(text, term_text(node)) for text, node in paths.items()] or [("", "")], "path string, node string")
+    messages = [(n.v if isinstance(n, IRI) else f"_:{n.v}", term_text(m)) for n, f in shapes.facts.items() for m in f.get(SH + "message", [])]
+    said = spark.createDataFrame(messages or [("", "")], "shape string, message string")
+    node = struct(K_BNODE, F.concat(F.lit("r"), F.md5(F.concat_ws("\u0001", *[F.coalesce(c, F.lit("\u0002")) for c in found.columns]))))
+    results = found.withColumn("r", node).join(nodes, "path", "left")
+    shape = F.when(F.col("shape").startswith("_:"), struct(K_BNODE, F.substring("shape", 3, 1 << 30))).otherwise(boxed_iri(F.col("shape")))
+    facts = [(RDF + "type", struct(K_IRI, SH + "ValidationResult")), (SH + "focusNode", parse_nt(F.col("focus"))), (SH + "resultPath", parse_nt(F.col("node"))), (SH + "value", parse_nt(F.col("value"))), (SH + "sourceConstraintComponent", boxed_iri(F.col("component"))), (SH + "sourceShape", shape), (SH + "resultSeverity", boxed_iri(F.col("severity")))]
+    each = results.select("r", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in facts])).alias("x")).select(F.lit("").alias("g"), F.col("r").alias("s"), "x.p", "x.o")
+    texts = results.join(said, "shape").select(F.lit("").alias("g"), F.col("r").alias("s"), F.lit(SH + "resultMessage").alias("p"), parse_nt(F.col("message")).alias("o"))
+    links = results.select(F.lit("").alias("g"), report.alias("s"), F.lit(SH + "result").alias("p"), F.col("r").alias("o"))
+    broken = found if disallows is None else found.where(F.col("severity").isin(*disallows))
+    head = quads_frame(spark, [(None, Triple(BNode("report"), IRI(RDF + "type"), IRI(SH + "ValidationReport"))), (None, Triple(BNode("report"), IRI(SH + "conforms"), Lit(str(broken.isEmpty()).lower(), XSD + "boolean")))] + told)
+    return each.where("o is not null").unionByName(texts).unionByName(links).unionByName(head).distinct()
+
+
+def _path_node(p, told: list):
+    """The term of a path in a report; the triples of a composed one are added to ``told``."""
+    if isinstance(p, IRI):
+        return p
+    node = BNode(f"path{len(told)}")
+    add = lambda s, name, o: told.append((None, Triple(s, IRI(name), o)))
+    if isinstance(p, Inv):
+        told.append(None)
+        at = len(told) - 1
+        told[at] = (None, Triple(node, IRI(SH + "inversePath"), _path_node(p.a, told)))
+        return node
+    if isinstance(p, Mod):
+        name = {"*": "zeroOrMorePath", "+": "oneOrMorePath", "?": "zeroOrOnePath"}[p.kind]
+        told.append(None)
+        at = len(told) - 1
+        told[at] = (None, Triple(node, IRI(SH + name), _path_node(p.a, told)))
+        return node
+    kind, parts, rest = type(p), [], p
+    while isinstance(rest, kind):
+        parts.insert(0, rest.b)
+        rest = rest.a
+    parts.insert(0, rest)
+    head, last = (node, None) if kind is Seq else (BNode(node.v + "l"), None)
+    if kind is Alt:
+        add(node, SH + "alternativePath", head)
+    for i, part in enumerate(parts):
+        cell = head if i == 0 else BNode(f"{head.v}-{i}")
+        if last is not None:
+            add(last, RDF + "rest", cell)
+        told.append(None)
+        at = len(told) - 1
+        told[at] = (None, Triple(cell, IRI(RDF + "first"), _path_node(part, told)))
+        last = cell
+    add(last, RDF + "rest", IRI(RDF + "nil"))
+    return node
+
+
+def validate_each(engines: dict[str, Engine], shapes: str, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """Violations of several data graphs in one plan, with the name of the graph in the column data."""
+    out = None
+    for name, engine in engines.items():
+        own = validate(engine, shapes, prefixes).withColumn("data", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def evaluate(engine: Engine, shapes_text: str, node, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """(focus, path, value) of the property shapes of a shape: stored values, computed ones and defaults."""
+    shapes = Shapes(shapes_text, prefixes or engine.prefixes)
+    validator = Validator(engine, shapes)
+    focus, out = validator.targets(shapes.shape(node)), None
+    for p in shapes.shape(node).get("property"):
+        shape = shapes.shape(p)
+        s = validator.values(shape, focus)
+        own = s.df.select(box(s.value("focus")).alias("focus"), F.lit(path_text(shape.path)).alias("path"), box(s.value("value")).alias("value"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def validate(engine: Engine, shapes: str, prefixes: dict[str, str] | None = None) -> DataFrame:
     return Validator(engine, Shapes(shapes, prefixes or engine.prefixes)).violations()
 

@@ -81,10 +81,26 @@ def variables_of(e) -> set[str]:
     return set()
 
 
+def reversed_path(p):
+    """The path walked from its end to its beginning."""
+    if isinstance(p, IRI):
+        return Inv(p)
+    if isinstance(p, Inv):
+        return p.a
+    if isinstance(p, Seq):
+        return Seq(reversed_path(p.b), reversed_path(p.a))
+    if isinstance(p, Alt):
+        return Alt(reversed_path(p.a), reversed_path(p.b))
+    if isinstance(p, NegSet):
+        return NegSet(p.inverse, p.forward, p.has_inverse, p.has_forward)
+    return Mod(reversed_path(p.a), p.kind)
+
+
 class Engine:
     """Compiles queries for one graph. services: IRI of an endpoint to a graph that answers for it."""
 
-    def __init__(self, graph: MappedGraph | QuadGraph, prefixes: dict[str, str] | None = None, functions: dict[str, Callable] | None = None, services: dict[str, MappedGraph | QuadGraph] | None = None, now: str = "2024-01-01 00:00:00"):
+    def __init__(self, graph: MappedGraph | QuadGraph, prefixes: dict[str, str] | None = None, functions: dict[str, Callable] | None = None, services: dict[str, MappedGraph | QuadGraph] | None = None, now: str = "2024-01-01 00:00:00", entailment: str | None = None):
+        self.entailment = entailment
         self.graph, self.prefixes, self.functions, self.services, self.now = graph, prefixes or {}, functions or {}, services or {}, now
         self.spark = graph.spark
         self.paths = 0
@@ -92,7 +108,7 @@ class Engine:
     # entry points
     def solutions(self, text: str | Query) -> Solution:
         q = parse_query(text, self.prefixes) if isinstance(text, str) else text
-        own = Engine(self.graph.dataset(q.from_, q.from_named), self.prefixes, self.functions, self.services, self.now) if q.from_ or q.from_named else self
+        own = Engine(self.graph.dataset(q.from_, q.from_named), self.prefixes, self.functions, self.services, self.now, self.entailment) if q.from_ or q.from_named else self
         return own._select(q)
 
     def select(self, text: str | Query, lexical_forms: bool = False) -> DataFrame:
@@ -314,9 +330,9 @@ class Engine:
             return self._service(p)
         raise Unsupported(type(p).__name__)
 
-    def _group(self, g: Group, graph, pull: bool = False) -> tuple[Solution, list]:
-        """The group's solutions; with ``pull``, filters that need variables from outside are handed back."""
-        s: Solution | None = None
+    def _group(self, g: Group, graph, pull: bool = False, given: Solution | None = None) -> tuple[Solution, list]:
+        """The group's solutions, joined with those ``given``; with ``pull``, filters that need variables from outside are handed back."""
+        s = given
         filters = [f.expr for f in g.parts if isinstance(f, Filter)]
         parts = [p for p in g.parts if not isinstance(p, Filter)]
         # neighbouring basic patterns are one
@@ -412,6 +428,11 @@ class Engine:
         raise Unsupported(f"no service {p.name}")
 
     def _bgp(self, triples: list[Triple], graph) -> Solution:
+        if self.entailment:
+            from quadloom.operators.query_entailment import widened
+
+            plain = Engine(self.graph, self.prefixes, self.functions, self.services, self.now)
+            return plain._pattern(widened(triples, self.entailment), graph)
         simple = [t for t in triples if isinstance(t.p, (IRI, Var))]
         parts = [self.graph.scan(star, graph) for star in self.graph.stars(simple)]
         for t in triples:
@@ -435,6 +456,10 @@ class Engine:
                 seeds = every.select({"s": Value(boxed_constant(t.s), BOXED)} | every.values(), {"s", HERE})
             pairs = self._path(t.p, Var(HERE), zero=[x for x in (t.s, t.o) if variable(x) is None], seeds=seeds)
             return bind(pairs.df, [(t.s, pairs.value("s")), (t.o, pairs.value("o")), (graph, pairs.value(HERE))])
+        if variable(t.s) is not None and variable(t.o) is None:
+            # only the end is known: walk back from it
+            pairs = self._path(reversed_path(t.p), graph, t.o)
+            return bind(pairs.df, [(t.o, pairs.value("s")), (t.s, pairs.value("o"))])
         start = t.s if variable(t.s) is None else None
         pairs = self._path(t.p, graph, start)
         return bind(pairs.df, [(t.s, pairs.value("s")), (t.o, pairs.value("o"))])
@@ -453,6 +478,9 @@ class Engine:
         if isinstance(p, IRI):
             return step(p) if start is None else self._from(start, step(p, start))
         if isinstance(p, Inv):
+            if start is not None and isinstance(p.a, IRI):
+                s = self.graph.scan([Triple(Var("s"), p.a, start)], graph)
+                return s.select({"s": constant(start), "o": s.value("s")}, {"s", "o"})
             s = self._path(p.a, graph, zero=zero)
             return s.select({n: s.value({"s": "o", "o": "s"}.get(n, n)) for n in ends}, set(ends))
         if isinstance(p, Alt):

@@ -51,6 +51,9 @@ CASES = [
     ("SELECT ?s WHERE { ?s :name ?n FILTER(?n = 'n1' || NOT EXISTS { ?s :next ?x }) }", [("s1",), ("s3",)]),
     ("SELECT ?o WHERE { :s0 :next+ ?o }", [("s0",), ("s1",), ("s2",)]),
     ("SELECT ?o WHERE { :nowhere :next* ?o }", [("nowhere",)]),
+    ("SELECT ?s WHERE { ?s :next* :s2 }", [("s0",), ("s1",), ("s2",)]),
+    ("SELECT ?s WHERE { ?s (:next/:next)|:kind :s2 }", [("s0",)]),
+    ("SELECT ?s WHERE { ?s :next* :nowhere }", [("nowhere",)]),
     ("SELECT ?o WHERE { :s0 :next? ?o }", [("s0",), ("s1",)]),
     ("SELECT ?o WHERE { :s0 :next/:next ?o }", [("s2",)]),
     ("SELECT ?o WHERE { :s0 ^:next ?o }", [("s2",)]),

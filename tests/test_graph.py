@@ -71,3 +71,37 @@ def test_profile(graph, spark):
     assert profile.cbd(graph.quads, graph.quads.where("s.v = 'http://e/a'").select("s")).count() == 7
     used = profile.relevant_subgraph(graph.engine, "SELECT * WHERE { ?s :p ?n FILTER(?n > 1) OPTIONAL { ?s :q ?t } }")
     assert sorted((r.p.rpartition("/")[2], r.o.v) for r in used.collect()) == [("p", "2"), ("p", "5"), ("q", "x\ny")]
+
+
+def test_basic_encoding(spark):
+    text = ":r rdf:reifies <<( :a :p <<( :b :q 1 )>> )>> . :s rdf:reifies <<( :b :q 1 )>> . :s :x 2 ."
+    g = RdfGraph(spark, None, P | {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#"}).parse(data=text)
+    told = setops.to_basic(g.quads)
+    assert told.where("o.k = 4").isEmpty() and told.count() == 11
+    assert setops.same_ground(setops.from_basic(told), g.quads)
+    with pytest.raises(ValueError):
+        setops.from_basic(told.where("p not like '%Object'"))
+
+
+def test_isomorphism(spark):
+    one = RdfGraph(spark, None, P).parse(data="_:a :p _:b . _:b :p 1 ; :q _:c . _:c :p 2 .").quads
+    two = RdfGraph(spark, None, P).parse(data="_:x :p 2 . _:y :p 1 ; :q _:x . _:z :p _:y .").quads
+    other = RdfGraph(spark, None, P).parse(data="_:x :p 2 . _:y :p 1 ; :q _:x . _:z :p _:x .").quads
+    assert setops.isomorphic(one, two) and not setops.isomorphic(one, other)
+    assert setops.digest(setops.canonical(one)) == setops.digest(setops.canonical(two))
+    with pytest.raises(ValueError):
+        setops.canonical(RdfGraph(spark, None, P).parse(data="_:a :p _:b . _:b :p _:a .").quads)
+
+
+def test_query_time_entailment(spark):
+    from quadloom.plans.engine import Engine
+    from quadloom.sources.graphs import QuadGraph
+
+    p = P | {"rdfs": "http://www.w3.org/2000/01/rdf-schema#", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#"}
+    g = RdfGraph(spark, None, p).parse(data=":A rdfs:subClassOf :B . :B rdfs:subClassOf :C . :x a :A . :part rdfs:subPropertyOf :of ; rdfs:domain :D . :of rdfs:range :E . :y :part :z .")
+    e = Engine(QuadGraph(g.quads), p, entailment="RDFS")
+    names = lambda q: sorted(str(r[0].v if hasattr(r[0], "v") else r[0])[-1] for r in e.select(q).collect())
+    assert names("SELECT ?s { ?s a :C }") == ["x"] and names("SELECT ?s { ?s a :D }") == ["y"] and names("SELECT ?s { ?s a :E }") == ["z"]
+    assert names("SELECT ?o { :y :of ?o }") == ["z"] and names("SELECT ?c { :A rdfs:subClassOf ?c }") == ["B", "C"]
+    with pytest.raises(NotImplementedError):
+        e.select("SELECT ?p { :x ?p ?o }")

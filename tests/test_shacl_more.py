@@ -86,3 +86,53 @@ def test_rules(spark):
     """
     got = sorted((r.s.v[9:], r.p[9:], r.o.v.removeprefix("http://e/")) for r in apply_rules(graph, shapes, P).collect())
     assert got == [("a", "reach", "c"), ("a", "reach", "d"), ("b", "reach", "d"), ("q", "sized", "false"), ("r", "size", "5"), ("r", "sized", "true")]
+
+
+MORE = """
+:x a :P ; :friend :y ; :age 3 ; :n 1 . :y a :P ; :friend :x ; :age 4 . :z a :P ; :friend :w ; :age 5 . :w :friend :z .
+:v sh:shape :Linked ; :age 30 . :q :part :h1 , :h2 ; a :Q . :h1 :left 1 ; :right 1 . :h2 :left 2 .
+"""
+SHAPES = {
+    "recursive": (":S a sh:NodeShape ; sh:targetClass :P ; sh:property [ sh:path :friend ; sh:node :S ] ; sh:property [ sh:path :age ; sh:minCount 1 ] .", [("z", "Node")]),
+    "linked": (":Linked a sh:NodeShape ; sh:property [ sh:path :age ; sh:maxInclusive 9 ] .", [("v", "MaxInclusive")]),
+    "where": (":S sh:targetWhere [ sh:property [ sh:path :age ; sh:minCount 1 ; sh:maxInclusive 9 ] ] ; sh:property [ sh:path :friend ; sh:hasValue :x ] .", [("x", "HasValue"), ("z", "HasValue")]),
+    "disjoint": (":S sh:targetClass :Q ; sh:property [ sh:path :part ; sh:qualifiedMinCount 1 ; sh:qualifiedValueShapesDisjoint true ; sh:qualifiedValueShape [ sh:property [ sh:path :right ; sh:minCount 1 ] ] ] , [ sh:path :part ; sh:qualifiedMinCount 1 ; sh:qualifiedValueShape [ sh:property [ sh:path :left ; sh:minCount 1 ] ] ] .", [("q", "QualifiedMinCount")]),
+    "types": (":S sh:targetClass :P ; sh:closed sh:ByTypes ; sh:property [ sh:path :age ] , [ sh:path :friend ] .", [("x", "Closed")]),
+    "sparql": (":S sh:targetClass :P ; sh:property [ sh:path :age ; sh:sparql [ sh:select 'SELECT $this ?value WHERE { $this $PATH ?value FILTER(?value > 4) }' ] ] .", [("z", "SPARQL")]),
+    "ask": (":C sh:parameter [ sh:path :below ] ; sh:validator [ sh:ask 'ASK { FILTER($value < $below) }' ] . :S sh:targetClass :P ; sh:property [ sh:path :age ; :below 5 ] .", [("z", "http://e/C")]),
+    "select": (":C sh:parameter [ sh:path :least ] ; sh:propertyValidator [ sh:select 'SELECT $this ?value WHERE { $this $PATH ?value FILTER(?value < $least) }' ] . :S sh:targetClass :P ; sh:property [ sh:path :age ; :least 4 ] .", [("x", "http://e/C")]),
+    "values": (":S sh:targetClass :P ; sh:property [ sh:path :n ; sh:defaultValue 7 ; sh:maxInclusive 6 ] .", [("y", "MaxInclusive"), ("z", "MaxInclusive")]),
+}
+
+
+@pytest.fixture(scope="module")
+def more(spark):
+    graph = QuadGraph.of(spark, parse_turtle(MORE, P))
+    return Engine(QuadGraph(spark.createDataFrame(graph.quads.collect(), graph.quads.schema)), P)
+
+
+@pytest.mark.parametrize("name", SHAPES)
+def test_further_constraints(more, name):
+    text, want = SHAPES[name]
+    got = sorted((r.focus.removeprefix("<http://e/").rstrip(">"), r.component.removeprefix("http://www.w3.org/ns/shacl#").removesuffix("ConstraintComponent")) for r in shacl.validate(more, text, P).collect())
+    assert got == want
+
+
+def test_recursion_through_negation_is_refused(more):
+    with pytest.raises(ValueError, match="negation"):
+        shacl.validate(more, ":S sh:targetClass :P ; sh:not [ sh:property [ sh:path :friend ; sh:node :S ] ] .", P)
+
+
+def test_report(more):
+    text = ":S sh:targetClass :P ; sh:severity sh:Warning ; sh:property [ sh:path ( :friend [ sh:inversePath :friend ] ) ; sh:message 'no' ; sh:maxCount 0 ; sh:severity sh:Warning ] ."
+    view = Engine(QuadGraph(shacl.report_graph(more, text)), P)
+    assert view.ask("ASK { ?r a sh:ValidationReport ; sh:conforms false ; sh:result [ sh:focusNode :x ; sh:resultMessage 'no' ; sh:resultPath/rdf:rest/rdf:first/sh:inversePath :friend ; sh:resultSeverity sh:Warning ] }")
+    view = Engine(QuadGraph(shacl.report_graph(more, text, disallows=("http://www.w3.org/ns/shacl#Violation",))), P)
+    assert view.ask("ASK { ?r sh:conforms true }")
+
+
+def test_each_and_evaluate(more, engine):
+    found = shacl.validate_each({"one": more, "two": engine}, ":S sh:targetSubjectsOf :age ; sh:property [ sh:path :age ; sh:maxInclusive 6 ] .", P).collect()
+    assert sorted((r.data, r.focus) for r in found) == [("one", "<http://e/v>"), ("two", "<http://e/b>")]
+    rows = shacl.evaluate(more, ":S sh:targetClass :P ; sh:property [ sh:path :n ; sh:defaultValue 7 ] .", IRI("http://e/S"), P).collect()
+    assert sorted((r.focus.v[-1], r.value.v) for r in rows) == [("x", "1"), ("y", "7"), ("z", "7")]
