@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.functions.terms import box, lexical
-from quadloom.operators import entailment, setops, shacl
+from quadloom.operators import entailment, profile, setops, shacl
+from quadloom.operators.node_expressions import values_of
 from quadloom.operators.rules import RuleSet
+from quadloom.operators.shacl_rules import apply_rules
 from quadloom.plans.catalog import PREFIXES, T, testdata
 from quadloom.plans.durable import durable
 from quadloom.plans.engine import Engine
+from quadloom.sources import ntriples
 from quadloom.sources.graphs import QuadGraph
-from quadloom.sparql.ast import Triple, Var
+from quadloom.sparql.ast import IRI, Triple, Var
 
 
 @dataclass(frozen=True)
@@ -41,8 +44,6 @@ def quads_of(e: Engine, patterns: list[tuple[str, str]]) -> DataFrame:
     """Mapped triples of (subject class pattern, predicate) as a table of quads."""
     out = None
     for predicate, _ in patterns:
-        from quadloom.sparql.ast import IRI
-
         s = e.graph.scan([Triple(Var("s"), IRI(T + predicate), Var("o"))])
         df = s.df.select(F.lit("").alias("g"), box(s.value("s")).alias("s"), F.lit(T + predicate).alias("p"), box(s.value("o")).alias("o"))
         out = df if out is None else out.unionByName(df)
@@ -410,4 +411,144 @@ QUERIES["srl_recursion_negation"] = Registered(
     UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', count(*) FROM (SELECT conv_id, max(turn) AS m FROM conversations GROUP BY 1) WHERE m > 0""",
 )
 
+QUERIES["path_in_graph"] = _sparql(
+    "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?o t:o_custkey/^t:o_custkey ?p } } GROUP BY ?g",
+    f"SELECT {iri('status', 'a.o_orderstatus')} AS g, count(*) AS n FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = b.o_orderstatus GROUP BY 1",
+)
+QUERIES["exists_correlated"] = _sparql(
+    "SELECT ?c WHERE { ?c t:c_nationkey ?k ; t:c_acctbal ?b FILTER(?b > 9000 || EXISTS { ?s t:s_nationkey ?k ; t:s_acctbal ?v FILTER(?v < ?b - 8000) }) }",
+    f"SELECT {iri('customer', 'c_custkey')} AS c FROM customer WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal < c_acctbal - 8000)",
+)
+
+
+def _query_time(spark: SparkSession, d: str) -> DataFrame:
+    """The RDFS answer to one pattern without the closure."""
+    triples = durable(_typed_parts(spark, d), "typed")
+    e = Engine(QuadGraph(triples.distinct()), PREFIXES, entailment="RDFS")
+    return e.select("SELECT DISTINCT ?p WHERE { ?p a t:Thing }", lexical_forms=True)
+
+
+QUERIES["rdfs_query_time"] = Registered(_query_time, f"SELECT {iri('part', 'p_partkey')} AS p FROM part")
+
+
+def _owl(spark: SparkSession, d: str) -> DataFrame:
+    data = engine(spark, d).construct("CONSTRUCT { ?k t:in ?g . ?g t:in t:World . t:in a owl:TransitiveProperty ; owl:inverseOf t:holds } WHERE { ?k t:n_regionkey ?g }")
+    closed = entailment.owl_rl_closure(durable(data, "owl-data"))
+    return _terms(closed.where(F.col("p").isin(T + "in", T + "holds")))
+
+
+_IN = f"SELECT {iri('nation', 'n_nationkey')} AS a, {iri('region', 'n_regionkey')} AS b FROM nation UNION SELECT {iri('region', 'n_regionkey')}, '{T}World' FROM nation UNION SELECT {iri('nation', 'n_nationkey')}, '{T}World' FROM nation"
+QUERIES["owl_rl_closure"] = Registered(_owl, f"WITH i AS ({_IN}) SELECT a AS s, '{T}in' AS p, b AS o FROM i UNION ALL SELECT b, '{T}holds', a FROM i")
+
+
+def _profile(spark: SparkSession, d: str) -> DataFrame:
+    data = engine(spark, d).construct("CONSTRUCT { ?c a t:Customer . ?c t:ordered ?o ; t:segment ?s } WHERE { ?c t:c_mktsegment ?s OPTIONAL { ?o t:o_custkey ?c } }")
+    return profile.derive_shapes(durable(data, "profile")).select("p", "members", "have", F.col("least").cast("bigint").alias("least"), "most")
+
+
+QUERIES["derive_shapes"] = Registered(
+    _profile,
+    f"""WITH n AS (SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer)
+    SELECT '{T}ordered' AS p, count(*) AS members, count(*) FILTER (n > 0) AS have, min(n) AS least, max(n) AS most FROM n
+    UNION ALL SELECT '{T}segment', count(*), count(*), 1, 1 FROM customer""",
+)
+
+
+def _provenance(spark: SparkSession, d: str) -> DataFrame:
+    quads = durable(quads_of(engine(spark, d), [("c_nationkey", ""), ("n_name", ""), ("n_regionkey", "")]), "quads")
+    e = Engine(QuadGraph(quads), PREFIXES)
+    return _terms(profile.relevant_subgraph(e, "SELECT ?c WHERE { ?c t:c_nationkey ?k . ?k t:n_regionkey <https://example.org/t/region/2> }"))
+
+
+QUERIES["relevant_subgraph"] = Registered(
+    _provenance,
+    f"""SELECT DISTINCT unnest([{iri('customer', 'c_custkey')}, {iri('nation', 'n_nationkey')}]) AS s, unnest(['{T}c_nationkey', '{T}n_regionkey']) AS p, unnest([{iri('nation', 'n_nationkey')}, {iri('region', 'n_regionkey')}]) AS o
+    FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2""",
+)
+
+
+def _basic(spark: SparkSession, d: str) -> DataFrame:
+    """Triple terms encoded and decoded again."""
+    quads = durable(engine(spark, d).construct("CONSTRUCT { ?r rdf:reifies <<( ?k t:n_name ?n )>> } WHERE { ?k t:n_name ?n BIND(IRI(CONCAT(STR(?k), '/note')) AS ?r) }"), "terms")
+    told = durable(setops.to_basic(quads), "basic")
+    back = setops.from_basic(told)
+    count = lambda df, kind: df.groupBy("p").agg(F.count("*").alias("n")).select(F.lit(kind).alias("side"), "p", "n")
+    return count(told, "basic").unionByName(count(back.intersect(quads.select(back.columns)), "back"))
+
+
+_RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+QUERIES["basic_encoding"] = Registered(
+    _basic,
+    f"""SELECT 'basic' AS side, p, count(*) AS n FROM (SELECT unnest(['{_RDF}reifies', '{_RDF}type', '{_RDF}propositionFormSubject', '{_RDF}propositionFormPredicate', '{_RDF}propositionFormObject']) AS p FROM nation) GROUP BY 2
+    UNION ALL SELECT 'back', '{_RDF}reifies', count(*) FROM nation""",
+)
+
+
+def _round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """N-Quads written to lines and read again."""
+    quads = quads_of(engine(spark, d), [("benchmark_text", "")])
+    return _terms(ntriples.nquads_rows(durable(ntriples.lines(quads), "lines")))
+
+
+QUERIES["nquads_round_trip"] = Registered(_round_trip, f"SELECT {iri('item', 'item_id')} AS s, '{T}benchmark_text' AS p, text AS o FROM benchmark")
+
+
+def _copied(spark: SparkSession, d: str) -> DataFrame:
+    quads = quads_of(engine(spark, d), [("r_name", ""), ("n_regionkey", "")]).distinct()
+    e = Engine(QuadGraph(quads), PREFIXES).update("COPY DEFAULT TO t:copy ; DELETE WHERE { ?r t:r_name ?n } ; INSERT { GRAPH t:sizes { ?r t:nations ?k } } WHERE { SELECT ?r (COUNT(*) AS ?k) { ?n t:n_regionkey ?r } GROUP BY ?r }")
+    return e.quads.groupBy("g", "p").agg(F.count("*").alias("n"))
+
+
+QUERIES["update_copy_insert"] = Registered(
+    _copied,
+    f"""SELECT '' AS g, '{T}n_regionkey' AS p, count(*) AS n FROM nation UNION ALL SELECT '{T}copy', '{T}n_regionkey', count(*) FROM nation
+    UNION ALL SELECT '{T}copy', '{T}r_name', count(*) FROM region UNION ALL SELECT '{T}sizes', '{T}nations', count(DISTINCT n_regionkey) FROM nation""",
+)
+
+
+def _expression(spark: SparkSession, d: str) -> DataFrame:
+    """A node expression for every customer at once."""
+    e = engine(spark, d)
+    v = shacl.Validator(e, shacl.Shapes("t:holder t:is [ x:count [ x:filterShape [ sh:property [ sh:path t:o_totalprice ; sh:minExclusive 200000 ] ] ; x:nodes [ x:pathValues [ sh:inversePath t:o_custkey ] ] ] ] .", PREFIXES | {"x": "http://www.w3.org/ns/shacl-node-expr#"}))
+    found = values_of(v, v.shapes.facts[IRI(T + "holder")][T + "is"][0], v.instances(IRI(T + "Customer")))
+    return found.select(F.col("focus")["v"].alias("c"), F.col("node")["v"].alias("n"))
+
+
+QUERIES["node_expression_count"] = Registered(_expression, f"SELECT {iri('customer', 'c_custkey')} AS c, CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS VARCHAR) AS n FROM customer")
+
+
+def _shacl_rules(spark: SparkSession, d: str) -> DataFrame:
+    quads = durable(quads_of(engine(spark, d), [("n_regionkey", ""), ("c_nationkey", "")]), "rules")
+    rules = """
+    t:R sh:targetSubjectsOf t:c_nationkey ; sh:rule [ a sh:TripleRule ; sh:subject sh:this ; sh:predicate t:inRegion ; sh:object [ x:pathValues ( t:c_nationkey t:n_regionkey ) ] ] ,
+      [ a sh:SPARQLRule ; sh:order 1 ; sh:construct "CONSTRUCT { ?g t:has $this } WHERE { $this t:inRegion ?g }" ] .
+    """
+    return _terms(apply_rules(QuadGraph(quads), rules, PREFIXES | {"x": "http://www.w3.org/ns/shacl-node-expr#"}))
+
+
+QUERIES["shacl_rules"] = Registered(
+    _shacl_rules,
+    f"""WITH r AS (SELECT {iri('customer', 'c_custkey')} AS c, {iri('region', 'n_regionkey')} AS g FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT c AS s, '{T}inRegion' AS p, g AS o FROM r UNION ALL SELECT g, '{T}has', c FROM r""",
+)
+
+COMPONENTS = """
+t:Below sh:parameter [ sh:path t:below ] ; sh:validator [ sh:ask 'ASK { FILTER($value < $below) }' ] .
+t:OrderShape sh:targetClass t:Order ; sh:property [ sh:path t:o_totalprice ; t:below 300000 ; sh:message "too dear" ] ;
+  sh:property [ sh:path ( t:o_custkey t:c_acctbal ) ; sh:sparql [ sh:select 'SELECT $this ?value WHERE { $this $PATH ?value FILTER(?value < -500) }' ] ] .
+"""
+
+
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    """A report graph of a declared component and an embedded query, read by a query."""
+    report = durable(shacl.report_graph(engine(spark, d), COMPONENTS), "report")
+    return Engine(QuadGraph(report), PREFIXES).select("SELECT ?c (COUNT(?f) AS ?n) (COUNT(?m) AS ?told) WHERE { ?r sh:focusNode ?f ; sh:sourceConstraintComponent ?c OPTIONAL { ?r sh:resultMessage ?m } } GROUP BY ?c", lexical_forms=True)
+
+
+QUERIES["shacl_report"] = Registered(
+    _report,
+    f"""SELECT * FROM (SELECT '{T}Below' AS c, count(*) AS n, count(*) AS told FROM orders WHERE o_totalprice >= 300000
+    UNION ALL SELECT 'http://www.w3.org/ns/shacl#SPARQLConstraintComponent', count(*), 0 FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < -500) WHERE n > 0""",
+)
+
 __all__ = ["QUERIES", "engine", "lexical"]
