@@ -24,7 +24,8 @@ FILTER_BITS = 20
 @dataclass(frozen=True)
 class Settings:
     """window: words of a template window. run: words in a row that make a leak (fewer for shorter items).
-    fewest: items with fewer words are left out, as no match of them would tell anything.
+    fewest: items with fewer words, two at least, count only word for word as a passage of their own; an item of
+    one word is left out, as no match of it would tell anything.
     block: items that one pass over the documents looks for, which bounds the broadcast."""
 
     window: int = 8
@@ -33,6 +34,18 @@ class Settings:
     block: int = 20_000
 
 
+@dataclass
+class Words:
+    """The words of a text: hash of each plain form, kind (SLOT kinds only where one stands), whether a sentence or line
+    starts there, whether it may be either a name or a plain word, and the plain forms."""
+
+    plain: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray
+    either: np.ndarray
+    forms: list[str]
+
+
 class Canonical:
     """Raw words to (kind, hash of the plain form, plain form, ends a sentence), remembered in a bounded cache."""
 
@@ -60,50 +73,96 @@ class Canonical:
         self.cache[raw] = got
         return got
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, list[tuple]]:
-        """Template ids, and what stands for each: (kind, hash, plain form, ends)."""
+    def __call__(self, text: str | None) -> Words:
         get, new = self.cache.get, self._new
-        words = [w for w in [get(r) or new(r) for r in (text or "").split()] if w[0] >= 0]
+        words, lines = [], [0]
+        for line in (text or "").splitlines():
+            words += [get(r) or new(r) for r in line.split()]
+            lines.append(len(words))
         n = len(words)
         kind = np.fromiter((w[0] for w in words), np.int8, n)
-        ids = np.fromiter((w[1] for w in words), np.uint64, n)
+        starts = np.r_[True, np.fromiter((w[3] for w in words), bool, n)][:n]
+        starts[[x for x in lines if x < n]] = True
+        if (kind < 0).any():
+            # a start before words that are punctuation only goes on to the next word
+            kept = kind >= 0
+            part = np.cumsum(starts)[kept]
+            starts = np.r_[True, part[1:] != part[:-1]][: len(part)]
+            words, kind = [w for w in words if w[0] >= 0], kind[kept]
+            n = len(words)
+        plain = np.fromiter((w[1] for w in words), np.uint64, n)
+        ids, either = plain, np.zeros(n, bool)
         if n and kind.any():
-            first = np.r_[True, np.fromiter((w[3] for w in words), bool, n)[:-1]]
-            after = np.r_[False, np.isin(kind[:-1], (NUMBER,))]
-            ids = np.where((kind == TITLE) & ~first, np.uint64(NAME_ID), ids)
+            after = np.r_[False, kind[:-1] == NUMBER]
+            either = (kind == TITLE) & starts
+            ids = np.where((kind == TITLE) & ~starts, np.uint64(NAME_ID), ids)
             ids = np.where(kind == NUMBER, np.uint64(NUMBER_ID), ids)
             ids = np.where(kind == MEASURE, np.uint64(MEASURE_ID), ids)
             ids = np.where((kind == UNIT_WORD) & after, np.uint64(UNIT_ID), ids)
-        return ids, words
+        return Words(plain, ids, starts, either, [w[2] for w in words])
 
 
-def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
+def _mixed(sums: np.ndarray) -> np.ndarray:
+    return sums ^ (sums >> np.uint64(29))
+
+
+def _sums(ids: np.ndarray, width: int) -> np.ndarray:
+    """Polynomial in BASE of every window; from halves where the width is even."""
     n = len(ids) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(width):
-        out = out * BASE + ids[i : i + n]
-    return out ^ (out >> np.uint64(29))
+    if width == 1:
+        return ids
+    half = _sums(ids, width // 2)
+    out = half[:n] * np.uint64(pow(int(BASE), width // 2, 1 << 64)) + half[width // 2 : width // 2 + n]
+    return out * BASE + ids[width - 1 :] if width % 2 else out
+
+
+def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
+    return _mixed(_sums(ids, width))
+
+
+def readings(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of every window: as plain words, and as templates with each word that may be a name read both ways."""
+    plain = window_hashes(words.plain, width)
+    if words.ids is words.plain and not words.either.any():
+        return plain, np.arange(len(plain))
+    # windows without a slot are the plain ones
+    slots = np.cumsum(np.r_[0, (words.ids != words.plain) | words.either])
+    at = np.flatnonzero(slots[width:] > slots[:-width]) if len(plain) else np.zeros(0, int)
+    sums = _sums(words.ids, width)[at]
+    if words.either.any() and len(plain):
+        # what a word adds to a window's sum if it is read as a name, by its place in the window
+        change = np.where(words.either, np.uint64(NAME_ID) - words.plain, np.uint64(0))
+        power = np.array([pow(int(BASE), width - 1 - i, 1 << 64) for i in range(width)], np.uint64)
+        for i in range(width):
+            here = words.either[at + i]
+            if here.any():
+                # once more with this word as a name
+                sums, at = np.concatenate([sums, sums[here] + change[at[here] + i] * power[i]]), np.concatenate([at, at[here]])
+    return np.concatenate([plain, _mixed(sums)]), np.concatenate([np.arange(len(plain)), at])
 
 
 SLOTS = frozenset((NAME_ID, NUMBER_ID, UNIT_ID, MEASURE_ID))
+SLOT_IDS = np.fromiter(SLOTS, np.uint64, len(SLOTS))
 
 
 class Matcher:
-    """The hash table of all template windows of a block of benchmark items."""
+    """The hash table of all windows, plain and as templates, of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]], settings: Settings):
         canonical, self.settings = Canonical(), settings
-        self.items: dict[int, tuple[np.ndarray, list[tuple]]] = {}
-        self.table: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.items: dict[int, Words] = {}
+        self.table: dict[int, dict[int, set[tuple[int, int]]]] = {}
         for nth, (_, text) in enumerate(items):
-            ids, words = canonical(text)
-            if len(ids) >= settings.fewest:
-                self.items[nth] = ids, words
-                width = min(settings.window, len(ids))
-                for at, h in enumerate(window_hashes(ids, width).tolist()):
-                    self.table.setdefault(width, {}).setdefault(h, []).append((nth, at))
+            words = canonical(text)
+            if len(words.ids) > 1:
+                self.items[nth] = words
+                width = min(settings.window, len(words.ids))
+                # of items under the fewest words only the plain form counts
+                hashes, places = readings(words, width) if len(words.ids) >= settings.fewest else (window_hashes(words.plain, width), np.zeros(1, int))
+                for h, at in zip(hashes.tolist(), places.tolist(), strict=True):
+                    self.table.setdefault(width, {}).setdefault(h, set()).add((nth, at))
         self.names = [i for i, _ in items]
         self.filters = {}
         for width, windows in self.table.items():
@@ -111,48 +170,68 @@ class Matcher:
             bits[(np.fromiter(windows, np.uint64, len(windows)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
             self.filters[width] = bits
 
-    def consistent(self, doc: tuple[np.ndarray, list[tuple]], start: int, item: int, at: int, length: int) -> bool:
-        """Whether every slot value of the item's words stands for one value in the document, and the other way round."""
-        (ids, words), (own, mine) = doc, self.items[item]
+    def consistent(self, doc: Words, start: int, item: int, at: int, length: int) -> bool:
+        """Whether every slot value of the item's words stands for one value in the document, and the other way round.
+
+        A word that may be a name and is the same on both sides sets no pair, but must not be against one.
+        """
+        mine = self.items[item]
         there: dict[tuple, str] = {}
         back: dict[tuple, str] = {}
+        loose = []
         for d, i in zip(range(start, start + length), range(at, at + length), strict=True):
-            if int(ids[d]) in SLOTS:
-                kind = int(ids[d])
-                if there.setdefault((kind, mine[i][2]), words[d][2]) != words[d][2] or back.setdefault((kind, words[d][2]), mine[i][2]) != mine[i][2]:
-                    return False
-        return True
+            kind = next((int(x) for x in (doc.ids[d], mine.ids[i]) if int(x) in SLOTS), NAME_ID if doc.either[d] and mine.either[i] else 0)
+            if not kind:
+                continue
+            a, b = mine.forms[i], doc.forms[d]
+            if a == b and (doc.either[d] or mine.either[i] or doc.ids[d] != mine.ids[i]):
+                loose.append((kind, a))
+            elif there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
+                return False
+        return all(there.get(x, x[1]) == x[1] and back.get(x, x[1]) == x[1] for x in loose)
 
     def find(self, canonical: Canonical, text: str | None) -> dict[int, int]:
-        """Words in a row shared with each leaked item, by item id: the longest run of matching windows on one alignment."""
-        ids, words = doc = canonical(text)
+        """Words in a row shared with each leaked item, by item id: the longest run of matching words on one alignment."""
+        doc = canonical(text)
         out: dict[int, int] = {}
         for width, windows in self.table.items():
-            hashes = window_hashes(ids, width)
-            hits: dict[tuple[int, int], list[int]] = {}
-            for pos in np.flatnonzero(self.filters[width][(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]).tolist():
-                for item, at in windows.get(int(hashes[pos]), ()):
-                    hits.setdefault((item, pos - at), []).append(pos)
-            for (item, shift), places in hits.items():
-                need = min(self.settings.run, len(self.items[item][0]))
-                start = last = places[0]
-                for pos in [*places[1:], None]:
-                    if pos is not None and pos == last + 1:
-                        last = pos
-                        continue
-                    length = last - start + width
-                    if length >= need and self._enough(doc, start, item, start - shift, length, need):
-                        out[self.names[item]] = max(length, out.get(self.names[item], 0))
-                    start = last = pos if pos is not None else 0
+            hashes, places = readings(doc, width)
+            hits: dict[tuple[int, int], set[int]] = {}
+            for nth in np.flatnonzero(self.filters[width][(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]).tolist():
+                pos = int(places[nth])
+                for item, at in windows.get(int(hashes[nth]), ()):
+                    hits.setdefault((item, pos - at), set()).add(pos)
+            for (item, shift), seeds in hits.items():
+                best = self._longest(doc, item, shift, seeds, width)
+                if best:
+                    out[self.names[item]] = max(best, out.get(self.names[item], 0))
         return out
 
-    def _enough(self, doc: tuple, start: int, item: int, at: int, length: int, need: int) -> bool:
-        """Some stretch of ``need`` words has consistent slots and at least half its words are not slots."""
-        ids = doc[0]
-        slot = np.isin(ids[start : start + length], np.fromiter(SLOTS, np.uint64, len(SLOTS)))
-        if not slot.any():
-            return True
-        return any(2 * slot[i : i + need].sum() <= need and self.consistent(doc, start + i, item, at + i, need) for i in range(length - need + 1))
+    def _longest(self, doc: Words, item: int, shift: int, seeds: set[int], width: int) -> int:
+        """Words of the longest run around a seed that counts as a leak, 0 if none does."""
+        mine = self.items[item]
+        need = min(self.settings.run, len(mine.ids))
+        first, end = max(0, shift), min(len(doc.ids), shift + len(mine.ids))
+        d, i = slice(first, end), slice(first - shift, end - shift)
+        same = doc.plain[d] == mine.plain[i]
+        if len(mine.ids) < self.settings.fewest:
+            # the item must be a passage of its own, between ends of sentences or lines
+            return len(mine.ids) if same.all() and len(same) == len(mine.ids) and doc.starts[first] and (end == len(doc.ids) or doc.starts[end]) else 0
+        names = (doc.either[d] | (doc.ids[d] == NAME_ID)) & (mine.either[i] | (mine.ids[i] == NAME_ID))
+        slot = names | (doc.ids[d] == mine.ids[i]) & np.isin(doc.ids[d], SLOT_IDS)
+        match = same | slot
+        edges = np.flatnonzero(np.diff(np.r_[False, match, False].astype(np.int8)))
+        best = 0
+        for low, high in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if high - low < max(need, best + 1) or not any(first + low <= s <= first + high - width for s in seeds):
+                continue
+            # words that may be names and are the same count as plain words
+            filled = slot & ~(same & (doc.either[d] | mine.either[i]))
+            for k in range(low, high - need + 1):
+                if same[k : k + need].all() or (2 * filled[k : k + need].sum() <= need and self.consistent(doc, first + k, item, first + k - shift, need)):
+                    best = high - low
+                    break
+        return best
 
 
 def _blocks(benchmark: DataFrame, settings: Settings):
@@ -198,9 +277,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     """doc_id, contaminated, item_ids (sorted), longest (words in a row); one row per input row.
 
     Templates: words in lower case without punctuation, numbers, names (capitalised inside a sentence)
-    and units as typed placeholders. A leak is a run of matching windows on one alignment of at least
-    ``run`` words, or the whole item if shorter, whose slots map one to one and fill at most half of
-    it. Windows come from whole texts. Repeated items are each reported.
+    and units as typed placeholders; a capitalised word that begins a sentence or a line is read both as
+    a name and as a plain word. A leak is a run of matching words on one alignment of at least ``run``
+    words, or the whole item if shorter, that is the item's word for word, or whose slots map one to one
+    and fill at most half of it. Windows come from whole texts. Repeated items are each reported.
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), leaks(F.col("text"), benchmark, settings).alias("m"))
     return found.select("doc_id", (F.size("m") > 0).alias("contaminated"), F.array_sort(F.array_distinct(F.transform("m", lambda x: x["item_id"]))).alias("item_ids"), F.coalesce(F.array_max(F.transform("m", lambda x: x["words"])), F.lit(0)).alias("longest"))
