@@ -1,9 +1,10 @@
-"""Leaks with names at the start of sentences."""
+"""Leaks with names at the start of sentences, and word-for-word leaks of items that are mostly slots."""
 
 from quadloom.llm import decontam
 
 TOM = "Tom has 5 apples. Tom gives 2 apples to Mary. How many apples does Tom have left?"
 CAPITAL = "What is the capital city of the northern province?"
+GRADES = "Alice, Bob, Carol, Dave, Erin, Frank and Grace scored 12, 15, 17, 19, 21, 23 and 25 points respectively."
 
 
 def found(item, text):
@@ -22,3 +23,16 @@ def test_names_that_begin_sentences():
 def test_context_and_case_do_not_matter():
     for text in ("Question\n" + CAPITAL, "Question " + CAPITAL, CAPITAL.upper(), CAPITAL.lower(), CAPITAL.title()):
         assert found(CAPITAL, text)
+
+
+def test_items_of_slots_word_for_word():
+    assert found(GRADES, "intro. " + GRADES + " outro")
+    assert found(GRADES, GRADES.lower())
+    other = "Peter, Quinn, Ralph, Steve, Tina, Uma and Viola scored 1, 2, 3, 4, 5, 6 and 7 points respectively."
+    assert not found(GRADES, other)
+
+
+def test_short_items_as_whole_passages():
+    assert found("Define entropy briefly.", "Questions:\ndefine entropy briefly\nnext")
+    assert not found("Define entropy briefly.", "please define entropy briefly and move on")
+    assert not found("tiny", "tiny")
