@@ -20,7 +20,9 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,128}(?![A-Za-z0-9])",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Cards are looked for in what the other kinds leave, in whole runs of digits, however long.
+ANY = "|".join(f"(?:{p})" for name, p in PATTERNS.items() if name != "card")
+DIGITS = r"(?<!\d)\d(?:[ -]?+\d){12,}+"
 
 #: Days from 1900-01-01 that count as dates, as a product for a two-part Feistel network: until 2099-08-04.
 DAY_PARTS = (270, 270)
@@ -155,7 +157,7 @@ def _email(s: Column, key: Column) -> Column:
 
 def pseudonym(found: Column, key: Column) -> Column:
     """struct(kind, value) for one match of ANY; kind is null and the value unchanged if it is not valid as its kind."""
-    own = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ipv4": _ipv4, "phone": _phone, "secret": lambda s, k: permute_text(s, k, "secret", True), "card": _card}
+    own = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ipv4": _ipv4, "phone": _phone, "secret": lambda s, k: permute_text(s, k, "secret", True)}
     kind = F.when(found.contains("@"), "email")
     for name in list(own)[1:]:
         kind = kind.when(found.rlike(f"^(?:{PATTERNS[name]})$"), name)
@@ -169,14 +171,84 @@ def pseudonym(found: Column, key: Column) -> Column:
     return _let(kind, fresh)
 
 
+def _piece(kind: Column, value: Column) -> Column:
+    return F.struct(kind.cast("string").alias("kind"), value.alias("value"))
+
+
+def _parts(found: Column, group: str, longest: int, fresh: Callable[[Column], Column], kind: str, admissible: Callable[[Column], Column]) -> Column:
+    """Pieces of a match: from each boundary of its groups, in order, the longest admissible row of groups that fresh() takes.
+
+    fresh gives null for what is not valid; groups that are in no valid row stay as they are.
+    """
+
+    def use(groups: Column) -> Column:
+        n = F.size(groups)
+
+        def span(i: Column) -> Column:
+            row = lambda k: F.array_join(F.slice(groups, i, k), "")
+            lead = F.regexp_extract(groups[i - 1], "^[ -]?", 0)
+            bare = lambda k: F.substr(row(k), F.length(lead) + 1, F.length(row(k)))
+            tried = F.transform(F.sequence(F.least(n - i + 1, F.lit(longest)), F.lit(1), F.lit(-1)), lambda k: F.struct(k.alias("k"), F.when(admissible(F.slice(groups, i, k)), fresh(bare(k))).alias("v")))
+            return _let(F.filter(tried, lambda t: t["v"].isNotNull()), lambda good: F.struct(lead.alias("lead"), F.coalesce(F.get(good, F.lit(0))["k"], F.lit(1)).alias("k"), F.get(good, F.lit(0))["v"].alias("v")))
+
+        empty = F.array().cast("array<struct<kind:string,value:string>>")
+        start = F.struct(F.lit(1).alias("next"), empty.alias("out"))
+
+        def step(acc: Column, i: Column) -> Column:
+            took = lambda s: F.when(s["v"].isNull(), F.array(_piece(F.lit(None), groups[i - 1]))).otherwise(F.array(_piece(F.lit(None), s["lead"]), _piece(F.lit(kind), s["v"])))
+            return F.when(i < acc["next"], acc).otherwise(_let(span(i), lambda s: F.struct((i + s["k"]).alias("next"), F.concat(acc["out"], took(s)).alias("out"))))
+
+        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["out"])
+
+    return _let(F.regexp_extract_all(found, F.lit(group), F.lit(0)), use)
+
+
+def _cards(text: Column, key: Column) -> Column:
+    """Pieces of a text in which no other kind is.
+
+    A run of 13 to 19 digits may be a card whatever its groups; inside a run each group but the last
+    must have three digits or more, so that lists of small numbers are not taken for cards.
+    """
+    digits = lambda groups: F.length(_digits(F.array_join(groups, ""))).between(13, 19)
+    grouped = lambda groups: digits(groups) & ~F.exists(F.slice(groups, 1, F.size(groups) - 1), lambda g: F.length(_digits(g)) < 3)
+
+    def of_run(run: Column) -> Column:
+        whole = F.when(F.length(_digits(run)).between(13, 19), _card(run, key))
+        return _let(whole, lambda v: F.when(v.isNotNull(), F.array(_piece(F.lit("card"), v))).otherwise(_parts(run, r"[ -]?\d+", 7, lambda s: _card(s, key), "card", grouped)))
+
+    parts, found = F.split(text, DIGITS, -1), F.regexp_extract_all(text, F.lit(DIGITS), F.lit(0))
+    pieces = F.flatten(F.zip_with(parts, found, lambda p, m: F.when(m.isNull(), F.array(_piece(F.lit(None), p))).otherwise(F.concat(F.array(_piece(F.lit(None), p)), of_run(m)))))
+    return F.when(text.rlike(DIGITS), pieces).otherwise(F.array(_piece(F.lit(None), text)))
+
+
+def _others(found: Column, key: Column) -> Column:
+    """Pieces of a match of ANY; of an IBAN with more groups than its own those that are valid."""
+    whole = lambda r: F.array(_piece(r["kind"], r["value"]))
+    starts = lambda groups: groups[0].rlike(r"^ ?[A-Z]{2}\d{2}")
+    iban = lambda: _parts(found, r" ?[A-Z0-9]+", 9, lambda s: _iban(s, key), "iban", starts)
+    return _let(pseudonym(found, key), lambda r: F.when(r["kind"].isNull() & found.rlike(f"^(?:{PATTERNS['iban']})$"), iban()).otherwise(whole(r)))
+
+
+def _with_cards(pieces: Column, marks: Column, key: Column) -> Column:
+    """The pieces with those between the marked places (from 1) put together and searched for cards."""
+
+    def stretch(end: Column, j: Column) -> Column:
+        before = F.when(j == 0, 0).otherwise(F.get(marks, j - 1))
+        text = F.array_join(F.transform(F.slice(pieces, before + 1, end - before - 1), lambda x: x["value"]), "")
+        return F.concat(_let(text, lambda t: _cards(t, key)), F.slice(pieces, end, F.lit(1)))
+
+    return F.flatten(F.transform(F.concat(marks, F.array(F.size(pieces) + 1)), stretch))
+
+
 def pseudonymised(text: Column, key: str) -> Column:
     """struct(text, kinds): the text with every valid private value replaced, and the kinds in order of place."""
     secret = F.lit(key)
     parts, found = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    kinds = lambda fresh: F.filter(F.transform(fresh, lambda r: r["kind"]), lambda k: k.isNotNull())
-    whole = lambda fresh: F.array_join(F.zip_with(parts, fresh, lambda p, r: F.concat(p, F.coalesce(r["value"], F.lit("")))), "")
-    done = _let(F.transform(found, lambda m: pseudonym(m, secret)), lambda fresh: F.struct(whole(fresh).alias("text"), kinds(fresh).alias("kinds")))
-    touched = text.rlike("[0-9@]|[A-Fa-f]{32}") & text.rlike(ANY)
+    first = F.flatten(F.zip_with(parts, found, lambda p, m: F.when(m.isNull(), F.array(_piece(F.lit(None), p))).otherwise(F.concat(F.array(_piece(F.lit(None), p)), _others(m, secret)))))
+    pieces = lambda known: _let(F.filter(F.sequence(F.lit(1), F.size(known)), lambda i: known[i - 1]["kind"].isNotNull()), lambda marks: _with_cards(known, marks, secret))
+    kinds = lambda all_: F.filter(F.transform(all_, lambda x: x["kind"]), lambda k: k.isNotNull())
+    done = _let(_let(first, pieces), lambda all_: F.struct(F.array_join(F.transform(all_, lambda x: x["value"]), "").alias("text"), kinds(all_).alias("kinds")))
+    touched = text.rlike("[0-9@]|[A-Fa-f]{32}") & (text.rlike(ANY) | text.rlike(DIGITS))
     return F.when(touched, done).otherwise(F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds")))
 
 
@@ -185,7 +257,8 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     Validated are: cards by the Luhn digit, IBANs by mod 97, dates by the calendar (1900-01-01 to
     2099-08-04), social security numbers and IPv4 addresses by their ranges, phone numbers by 8 to 15
-    digits. What is not valid stays. Equal values get equal pseudonyms in every document under one key,
+    digits. What is not valid stays. Of digit runs and IBANs that are not valid as a whole the valid rows
+    of groups are replaced, from the left, the longest first. Equal values get equal pseudonyms in every document under one key,
     whatever their separators. Null text stays null; repeated rows are treated alike; other columns
     are ignored.
     """
