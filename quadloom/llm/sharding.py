@@ -16,8 +16,8 @@ EMPTY_CRC = 0
 
 @dataclass(frozen=True)
 class Settings:
-    """bundles: equal texts share a bundle, and the driver packs that many bundles, whatever the input's size.
-    pieces: a group of equal texts with over 1/pieces of a shard's bytes is split into pieces of that size."""
+    """bundles: groups of equal texts that are small are packed in so many bundles, by hash, whatever the input's size.
+    pieces: a group of over 1/pieces of a shard (of its bytes, tokens or rows) is an item of its own, numbered in pieces."""
 
     shards: int = 24
     bundles: int = 16_384
@@ -39,14 +39,16 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
 def shard(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null), tokens; one row per input row.
 
-    Equal texts (by two 64-bit hashes and the length) form a group and stay in one shard, unless the
-    group is larger than 1/pieces of a shard: then it is dealt out in pieces by a hash of doc_id. Small
-    groups are bundled by hash; bundles and pieces are pre-aggregated vectors of bytes, tokens and rows,
-    at most bundles + 2 * shards * pieces of them, whatever the input's size, and only those reach the
-    driver. Slots are offsets of items plus the place in the item, so no task sorts a whole shard.
+    Equal texts (by their XXH64, CRC-32 and length) form a group and stay in one shard, but for a group
+    that is more than a whole shard's share of the bytes, tokens or rows: no shard can hold it, so it is
+    dealt out in pieces. Other groups of over 1/pieces of a shard are placed one by one, the small ones
+    in bundles of whole groups. Only the vectors of these items reach the driver: bundles and
+    3 * shards * pieces groups and twice as many pieces at most, whatever the input's size. Slots are
+    offsets of pieces plus the place in the piece, so no task sorts a whole shard or a large group.
 
-    Null text: size 8, crc 0, grouped with the other nulls. Repeated rows are rows of their own. Ties in
-    doc_id within an item are broken by nothing but order; slots stay gapless. An empty table: no rows.
+    Null text: size 8, crc 0, grouped with the other nulls. Repeated rows, also with one doc_id, are rows
+    of their own, spread over the pieces of their group; which of them gets which slot is undefined. An
+    empty table: no rows. Long texts are measured whole. Other columns are ignored, whatever their names.
     """
     data = F.col("text").cast("binary")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
@@ -57,23 +59,30 @@ def shard(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             F.coalesce(F.crc32(data), F.lit(EMPTY_CRC)).cast("long").alias("text_crc32"),
             F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long").alias("tokens"),
             F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("h"),
+            F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 30)).cast("int").alias("salt"),
         ),
         "shard-measured",
     )
-    total = measured.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    limit = max(1, total // (settings.shards * settings.pieces))
-    bundle = F.pmod("h", F.lit(settings.bundles)).cast("int")
     spark = docs.sparkSession
-    # groups over the limit: at most total / limit, and only bundles over the limit can hold one
-    sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
-    large = measured.groupBy("h", "text_crc32").agg(F.sum("size").alias("size")).where(F.col("size") > limit).orderBy("h", "text_crc32").collect()
-    split = spark.createDataFrame([(r.h, r.text_crc32, i, -(-r.size // limit)) for i, r in enumerate(large)], "h long, text_crc32 long, nth int, parts long")
-    piece = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.coalesce("parts", F.lit(1)))
-    placed = measured.join(F.broadcast(split), ["h", "text_crc32"], "left").select("doc_id", "size", "text_crc32", "tokens", F.coalesce(F.col("nth") + settings.bundles, bundle).alias("bundle"), F.when(F.col("nth").isNotNull(), piece).otherwise(0).cast("int").alias("piece"))
-    items = placed.groupBy("bundle", "piece").agg(*sums).orderBy("bundle", "piece").collect()
-    vectors = np.array([(r.size, r.tokens, r.rows) for r in items], float).reshape(-1, 3)
-    where, offset, rows = pack(vectors, settings.shards), [0] * settings.shards, []
-    for r, s in zip(items, where.tolist(), strict=True):
+    sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
+    group = ["h", "text_crc32", "size"]
+    total = measured.agg(*sums).first()
+    share = F.greatest(*[F.col(c) / max(1, total[c] or 0) for c in ("bytes", "tokens", "rows")])
+    least = 1 / (settings.shards * settings.pieces)
+    large = measured.groupBy(*group).agg(*sums).withColumn("share", share).where(F.col("share") > least).orderBy(*group).collect()
+    own = [(r.h, r.text_crc32, r["size"], settings.bundles + i, -int(-r.share // least)) for i, r in enumerate(large)]
+    bundle = F.pmod("h", F.lit(settings.bundles)).cast("int")
+    numbered = measured.join(F.broadcast(spark.createDataFrame(own, "h long, text_crc32 long, size long, own int, parts int")), group, "left")
+    placed = numbered.select("doc_id", "size", "text_crc32", "tokens", F.coalesce("own", bundle).alias("bundle"), F.pmod("salt", F.coalesce("parts", F.lit(1))).alias("piece"))
+    pieces = placed.groupBy("bundle", "piece").agg(*sums).orderBy("bundle", "piece").collect()
+    # an item: a bundle, a group, or a piece of a group that no shard can hold
+    split = {settings.bundles + i for i, r in enumerate(large) if r.share > 1 / settings.shards}
+    item: dict[tuple[int, int], int] = {}
+    of = np.array([item.setdefault((r.bundle, r.piece if r.bundle in split else 0), len(item)) for r in pieces], int)
+    vectors = np.zeros((len(item), 3))
+    np.add.at(vectors, of, np.array([(r.bytes, r.tokens, r.rows) for r in pieces], float).reshape(-1, 3))
+    where, offset, rows = pack(vectors, settings.shards)[of], [0] * settings.shards, []
+    for r, s in zip(pieces, where.tolist(), strict=True):
         rows.append((r.bundle, r.piece, s, offset[s]))
         offset[s] += r.rows
     plan = spark.createDataFrame(rows, "bundle int, piece int, shard int, start long")
