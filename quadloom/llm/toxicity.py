@@ -36,18 +36,17 @@ SENTENCE = re.compile(r"[.!?\n]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the fit: labelled rows sampled, features kept, identity sentences taken from a row. Features are
-    words and, as slurs are inflected and compounded, the beginnings of words in so many letters."""
+    """rows bounds the fit: so many labelled rows, chosen by a hash of their ids, with all their features and sentences.
+    Features are words and, as slurs are inflected and compounded, the beginnings of words in so many letters. The fit
+    ends when its steps are within tolerance * l1, or after so many steps for a working set."""
 
     rows: int = 16_384
-    features: int = 2048
-    least_documents: int = 4
-    sentences: int = 8
     prefixes: tuple[int, ...] = (3, 4, 5)
-    l1: float = 2e-5
+    l1: float = 2e-4
     l2: float = 1e-6
     counterfactual: float = 1.0
     steps: int = 3000
+    tolerance: float = 0.05
     threshold: float = 0.3
 
 
@@ -81,7 +80,7 @@ def words_and_swaps(text: str | None, settings: Settings) -> tuple[list[str], li
     if words & SWAPS.keys():
         for sentence in SENTENCE.split(text):
             own = WORD.findall(sentence)
-            for term in sorted({*own} & SWAPS.keys())[: max(0, settings.sentences - len(pairs))]:
+            for term in sorted({*own} & SWAPS.keys()):
                 other = SWAPS[term][len(own) % len(SWAPS[term])]
                 pairs.append(joined(own) + "|" + joined([other if w == term else w for w in own]))
     return sorted(features(found, settings.prefixes)), pairs
@@ -98,57 +97,106 @@ def sample(labelled: DataFrame, settings: Settings) -> DataFrame:
     return map_arrow(labelled.select("toxic", "text"), each, schema)
 
 
-def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], k: int, settings: Settings) -> tuple[np.ndarray, float]:
-    """Accelerated proximal gradient on log loss + l1 + l2 + counterfactual * mean (score change)^2.
+class Sparse:
+    """Ones at (row, column), or +1 and -1, of a matrix with so many rows and columns."""
 
-    The score change of a swap is that of the log odds, w . (x - x'), so the penalty is convex.
-    """
-    n = max(1, len(rows))
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate([*rows, np.zeros(0, int)]).astype(int)
-    m = max(1, len(swaps))
-    swap_row = np.concatenate([np.full(len(a) + len(b), i) for i, (a, b) in enumerate(swaps)] + [np.zeros(0, int)]).astype(int)
-    swap_col = np.concatenate([np.r_[a, b] for a, b in swaps] + [np.zeros(0, int)]).astype(int)
-    sign = np.concatenate([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in swaps] + [np.zeros(0)])
-    rate = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
-    w, b = np.zeros(k), np.log(rate / (1 - rate))
+    def __init__(self, row: np.ndarray, column: np.ndarray, sign: np.ndarray | None, rows: int, columns: int):
+        self.row, self.column, self.sign, self.shape = row, column, sign, (rows, columns)
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        own = v[self.column] if self.sign is None else v[self.column] * self.sign
+        return np.bincount(self.row, own, self.shape[0])
+
+    def transposed(self, v: np.ndarray) -> np.ndarray:
+        own = v[self.row] if self.sign is None else v[self.row] * self.sign
+        return np.bincount(self.column, own, self.shape[1])
+
+    def columns(self, chosen: np.ndarray) -> Sparse:
+        place = np.full(self.shape[1], -1)
+        place[chosen] = np.arange(len(chosen))
+        own = place[self.column]
+        keep = own >= 0
+        return Sparse(self.row[keep], own[keep], None if self.sign is None else self.sign[keep], self.shape[0], len(chosen))
+
+
+def _gradient(x: Sparse, d: Sparse, labels: np.ndarray, w: np.ndarray, b: float, settings: Settings) -> tuple[np.ndarray, float]:
+    n, m = max(1, x.shape[0]), max(1, d.shape[0])
+    r = 1 / (1 + np.exp(-(x @ w + b))) - labels
+    return x.transposed(r) / n + settings.l2 * w + 2 * settings.counterfactual / m * d.transposed(d @ w), float(r.sum() / n)
+
+
+def _solve(x: Sparse, d: Sparse, labels: np.ndarray, w: np.ndarray, b: float, settings: Settings) -> tuple[np.ndarray, float]:
+    """Accelerated proximal gradient from (w, b), restarted when a step turns back, until the steps are small against l1."""
+    n, m, k = max(1, x.shape[0]), max(1, d.shape[0]), len(w)
     # the step: inverse of a bound on the curvature, found by power iteration
-    v = np.ones(k + 1) / np.sqrt(k + 1)
-    top = 1.0
+    v, top = np.ones(k + 1) / np.sqrt(k + 1), 1.0
     for _ in range(30):
-        z = np.bincount(row, v[col], len(rows)) + v[-1] if len(rows) else np.zeros(0)
-        u = np.r_[np.bincount(col, z[row], k), z.sum()] / (4 * n)
-        d = np.bincount(swap_row, sign * v[swap_col], m)
-        u[:k] += 2 * settings.counterfactual * np.bincount(swap_col, sign * d[swap_row], k) / m
+        z = x @ v[:k] + v[-1]
+        u = np.r_[x.transposed(z), z.sum()] / (4 * n)
+        u[:k] += 2 * settings.counterfactual / m * d.transposed(d @ v[:k])
         top = float(np.linalg.norm(u)) or 1.0
         v = u / top
     step = 1 / (1.1 * top + settings.l2)
-    yw, yb, t = w.copy(), b, 1.0
+    yw, yb, t = w, b, 1.0
     for _ in range(settings.steps):
-        z = np.bincount(row, yw[col], len(rows)) + yb if len(rows) else np.zeros(0)
-        r = 1 / (1 + np.exp(-z)) - labels
-        d = np.bincount(swap_row, sign * yw[swap_col], m)
-        gradient = np.bincount(col, r[row], k) / n + settings.l2 * yw + 2 * settings.counterfactual * np.bincount(swap_col, sign * d[swap_row], k) / m
-        after = yw - step * gradient
+        gw, gb = _gradient(x, d, labels, yw, yb, settings)
+        after, bias = yw - step * gw, yb - step * gb
         after = np.sign(after) * np.maximum(np.abs(after) - step * settings.l1, 0)
-        bias, later = yb - step * (r.sum() / n), (1 + np.sqrt(1 + 4 * t * t)) / 2
+        if (yw - after) @ (after - w) + (yb - bias) * (bias - b) > 0:
+            t = 1.0
+        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        moved = max(float(np.abs(after - yw).max(initial=0)), abs(bias - yb)) / step
         yw, yb = after + (t - 1) / later * (after - w), bias + (t - 1) / later * (bias - b)
         w, b, t = after, bias, later
-    return w, float(b)
+        if moved < settings.tolerance * settings.l1:
+            break
+    return w, b
+
+
+def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], k: int, settings: Settings) -> tuple[np.ndarray, float]:
+    """Weights of all k features and the intercept: log loss + l1 + l2 + counterfactual * mean (score change)^2.
+
+    The score change of a swap is that of the log odds, w . (x - x'), so the penalty is convex. Solved on a
+    working set: features whose gradient at weight zero exceeds l1 join it until no feature is left that
+    would, so the answer is that of all features and none is left out beforehand.
+    """
+    count = lambda parts: np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    flat = lambda parts: np.concatenate([*parts, np.zeros(0, int)]).astype(int)
+    x = Sparse(count(rows), flat(rows), None, len(rows), k)
+    both = [np.r_[a, b] for a, b in swaps]
+    d = Sparse(count(both), flat(both), flat([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in swaps]), len(swaps), k)
+    rate = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
+    w, b = np.zeros(k), float(np.log(rate / (1 - rate)))
+    chosen = np.zeros(0, int)
+    while True:
+        pull = np.abs(_gradient(x, d, labels, w, b, settings)[0])
+        pull[chosen] = 0
+        # the strongest first, as they may speak for the others
+        more = np.flatnonzero(pull > 1.01 * settings.l1)
+        if not len(more) and len(chosen):
+            return w, b
+        chosen = np.sort(np.r_[chosen, more[np.argsort(-pull[more], kind="stable")[: max(64, len(chosen) // 2)]]])
+        own, b = _solve(x.columns(chosen), d.columns(chosen), labels, w[chosen], b, settings)
+        w = np.zeros(k)
+        w[chosen] = own
+        if not len(more):
+            return w, b
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learns from rows with a 0/1 label whose crc32(doc_id) mod 4 is not 2. No usable labels: every score is the prior, 0.001."""
+    """Learns from rows with a 0/1 label whose crc32(doc_id) mod 4 is not 2, settings.rows of them at most, with all their words.
+
+    What reaches the driver is those rows as numbers of features; the documents are read once. Labels of
+    one id that contradict each other count once, as toxic; rows that repeat a doc_id each count. Null ids
+    and labels are left out. No usable labels, or an empty table: every score is the prior, 0.001.
+    """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 4) != 2)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     # at most settings.rows ids and labels, so the broadcast is bounded; a doubled label counts once, as toxic
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows)
     rows, _ = materialise(sample(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"), settings), "toxicity-sample")
-    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    each = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).where(F.col("n") >= settings.least_documents)
-    rate = (positive + 0.5) / (n + 1)
-    surprise = F.abs(F.col("p") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
-    vocabulary = {r.word: i for i, r in enumerate(each.orderBy(surprise.desc(), "word").limit(settings.features).select("word").collect())}
-    # features of the sample: bounded by settings.rows times settings.features, fetched as index lists
+    # sorted, so that the fit does not hang on the order of the rows
+    vocabulary = {r.word: i for i, r in enumerate(rows.select(F.explode("words").alias("word")).distinct().orderBy("word").toLocalIterator(prefetchPartitions=True))}
+    # the sample's rows, fetched as index lists
     mine = vocabulary
 
     def numbered(batch):
@@ -173,5 +221,6 @@ def score_column(model: Model, text: Column) -> Column:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted; one row per input row. Null and empty texts get the intercept's score."""
+    """doc_id, held_out, score, predicted; one row per input row, of the whole text. Null, empty and wordless texts get the
+    intercept's score. Repeated rows are scored alike; other columns are ignored. An empty table: no rows."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), score_column(model, F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= model.threshold).cast("int"))
