@@ -1,15 +1,19 @@
-"""LM scoring: a sharded bigram trie with Elias-Fano pointers and quantised smoothed probabilities."""
+"""LM scoring: a sharded trigram trie with Elias-Fano pointers and quantised discounted probabilities."""
 
 from __future__ import annotations
 
+import json
+import mmap
 import os
-from collections.abc import Iterator
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,14 +23,16 @@ from quadloom.llm.common import mounted, new_path, remainder
 SEED = 42
 #: The end of a text, and the context of its first word: no word contains white space.
 END = xxhash.xxh64_intdigest(b"\n", SEED)
-#: A shard is the top 6 bits of a word's hash; an id is the shard and the rank of the hash in it (26 bits).
-SHARD_BITS, LOCAL_BITS = 6, 26
-SHARDS = 1 << SHARD_BITS
-#: Smallest count of a kept bigram (all are counted), and the absolute discount.
-LEAST, DISCOUNT = 2, 0.75
+#: The absolute discount.
+DISCOUNT = 0.75
 #: Log10 probabilities in 255 equal steps down to FLOOR.
 FLOOR = -12.75
+#: Words that are counted and looked up together.
 CHUNK = 400_000
+#: Bytes of training text to a shard of words, and the occurrences of one word beyond which its contexts are split.
+SHARD_BYTES, HOT = 16 << 20, 2_000_000
+#: What no word is: the third word of a bigram that ends a text.
+NONE = np.uint32((1 << 32) - 1)
 
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.int64)
 SELECT = np.array([[([b for b in range(8) if i >> b & 1] + [0] * 8)[r] for r in range(8)] for i in range(256)], np.int64)
@@ -95,207 +101,419 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield first, held
 
 
-def _save(folder: str, name: str, shard: int, values: np.ndarray) -> None:
-    """In one step, so that a task that is run again puts the same file in place of its own."""
-    path = f"{folder}/{name}-{shard}.npy"
-    with open(f"{path}.{os.getpid()}.part", "wb") as out:
-        np.save(out, values)
-    os.replace(f"{path}.{os.getpid()}.part", path)
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    """Integer arrays of one length as bytes: differences, byte by byte, compressed."""
+    parts = []
+    for a in arrays:
+        step = np.diff(a, prepend=a.dtype.type(0))
+        parts.append(np.ascontiguousarray(step.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-class Level1:
-    """Sorted word hashes and counts by shard, memory-mapped."""
+def _unpacked(data: bytes, types: list) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    widths = [np.dtype(t).itemsize for t in types]
+    n, at, out = len(raw) // sum(widths), 0, []
+    for t, w in zip(types, widths, strict=True):
+        planes = np.frombuffer(raw, np.uint8, n * w, at).reshape(w, n)
+        out.append(np.cumsum(np.ascontiguousarray(planes.T).view(t).reshape(-1), dtype=t))
+        at += n * w
+    return out
 
-    def __init__(self, folder: str):
-        load = lambda name, s: np.load(f"{folder}/{name}-{s}.npy", mmap_mode="r") if os.path.exists(f"{folder}/{name}-{s}.npy") else np.zeros(0, np.int64)
-        self.hashes = [load("hash", s).astype(np.uint64) if not os.path.exists(f"{folder}/hash-{s}.npy") else load("hash", s) for s in range(SHARDS)]
-        self.counts = [load("count", s) for s in range(SHARDS)]
 
-    def find(self, sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id or -1, count) of hashes in ascending order."""
-        ids, counts = np.full(len(sorted_hashes), -1, np.int64), np.zeros(len(sorted_hashes), np.int64)
-        cut = np.searchsorted(sorted_hashes >> np.uint64(64 - SHARD_BITS), np.arange(SHARDS + 1, dtype=np.uint64))
-        for s in range(SHARDS):
-            part, own = sorted_hashes[cut[s] : cut[s + 1]], self.hashes[s]
-            if len(part) and len(own):
-                at = np.minimum(np.searchsorted(own, part), len(own) - 1)
-                known = own[at] == part
-                ids[cut[s] : cut[s + 1]] = np.where(known, s << LOCAL_BITS | at, -1)
-                counts[cut[s] : cut[s + 1]] = np.where(known, self.counts[s][at], 0)
-        return ids, counts
-
-    def count_of(self, ids: np.ndarray) -> np.ndarray:
-        out, shard = np.zeros(len(ids), np.int64), ids >> LOCAL_BITS
-        for s in np.unique(shard):
-            at = np.flatnonzero(shard == s)
-            out[at] = self.counts[s][ids[at] & ((1 << LOCAL_BITS) - 1)]
-        return out
+class Level:
+    """Arrays of one shard in one memory-mapped file: a line that tells where they lie, then the arrays."""
 
-
-class Level2:
-    """Of one shard's contexts: Elias-Fano pointers to their successors, sorted ids, probabilities, back-off weights."""
-
-    def __init__(self, folder: str, shard: int):
-        load = lambda name: np.load(f"{folder}/{name}-{shard}.npy", mmap_mode="r")
-        self.successor, self.probability, self.backoff = load("successor"), load("probability"), load("backoff")
-        self.pointers = EliasFano(load("low"), load("high"), load("before"), int(load("width")[0]))
-
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability, or nan if the bigram isn't kept; log10 back-off weight). The successor is
-        searched between the two pointers of its context, all queries abreast."""
-        own, back = np.unique(context, return_inverse=True)
-        lo, end = self.pointers[own][back], self.pointers[own + 1][back]
-        hi = end.copy()
-        while (open_ := np.flatnonzero(lo < hi)).size:
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self.successor[mid] < word[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], mid)
-        out = np.full(len(word), np.nan)
-        inside = np.flatnonzero(lo < end)
-        hit = inside[self.successor[lo[inside]] == word[inside]]
-        out[hit] = restored(self.probability[lo[hit]])
-        return out, restored(self.backoff[context])
+    @staticmethod
+    def write(path: str, arrays: dict[str, np.ndarray]) -> None:
+        """In one step, so that a task that runs again, on this machine or another, puts the same file in place of its own."""
+        at, told = 0, {}
+        for name, a in arrays.items():
+            told[name] = (at, len(a), a.dtype.str)
+            at += -(-a.nbytes // 8) * 8
+        line = json.dumps(told).encode()
+        line += b" " * (-(len(line) + 1) % 64) + b"\n"
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with open(part, "wb") as out:
+            out.write(line)
+            for a in arrays.values():
+                out.write(a.tobytes() + bytes(-a.nbytes % 8))
+        os.replace(part, path)
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            line = f.readline()
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        for name, (at, n, kind) in json.loads(line).items():
+            setattr(self, name, np.frombuffer(data, kind, n, len(line) + at))
+
+
+def _pointers(name: str, counts: np.ndarray) -> dict[str, np.ndarray]:
+    code = EliasFano.encode(np.r_[0, np.cumsum(counts)])
+    return {f"{name}_low": code.low, f"{name}_high": code.high, f"{name}_before": code.before, f"{name}_width": np.array([code.width])}
+
+
+def _restored_pointers(level: Level, name: str) -> EliasFano:
+    return EliasFano(*(getattr(level, f"{name}_{x}") for x in ("low", "high", "before")), int(getattr(level, f"{name}_width")[0]))
+
+
+def successor(words: np.ndarray, lo: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted word among words[lo:end], which are sorted, or -1; all searches go abreast."""
+    lo, hi = lo.copy(), end.copy()
+    open_ = np.flatnonzero(lo < hi)
+    while open_.size:
+        mid = (lo[open_] + hi[open_]) >> 1
+        less = words[mid] < wanted[open_]
+        lo[open_] = np.where(less, mid + 1, lo[open_])
+        hi[open_] = np.where(less, hi[open_], mid)
+        open_ = open_[lo[open_] < hi[open_]]
+    inside = np.flatnonzero(lo < end)
+    out = np.full(len(lo), -1)
+    hit = inside[words[lo[inside]] == wanted[inside]]
+    out[hit] = lo[hit]
+    return out
+
+
+class Contexts:
+    """The second and third level below one shard's first words."""
+
+    def __init__(self, path: str):
+        level = Level(path)
+        self.second, self.share2, self.rest2, self.rest3 = level.second, level.share2, level.rest2, level.rest3
+        self.third, self.share3 = level.third, level.share3
+        self.down, self.further = _restored_pointers(level, "down"), _restored_pointers(level, "further")
+
+    def seconds(self, first: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of the bigrams (place of the first word in the shard, id), or -1."""
+        own, back = np.unique(first, return_inverse=True)
+        ends = self.down[np.r_[own, own + 1]].reshape(2, -1)
+        return successor(self.second, ends[0][back], ends[1][back], word)
+
+    def thirds(self, bigram: np.ndarray, word: np.ndarray) -> np.ndarray:
+        own, back = np.unique(bigram, return_inverse=True)
+        ends = self.further[np.r_[own, own + 1]].reshape(2, -1)
+        return successor(self.third, ends[0][back], ends[1][back], word)
 
 
 def quantised(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((log10 / FLOOR) * 255), 0, 255).astype(np.uint8)
 
 
+RESTORED = 10 ** (np.arange(256) / 255 * FLOOR)
+
+
 def restored(code: np.ndarray) -> np.ndarray:
-    return code.astype(np.float64) / 255 * FLOOR
+    """Probabilities of quantised logarithms."""
+    return RESTORED[code]
 
 
-LOCAL = np.int64((1 << LOCAL_BITS) - 1)
-PAIR = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
-SIZE = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("size", T.LongType()), T.StructField("total", T.LongType())])
+BLOB = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("data", T.BinaryType())])
+SIZE = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("size", T.LongType()), T.StructField("total", T.LongType()), T.StructField("hot", T.ArrayType(T.LongType())), T.StructField("often", T.ArrayType(T.LongType()))])
 
 
-def _counted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
+@dataclass(frozen=True)
+class Model:
+    """Where the levels lie. base: id of the first word of each shard and their number; hot: the words whose contexts are
+    split, in order, with their first own shard and the number of shards; rest: the back-off weights of those words."""
 
+    folder: str
+    tokens: int
+    bits: int
+    base: np.ndarray
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    start: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    @property
+    def words(self) -> int:
+        return int(self.base[-1])
+
+    def shard(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Shard of the bigrams of known words: that of the first word, or one of its own if it is hot."""
+        out = np.searchsorted(self.base, first, side="right") - 1
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, first), len(self.hot) - 1)
+            is_hot = self.hot[at] == first
+            mixed = (second.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            out = np.where(is_hot, self.start[at] + mixed % self.parts[at], out)
+        return out
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, keys, counts) from rows in the order of shard and key; one shard at a time is held."""
-    shard, keys, counts = -1, [], []
-    for batch in batches:
-        s, k, n = (batch.column(i).to_numpy() for i in range(3))
-        for own in np.unique(s):
-            if own != shard and keys:
-                yield shard, np.concatenate(keys), np.concatenate(counts)
-                keys, counts = [], []
-            shard = int(own)
-            keys.append(k[s == own])
-            counts.append(n[s == own])
-    if keys:
-        yield shard, np.concatenate(keys), np.concatenate(counts)
+    def place(self, shard: int, first: np.ndarray) -> np.ndarray:
+        """Place of first words in their shard; a hot word is alone in its own."""
+        return first - self.base[shard] if shard < len(self.base) - 1 else np.zeros(len(first), np.int64)
 
 
-def _sorted_shards(counts: DataFrame) -> DataFrame:
-    shard = F.shiftrightunsigned("key", 64 - SHARD_BITS).cast("int")
-    return counts.select(shard.alias("shard"), "key", "n").repartition(SHARDS, "shard").sortWithinPartitions("shard", "key")
+class Words:
+    """The first level: sorted hashes and counts, mapped as they are asked for."""
 
+    def __init__(self, model: Model):
+        self.model, self.levels = model, {}
 
-@dataclass(frozen=True)
-class Model:
-    folder: str
-    tokens: int
-    words: int
+    def find(self, sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id or -1, count) of hashes in ascending order."""
+        ids, counts = np.full(len(sorted_hashes), -1, np.int64), np.zeros(len(sorted_hashes), np.int64)
+        cut = np.searchsorted(_shards_of(sorted_hashes, self.model.bits), np.arange((1 << self.model.bits) + 1))
+        for s in np.flatnonzero((np.diff(cut) > 0) & (np.diff(self.model.base) > 0)).tolist():
+            if s not in self.levels:
+                self.levels[s] = Level(f"{self.model.folder}/words-{s}")
+            part, own = sorted_hashes[cut[s] : cut[s + 1]], self.levels[s]
+            at = np.minimum(np.searchsorted(own.hash, part), len(own.hash) - 1)
+            known = own.hash[at] == part
+            ids[cut[s] : cut[s + 1]] = np.where(known, self.model.base[s] + at, -1)
+            counts[cut[s] : cut[s + 1]] = np.where(known, own.count[at], 0)
+        return ids, counts
+
+
+def _shards_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits of a hash, so that shards and ids follow the order of the hashes."""
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+
+
+def _blobs(shard: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
+    """One row for each shard of rows in its order."""
+    cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])[: len(shard)].tolist()
+    ends = [*cut[1:], len(shard)]
+    data = [_packed([a[x:y] for a in arrays]) for x, y in zip(cut, ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(shard[cut].astype(np.int32)), pa.array(data, pa.binary())], ["shard", "data"])
+
+
+def _by_shard(blobs: DataFrame, shards: int, types: list, write: Callable[[int, list[np.ndarray]], tuple]) -> list:
+    """Calls write(shard, arrays) for each shard, one at a time in a task; its (size, total, hot, often) as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[int, bytes]]:
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)), strict=True)
+            yield -1, b""
+
+        now, held = -1, []
+        for shard, data in rows():
+            if shard != now and held:
+                got = write(now, [np.concatenate(x) for x in zip(*held, strict=True)])
+                held = []
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *[pa.array([x], f) for x, f in zip(got, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)]], ["shard", "size", "total", "hot", "often"])
+            now = shard
+            if shard >= 0:
+                held.append(_unpacked(data, types))
+
+    return blobs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, SIZE).collect()
+
+
+def _summed(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
+
+
+def _changes(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    n = len(sorted_keys[0])
+    differs = np.zeros(max(0, n - 1), bool)
+    for k in sorted_keys:
+        differs |= k[1:] != k[:-1]
+    return np.flatnonzero(np.r_[True, differs])[:n]
 
 
 def fit(texts: DataFrame) -> Model:
-    """Counts every word and bigram of ``texts`` (one column, text) and writes the levels to the shared folder.
+    """Counts every word, bigram and trigram of ``texts`` (one column, text) and writes the levels to the shared folder.
+
+    Words are their 64-bit hashes, and a shard is the first bits of a hash, as many as keep a shard to
+    SHARD_BYTES of text; ids are the order of the hashes. A task counts its own words, and its trigrams,
+    in chunks and sends one compressed row for a shard. Trigrams lie with their first word, but a word of
+    more than HOT occurrences has shards of its own, dealt out by the second word, so no task gathers
+    more than some shard's worth. Nothing is left out, whatever its count.
 
-    Words are their 64-bit hashes. Bigrams of words seen once cannot occur LEAST times and are not sent;
-    all others are counted before any is left out. A kept bigram's probability is
-    (n - DISCOUNT) / c(context) + w(context) * (c(word) + 1) / (N + V + 1), where the weight w takes what
-    the kept ones leave, so each context's probabilities sum to one (with one unknown word).
+    Interpolated absolute discounting: p(w|uv) = (n(uvw) - D) / n(uv) + D d(uv) / n(uv) p(w|v), likewise
+    p(w|v) from p(w) = (c + 1) / (N + V + 1), where d is the number of different successors; the first
+    word of a text has the end as its only context. The levels hold the two terms, in 8 bits each.
     """
     folder = mounted(new_path(texts.sparkSession, "ngram"))
     os.makedirs(folder)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(0, (-(-size // SHARD_BYTES) - 1).bit_length())
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, held in _chunks(batch.column(0)):
-                yield _counted(*np.unique(np.concatenate(held), return_counts=True))
-
-    def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, keys, counts in _by_shard(batches):
-            _save(folder, "hash", shard, keys.view(np.uint64))
-            _save(folder, "count", shard, counts)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)]), pa.array([int(counts.sum())])], ["shard", "size", "total"])
-
-    sizes = _sorted_shards(texts.mapInArrow(words, PAIR).groupBy("key").agg(F.sum("n").alias("n"))).mapInArrow(write_words, SIZE).collect()
-    tokens, distinct = sum(r.total for r in sizes), sum(r.size for r in sizes)
-
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = Level1(folder)
+                keys, n = np.unique(np.concatenate(held), return_counts=True)
+                yield _blobs(_shards_of(keys, bits), [keys, n.astype(np.uint32)])
+
+    def write_words(shard: int, arrays: list[np.ndarray]) -> tuple:
+        order = np.argsort(arrays[0], kind="stable")
+        keys, n = arrays[0][order], arrays[1][order].astype(np.int64)
+        first = _changes(keys)
+        keys, n = keys[first], _summed(n, first)
+        Level.write(f"{folder}/words-{shard}", {"hash": keys, "count": n})
+        hot = np.flatnonzero(n > HOT)
+        return len(keys), int(n.sum()), hot.tolist(), n[hot].tolist()
+
+    told = {r.shard: r for r in _by_shard(texts.mapInArrow(words, BLOB), 1 << bits, [np.uint64, np.uint32], write_words)}
+    base = np.r_[0, np.cumsum([told[s].size if s in told else 0 for s in range(1 << bits)])].astype(np.int64)
+    if base[-1] >= int(NONE):
+        raise ValueError("over 2^32 - 1 different words; ids are 32 bits wide")
+    hot = [(int(base[s]) + at, n) for s in sorted(told) for at, n in zip(told[s].hot, told[s].often, strict=True)]
+    parts = np.array([-(-2 * n // HOT) for _, n in hot], np.int64)
+    start = (1 << bits) + np.r_[0, np.cumsum(parts)][: len(hot)].astype(np.int64)
+    model = Model(folder, sum(r.total for r in told.values()), bits, base, np.array([i for i, _ in hot], np.int64), start, parts)
+
+    def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = Words(model)
         for batch in batches:
             for _, held in _chunks(batch.column(0)):
                 seen, at = np.unique(np.concatenate(held), return_inverse=True)
-                ids, counts = level.find(seen)
-                word = np.where(counts >= LEAST, ids, -1)[at]
-                starts = np.cumsum([0, *map(len, held)])[:-1]
-                context = np.r_[-1, word[:-1]]
-                context[starts] = np.where(counts >= LEAST, ids, -1)[np.searchsorted(seen, np.uint64(END))]
-                both = (context >= 0) & (word >= 0)
-                yield _counted(*np.unique(context[both].astype(np.uint64) << np.uint64(32) | word[both].astype(np.uint64), return_counts=True))
-
-    def write_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = Level1(folder)
-        for shard, keys, counts in _by_shard(batches):
-            keys = keys.view(np.uint64)
-            context, word = ((keys >> np.uint64(32)).astype(np.int64) & LOCAL), (keys & np.uint64((1 << 32) - 1)).astype(np.int64)
-            seen = np.asarray(level.counts[shard])
-            share = (counts - DISCOUNT) / seen[context]
-            weight = np.clip(1 - np.bincount(context, share, len(seen)), 10**FLOOR, 1)
-            p = share + weight[context] * (level.count_of(word) + 1) / (tokens + distinct + 1)
-            pointers = EliasFano.encode(np.r_[0, np.cumsum(np.bincount(context, minlength=len(seen)))])
-            for name, values in (("successor", word.astype(np.uint32)), ("probability", quantised(np.log10(p))), ("backoff", quantised(np.log10(weight))), ("low", pointers.low), ("high", pointers.high), ("before", pointers.before), ("width", np.array([pointers.width]))):
-                _save(folder, name, shard, values)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)]), pa.array([int(counts.sum())])], ["shard", "size", "total"])
-
-    _sorted_shards(texts.mapInArrow(bigrams, PAIR).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)).mapInArrow(write_bigrams, SIZE).collect()
-    return Model(folder, tokens, distinct)
+                ids = level.find(seen)[0]
+                before, later = _contexts(held, at, int(np.searchsorted(seen, np.uint64(END))))
+                # (first, second, third) for every word but a text's first, and (last, end, none) for every text
+                ends = np.cumsum([len(h) for h in held]) - 1
+                first = ids[np.r_[before[later - 1], before[ends]]].astype(np.uint32)
+                middle = ids[np.r_[at[later - 1], at[ends]]].astype(np.uint32)
+                third = np.r_[ids[at[later]].astype(np.uint32), np.full(len(ends), NONE)]
+                shard = model.shard(first.astype(np.int64), middle.astype(np.int64))
+                pair = first.astype(np.uint64) << np.uint64(32) | middle
+                order = np.lexsort((third, pair, shard))
+                pair, third, shard = pair[order], third[order], shard[order]
+                begin = _changes(pair, third)
+                n = np.diff(np.r_[begin, len(pair)]).astype(np.uint32)
+                yield _blobs(shard[begin], [(pair[begin] >> np.uint64(32)).astype(np.uint32), pair[begin].astype(np.uint32), third[begin], n])
+
+    def write_contexts(shard: int, arrays: list[np.ndarray]) -> tuple:
+        first, second, third, n = arrays
+        pair = first.astype(np.uint64) << np.uint64(32) | second
+        order = np.lexsort((third, pair))
+        pair, third, n = pair[order], third[order], n[order].astype(np.int64)
+        begin = _changes(pair, third)
+        pair, third, n = pair[begin], third[begin], _summed(n, begin)
+        begin = _changes(pair)
+        n2, pairs = _summed(n, begin), pair[begin]
+        of = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(pair)]))
+        real = third != NONE
+        different = np.bincount(of[real], minlength=len(begin))
+        place = model.place(shard, (pairs >> np.uint64(32)).astype(np.int64))
+        contexts = int(base[shard + 1] - base[shard]) if shard < len(base) - 1 else 1
+        successors = np.bincount(place, minlength=contexts)
+        if shard < len(base) - 1:
+            seen = np.maximum(1, np.asarray(Level(f"{folder}/words-{shard}").count))
+        else:
+            seen = np.array([hot[int(np.searchsorted(start, shard, side="right")) - 1][1]])
+        log = lambda x: np.log10(np.maximum(x, 10**FLOOR))
+        arrays = {"second": pairs.astype(np.uint32), "third": third[real], "share2": quantised(log((n2 - DISCOUNT) / seen[place])), "rest2": quantised(log(DISCOUNT * successors / seen)), "share3": quantised(log((n[real] - DISCOUNT) / n2[of[real]])), "rest3": quantised(log(DISCOUNT * different / n2))}
+        Level.write(f"{folder}/contexts-{shard}", arrays | _pointers("down", successors) | _pointers("further", different))
+        return len(pairs), len(third), [len(pairs)], []
+
+    shards = (1 << bits) + int(parts.sum())
+    got = {r.shard: r.size for r in _by_shard(texts.mapInArrow(trigrams, BLOB), shards, [np.uint32] * 4, write_contexts)}
+    rest = np.array([DISCOUNT * sum(got.get(int(start[i]) + j, 0) for j in range(int(parts[i]))) / n for i, (_, n) in enumerate(hot)])
+    return Model(folder, model.tokens, bits, base, model.hot, start, parts, rest)
+
+
+def _contexts(held: list[np.ndarray], at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """For texts whose words have the numbers ``at``: the number of the word before each (``end`` before a text's first),
+    and the places of the words that are not a text's first."""
+    starts = np.cumsum([0, *map(len, held)])[:-1]
+    before = np.r_[end, at[:-1]]
+    before[starts] = end
+    later = np.ones(len(at), bool)
+    later[starts] = False
+    return before, np.flatnonzero(later)
+
+
+def _groups(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of its rows); -1 is no shard."""
+    if not len(shard):
+        return
+    order = np.argsort(shard, kind="stable")
+    cut = _changes(shard[order]).tolist()
+    for x, y in zip(cut, [*cut[1:], len(order)], strict=True):
+        if shard[order[x]] >= 0:
+            yield int(shard[order[x]]), order[x:y]
+
+
+class Trie:
+    """All levels of a model; those of a shard are mapped when they are first asked for."""
+
+    def __init__(self, model: Model):
+        self.model, self.words, self.levels = model, Words(model), {}
+
+    def contexts(self, shard: int) -> Contexts:
+        if shard not in self.levels:
+            self.levels[shard] = Contexts(f"{self.model.folder}/contexts-{shard}")
+        return self.levels[shard]
+
+    def rest(self, first: np.ndarray) -> np.ndarray:
+        """Back-off weights of known words."""
+        out = np.zeros(len(first))
+        base = np.searchsorted(self.model.base, first, side="right") - 1
+        if len(self.model.hot):
+            at = np.minimum(np.searchsorted(self.model.hot, first), len(self.model.hot) - 1)
+            hot = self.model.hot[at] == first
+            out[hot] = self.model.rest[at[hot]]
+            base = np.where(hot, -1, base)
+        for s, mine in _groups(base):
+            out[mine] = restored(self.contexts(s).rest2[first[mine] - self.model.base[s]])
+        return out
+
+    def probabilities(self, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count, base probability, probability) of each word of the texts."""
+        model = self.model
+        seen, at = np.unique(np.concatenate(held), return_inverse=True)
+        ids, counts = self.words.find(seen)
+        one = (counts + 1) / (model.tokens + model.words + 1)
+        before, later = _contexts(held, at, int(np.searchsorted(seen, np.uint64(END))))
+        pairs, of = np.unique(before.astype(np.uint64) << np.uint64(32) | at.astype(np.uint64), return_inverse=True)
+        c, w = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64((1 << 32) - 1)).astype(np.int64)
+        # the second level: bigrams of known words
+        shard = np.full(len(pairs), -1)
+        known = np.flatnonzero((ids[c] >= 0) & (ids[w] >= 0))
+        shard[known] = model.shard(ids[c[known]], ids[w[known]])
+        place, share = np.full(len(pairs), -1), np.zeros(len(pairs))
+        rest3 = np.ones(len(pairs))
+        for s, mine in _groups(shard):
+            # a shard of a hot word has no file if none of its successors fell to it
+            if s >= 1 << model.bits and not os.path.exists(f"{model.folder}/contexts-{s}"):
+                continue
+            level = self.contexts(s)
+            got = level.seconds(model.place(s, ids[c[mine]]), ids[w[mine]].astype(np.uint32))
+            hit = mine[got >= 0]
+            place[hit] = got = got[got >= 0]
+            share[hit], rest3[hit] = restored(level.share2[got]), restored(level.rest3[got])
+        told = np.flatnonzero(ids >= 0)
+        rest2 = np.ones(len(seen))
+        context = told[np.isin(told, c)]
+        rest2[context] = self.rest(ids[context])
+        two = share + rest2[c] * one[w]
+        # the third level: words after a known bigram
+        out, after = two[of], of[later - 1]
+        mine = np.flatnonzero(place[after] >= 0)
+        where, after = later[mine], after[mine]
+        out[where] *= rest3[after]
+        follow = np.flatnonzero(ids[at[where]] >= 0)
+        for s, own in _groups(shard[after[follow]]):
+            own = follow[own]
+            level = self.contexts(s)
+            got = level.thirds(place[after[own]], ids[at[where[own]]].astype(np.uint32))
+            hit = got >= 0
+            out[where[own[hit]]] += restored(level.share3[got[hit]])
+        return counts[at], one[at], out
 
 
 def score(docs: DataFrame, held_out: Column, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per input row.
 
     Null and empty texts are one token, the end. Long texts are scored whole. Without training texts
-    every probability is 1. Repeated rows are scored alike; other columns are ignored.
+    every probability is 1. Repeated rows are scored alike and there are no ties to break; other columns
+    are ignored. An empty table: no rows.
     """
     fields = [("doc_id", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     schema = T.StructType([T.StructField(*f) for f in fields])
-    total = model.tokens + model.words + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level1, level2 = Level1(model.folder), {}
-        for s in range(SHARDS):
-            if os.path.exists(f"{model.folder}/width-{s}.npy"):
-                level2[s] = Level2(model.folder, s)
+        trie = Trie(model)
         for batch in batches:
             for first, held in _chunks(batch.column(2)):
-                seen, at = np.unique(np.concatenate(held), return_inverse=True)
-                ids, counts = level1.find(seen)
-                base = np.log10((counts + 1) / total)
+                counts, base, own = trie.probabilities(held)
                 lengths = np.array([len(h) for h in held])
-                starts = np.r_[0, np.cumsum(lengths)[:-1]]
-                context = np.r_[0, at[:-1]]
-                context[starts] = np.searchsorted(seen, np.uint64(END))
-                pairs, of = np.unique(context.astype(np.uint64) << np.uint64(32) | at.astype(np.uint64), return_inverse=True)
-                c, w = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64((1 << 32) - 1)).astype(np.int64)
-                log = base[w].copy()
-                shard = np.where(ids[c] >= 0, ids[c] >> LOCAL_BITS, -1)
-                cut = np.searchsorted(seen[c] >> np.uint64(64 - SHARD_BITS), np.arange(SHARDS + 1, dtype=np.uint64))
-                for s, own in level2.items():
-                    mine = np.arange(cut[s], cut[s + 1])[shard[cut[s] : cut[s + 1]] == s]
-                    if len(mine):
-                        p, weight = own.find(ids[c[mine]] & LOCAL, ids[w[mine]])
-                        log[mine] = np.where(np.isnan(p), weight + base[w[mine]], p)
-                n = len(held)
+                starts, n = np.r_[0, np.cumsum(lengths)[:-1]], len(held)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(lengths), pa.array(np.add.reduceat((counts > 0)[at].astype(np.int64), starts)), pa.array(np.full(n, model.tokens)), pa.array(np.add.reduceat(base[at], starts)), pa.array(np.add.reduceat(log[of], starts))],
+                    [batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(lengths), pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)), pa.array(np.full(n, model.tokens)), pa.array(np.add.reduceat(np.log10(base), starts)), pa.array(np.add.reduceat(np.log10(own), starts))],
                     [f[0] for f in fields],
                 )
 

@@ -298,36 +298,6 @@ def test_langid(spark, docs, texts):
 
 
 # language model
-def plain_model(train):
-    uni, bi = Counter(), Counter()
-    for t in train:
-        w = [*(t or "").encode().lower().split(), b"\n"]
-        uni.update(w)
-        bi.update(zip([b"\n", *w[:-1]], w, strict=True))
-    return uni, {k: n for k, n in bi.items() if n >= 2}
-
-
-def test_ngram(docs, texts):
-    got = ngram.fit_and_score(docs).collect()
-    rows = [*enumerate(texts), (9, texts[9])]
-    uni, bi = plain_model([t for i, t in rows if fold(i, 7) != 2])
-    n, v = sum(uni.values()), len(uni)
-    kept = Counter()
-    for (c, _), k in bi.items():
-        kept[c] += k - 0.75
-    assert len(got) == len(rows)
-    for r in got:
-        w = [*(texts[r.doc_id] or "").encode().lower().split(), b"\n"]
-        base = [math.log10((uni[x] + 1) / (n + v + 1)) for x in w]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(uni[x] > 0 for x in w), n, fold(r.doc_id, 7) == 2)
-        assert r.base_score == pytest.approx(sum(base))
-        want = 0.0
-        for c, x, b in zip([b"\n", *w[:-1]], w, base, strict=True):
-            rest = 1 - kept[c] / uni[c] if uni[c] else 1
-            want += math.log10((bi[c, x] - 0.75) / uni[c] + rest * 10**b) if (c, x) in bi else math.log10(rest) + b
-        assert r.score == pytest.approx(want, abs=0.026 * len(w))
-
-
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for values in ([], [0], [5, 5, 5], np.cumsum(rng.integers(0, 9, 5000)), np.cumsum(rng.integers(0, 10**6, 3000))):
