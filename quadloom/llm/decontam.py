@@ -17,6 +17,7 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mi mile
 NUMBER_WORDS = frozenset("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 PLAIN, TITLE, NUMBER, UNIT_WORD, MEASURE = 0, 1, 2, 3, 4
 NAME_ID, NUMBER_ID, UNIT_ID, MEASURE_ID = (xxhash.xxh64_intdigest(f"<{x}>", SEED) for x in ("name", "number", "unit", "measure"))
+ENDING = frozenset(".!?:")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 20
 
@@ -26,80 +27,96 @@ class Settings:
     """window: words of a template window. run: words in a row that make a leak (fewer for shorter items).
     fewest: items with fewer words, two at least, count only word for word as a passage of their own; an item of
     one word is left out, as no match of it would tell anything.
-    block: items that one pass over the documents looks for, which bounds the broadcast."""
+    block, characters: items, and their characters, in one table of windows, which bounds it (an item is never cut)."""
 
     window: int = 8
     run: int = 13
     fewest: int = 5
     block: int = 20_000
+    characters: int = 8_000_000
 
 
 @dataclass
 class Words:
-    """The words of a text: hash of each plain form, kind (SLOT kinds only where one stands), whether a sentence or line
-    starts there, whether it may be either a name or a plain word, and the plain forms."""
+    """The words of a text: hash of each plain form, hash as a template, whether a sentence or line starts there, whether
+    it may be either a name or a plain word, and where its plain form is in ``known``."""
 
     plain: np.ndarray
     ids: np.ndarray
     starts: np.ndarray
     either: np.ndarray
-    forms: list[str]
+    at: np.ndarray
+    known: list[str]
 
+    def form(self, i: int) -> str:
+        return self.known[self.at[i]]
 
-class Canonical:
-    """Raw words to (kind, hash of the plain form, plain form, ends a sentence), remembered in a bounded cache."""
 
-    def __init__(self, bound: int = 400_000):
-        self.cache: dict[str, tuple[int, int, str, bool]] = {}
-        self.bound = bound
+class Numbered(dict):
+    """Raw words to their numbers; what is known of each number lies in arrays. A bounded cache."""
+
+    def __init__(self, bound: int):
+        self.kind, self.plain, self.ends = np.zeros(bound, np.int8), np.zeros(bound, np.uint64), np.zeros(bound, bool)
+        self.forms: list[str] = []
 
-    def _new(self, raw: str) -> tuple[int, int, str, bool]:
-        core = "".join(c for c in raw if c.isalnum())
-        low = core.lower()
-        ends = any(c in ".!?:" for c in raw[-3:])
+    def __missing__(self, raw: str) -> int:
+        core = raw if raw.isalnum() else "".join(c for c in raw if c.isalnum())
+        low, n = core.lower(), len(self.forms)
         if not core:
             kind = -1
-        elif any(c.isdigit() for c in core):
-            kind = NUMBER if not any(c.isalpha() for c in core) else MEASURE if core[0].isdigit() else PLAIN
+        elif not core.isalpha() and any(map(str.isdigit, core)):
+            kind = NUMBER if not any(map(str.isalpha, core)) else MEASURE if core[0].isdigit() else PLAIN
         elif low in NUMBER_WORDS:
             kind = NUMBER
         elif low in UNITS:
             kind = UNIT_WORD
         else:
             kind = TITLE if len(core) > 1 and core[0].isupper() and core[1:].islower() else PLAIN
-        got = kind, xxhash.xxh64_intdigest(low, SEED), low, ends
-        if len(self.cache) >= self.bound:
-            self.cache.clear()
-        self.cache[raw] = got
-        return got
+        if n == len(self.kind):
+            self.kind, self.plain, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.plain, self.ends))
+        self.kind[n], self.plain[n] = kind, xxhash.xxh64_intdigest(low, SEED)
+        self.ends[n] = core is not raw and not ENDING.isdisjoint(raw[-3:])
+        self.forms.append(low)
+        self[raw] = n
+        return n
+
+
+class Canonical:
+    """Texts to words. A cache of over ``bound`` words is given up for a new one between texts."""
+
+    def __init__(self, bound: int = 400_000):
+        self.bound, self.cache = bound, Numbered(bound)
 
     def __call__(self, text: str | None) -> Words:
-        get, new = self.cache.get, self._new
-        words, lines = [], [0]
+        if len(self.cache) > self.bound:
+            self.cache = Numbered(self.bound)
+        cache, raw, lines = self.cache, [], [0]
         for line in (text or "").splitlines():
-            words += [get(r) or new(r) for r in line.split()]
-            lines.append(len(words))
-        n = len(words)
-        kind = np.fromiter((w[0] for w in words), np.int8, n)
-        starts = np.r_[True, np.fromiter((w[3] for w in words), bool, n)][:n]
+            raw += line.split()
+            lines.append(len(raw))
+        n = len(raw)
+        at = np.fromiter(map(cache.__getitem__, raw), np.int64, n)
+        kind = cache.kind[at]
+        starts = np.r_[True, cache.ends[at]][:n]
         starts[[x for x in lines if x < n]] = True
-        if (kind < 0).any():
+        if n and kind.min() < 0:
             # a start before words that are punctuation only goes on to the next word
             kept = kind >= 0
             part = np.cumsum(starts)[kept]
             starts = np.r_[True, part[1:] != part[:-1]][: len(part)]
-            words, kind = [w for w in words if w[0] >= 0], kind[kept]
-            n = len(words)
-        plain = np.fromiter((w[1] for w in words), np.uint64, n)
+            at, kind = at[kept], kind[kept]
+            n = len(at)
+        plain = cache.plain[at]
         ids, either = plain, np.zeros(n, bool)
         if n and kind.any():
             after = np.r_[False, kind[:-1] == NUMBER]
-            either = (kind == TITLE) & starts
-            ids = np.where((kind == TITLE) & ~starts, np.uint64(NAME_ID), ids)
-            ids = np.where(kind == NUMBER, np.uint64(NUMBER_ID), ids)
-            ids = np.where(kind == MEASURE, np.uint64(MEASURE_ID), ids)
-            ids = np.where((kind == UNIT_WORD) & after, np.uint64(UNIT_ID), ids)
-        return Words(plain, ids, starts, either, [w[2] for w in words])
+            title = kind == TITLE
+            either = title & starts
+            ids = np.where(title & ~starts, np.uint64(NAME_ID), ids)
+            ids[kind == NUMBER] = NUMBER_ID
+            ids[kind == MEASURE] = MEASURE_ID
+            ids[(kind == UNIT_WORD) & after] = UNIT_ID
+        return Words(plain, ids, starts, either, at, cache.forms)
 
 
 def _mixed(sums: np.ndarray) -> np.ndarray:
@@ -183,7 +200,7 @@ class Matcher:
             kind = next((int(x) for x in (doc.ids[d], mine.ids[i]) if int(x) in SLOTS), NAME_ID if doc.either[d] and mine.either[i] else 0)
             if not kind:
                 continue
-            a, b = mine.forms[i], doc.forms[d]
+            a, b = mine.form(i), doc.form(d)
             if a == b and (doc.either[d] or mine.either[i] or doc.ids[d] != mine.ids[i]):
                 loose.append((kind, a))
             elif there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
@@ -235,13 +252,15 @@ class Matcher:
 
 
 def _blocks(benchmark: DataFrame, settings: Settings):
-    """Items in blocks of bounded number; the driver holds one at a time."""
+    """Items in blocks of bounded number and length."""
     block: list[tuple[int, str]] = []
+    size = 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").toLocalIterator():
         block.append((r.item_id, r.text))
-        if len(block) == settings.block:
+        size += len(r.text)
+        if len(block) == settings.block or size >= settings.characters:
             yield block
-            block = []
+            block, size = [], 0
     if block:
         yield block
 
@@ -284,5 +303,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), leaks(F.col("text"), benchmark, settings).alias("m"))
     return found.select("doc_id", (F.size("m") > 0).alias("contaminated"), F.array_sort(F.array_distinct(F.transform("m", lambda x: x["item_id"]))).alias("item_ids"), F.coalesce(F.array_max(F.transform("m", lambda x: x["words"])), F.lit(0)).alias("longest"))
-
-
