@@ -78,7 +78,9 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Dictionaries from at most settings.documents training texts of each language, chosen by a hash of doc_id.
 
     The rank limit is applied per task before the shuffle, so a language with most rows costs no more
-    than another. What reaches the driver is bounded by the languages times a dictionary.
+    than another. What reaches the driver is bounded by the languages times a dictionary. Rows that repeat
+    a doc_id and language share its place and count one after the other; null ids, languages and texts
+    without a letter teach nothing. An empty table: a model without languages. Other columns are ignored.
     """
     train = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder(F.col("doc_id"), 5) != 0))
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), "doc_id")
@@ -105,7 +107,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     Texts are coded whole, in chunks, so that a long text does not become its own dictionary. Null texts
     and texts without a letter: 'und', score 0. Ties go to the smaller language code. score is the best
-    language's share if 4 bytes count for a factor e. Without training data all are 'und'.
+    language's share if 4 bytes count for a factor e. Without training data all are 'und'. Repeated rows
+    are predicted alike; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     ready: list = []

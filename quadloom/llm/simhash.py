@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm.common import map_arrow, materialise
+from quadloom.llm.common import drop_path, map_arrow, materialise
 from quadloom.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -171,37 +171,44 @@ def links(fingerprints: DataFrame) -> DataFrame:
     48 and then to 56 fixed bits, where no key can hold more than 256 distinct values. So no group is
     capped, dropped or gathered whole, and each comparison is bounded.
     """
+    spark = fingerprints.sparkSession
     masks = {0: submasks(list(range(64)))}
     rows = fingerprints.select("id", "fp", F.lit(0).cast("long").alias("mask"))
-    found = None
+    found, used = None, []
     for level in range(3):
         each = F.create_map(*[x for m, subs in masks.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(m | s)) for s, _ in subs]))])
         keyed = rows.select("id", "fp", F.explode(each[F.col("mask")]).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp", "id")
-        counts, _ = materialise(keyed.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
-        shared, _ = materialise(keyed.join(counts, ["mask", "value"]), "simhash-shared")
+        counts, path = materialise(keyed.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
+        shared, other = materialise(keyed.join(counts, ["mask", "value"]), "simhash-shared")
+        used += [path, other]
         # the last level holds 256 values a key at most, and all of its keys are compared
         few = (shared.where(F.col("n") <= BUCKET) if level < 2 else shared).select("mask", "value", "fp", "id").repartition("mask", "value").sortWithinPartitions("mask", "value", "id")
         part = few.mapInArrow(_compare, LINK)
         found = part if found is None else found.unionAll(part)
         rows = shared.where(F.col("n") > BUCKET).select("id", "fp", "mask")
         masks = {m | s: submasks(free) for m, subs in masks.items() for s, free in subs}
-    return found
+    out, _ = materialise(found, "simhash-links")
+    for path in used:
+        drop_path(spark, path)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links of 2 bits or fewer).
 
     One row per input row. Null, empty and wordless texts have fingerprint zero and are linked like any
-    other. Repeated rows share their component. A row with a null doc_id gets its fingerprint's
-    component, and null if no row of the component has an id. Other columns are ignored.
+    other. Repeated rows share their component. A row with a null doc_id links others as any row does and
+    gets its component's id, which is null if no row of the component has an id. Long texts are read
+    whole; an empty table gives no rows; other columns are ignored. A fingerprint of very many rows is a
+    hot key of the last join only, whose plain exchanges let Spark split it.
     """
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
     each = lambda batch: {"doc_id": batch.column(0), "fp": np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)}
     prints, _ = materialise(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), each, schema), "simhash-docs")
     distinct, _ = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-distinct")
-    known = distinct.where("id is not null")
-    components = connected_components(links(known))
-    of_print = distinct.join(components.select(F.col("node").alias("id"), "component"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    components = connected_components(links(distinct.select(F.col("fp").alias("id"), "fp")))
+    named = distinct.join(components.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    of_print = named.join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm.common import map_arrow, materialise, remainder
+from quadloom.llm.common import drop_path, map_arrow, materialise, remainder
 
 #: Identity terms that may be swapped for each other, by category (fixed values).
 IDENTITIES = {
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 4) != 2)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     # at most settings.rows ids and labels, so the broadcast is bounded; a doubled label counts once, as toxic
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows)
-    rows, _ = materialise(sample(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"), settings), "toxicity-sample")
+    rows, path = materialise(sample(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"), settings), "toxicity-sample")
     # sorted, so that the fit does not hang on the order of the rows
     vocabulary = {r.word: i for i, r in enumerate(rows.select(F.explode("words").alias("word")).distinct().orderBy("word").toLocalIterator(prefetchPartitions=True))}
     # the sample's rows, fetched as index lists
@@ -206,6 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
     schema = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("pairs", T.ArrayType(T.StringType()))])
     got = map_arrow(rows, numbered, schema).toArrow()
+    drop_path(docs.sparkSession, path)
     index = [np.array(x, int) for x in got.column("ids").to_pylist()]
     halves = [np.array(h.split(), int) for ps in got.column("pairs").to_pylist() for h in ps]
     w, b = fit_logistic(index, np.array(got.column("toxic").to_pylist(), float), list(zip(halves[::2], halves[1::2], strict=True)), len(vocabulary), settings)
