@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quadloom.functions.terms import (
     BOXED,
     DIR_STRING,
+    DURATION,
+    DURATIONS,
+    EXACT,
+    INTEGERS,
     K_BNODE,
     K_IRI,
     K_LITERAL,
@@ -22,6 +26,7 @@ from quadloom.functions.terms import (
     Value,
     box,
     constant,
+    double_text,
     ebv,
     equal,
     exact,
@@ -37,6 +42,23 @@ from quadloom.functions.terms import (
 )
 from quadloom.sparql.ast import XSD, Agg, Call, Exists, In, IRI, Lit, Var
 
+#: A date or time as written: year, month, day, hours, minutes, seconds.
+CLOCK = r"^(-?\d{4,})-(\d\d)-(\d\d)(?:T(\d\d):(\d\d):(\d\d(?:\.\d+)?))?(?:Z|[+-]\d\d:\d\d)?$"
+#: Least and greatest values of the integer types (fixed values).
+RANGES = {
+    "long": (-(1 << 63), (1 << 63) - 1),
+    "int": (-(1 << 31), (1 << 31) - 1),
+    "short": (-(1 << 15), (1 << 15) - 1),
+    "byte": (-(1 << 7), (1 << 7) - 1),
+    "unsignedLong": (0, (1 << 64) - 1),
+    "unsignedInt": (0, (1 << 32) - 1),
+    "unsignedShort": (0, (1 << 16) - 1),
+    "unsignedByte": (0, (1 << 8) - 1),
+    "nonNegativeInteger": (0, None),
+    "positiveInteger": (1, None),
+    "nonPositiveInteger": (None, 0),
+    "negativeInteger": (None, -1),
+}
 BOOLEAN, TEXT, INTEGER, DECIMAL, DOUBLE = Kind("boolean"), Kind("string"), Kind("integer"), Kind("decimal"), Kind("double")
 
 
@@ -56,10 +78,30 @@ def java_regex(flags: str, pattern: str) -> str:
     return f"(?{kept}){pattern}" if kept else pattern
 
 
-def _literal_text(e) -> str:
-    if not isinstance(e, Lit):
-        raise Unsupported("the pattern, replacement and flags of REGEX and REPLACE must be literals")
-    return e.v
+def java_regex_column(flags: Column, pattern: Column) -> Column:
+    """The same for patterns and flags that rows give."""
+    quoted = F.when(F.contains(flags, F.lit("q")), F.concat(F.lit("\\Q"), pattern, F.lit("\\E")))
+    plain = F.regexp_replace(pattern, r"-\[([^\]]*)\]\]", r"&&[^$1]]")
+    plain = F.replace(F.replace(plain, F.lit("\\i"), F.lit("[_:A-Za-z]")), F.lit("\\c"), F.lit("[-._:A-Za-z0-9]"))
+    kept = F.regexp_replace(flags, "[^ismx]", "")
+    return F.concat(F.when(kept != "", F.concat(F.lit("(?"), kept, F.lit(")"))).otherwise(""), F.coalesce(quoted, plain))
+
+
+def quotient(x: Column, y: Column) -> Column:
+    """Division of doubles, in which zero is a divisor like any other."""
+    return F.when(y != 0, F.try_divide(x, y)).when(F.isnan(y), y).when(y == 0, F.when(x > 0, float("inf")).when(x < 0, float("-inf")).otherwise(float("nan")))
+
+
+def product(x: Column, y: Column) -> Column:
+    """Of decimals (38,18): all 18 digits where the factors have 9 at most, else as many as fit."""
+    a, b = x.try_cast("decimal(19,9)"), y.try_cast("decimal(19,9)")
+    return F.when((a == x) & (b == y), F.try_multiply(a, b).try_cast("decimal(38,18)")).otherwise(F.try_multiply(x, y).try_cast("decimal(38,18)"))
+
+
+def ratio(x: Column, y: Column) -> Column:
+    """Of decimals (38,18): 18 digits after the point where the operands have 9 at most and are below 10^9."""
+    a, b = x.try_cast("decimal(18,9)"), y.try_cast("decimal(18,9)")
+    return F.when((a == x) & (b == y), F.try_divide(a, b).try_cast("decimal(38,18)")).otherwise(F.try_divide(x, y).try_cast("decimal(38,18)"))
 
 
 class Scope:
@@ -116,20 +158,28 @@ class Scope:
             names = {a.kind.name, b.kind.name}
             if "double" in names:
                 x, y = a.col.cast("double"), b.col.cast("double")
-                return Value({"+": x + y, "-": x - y, "*": x * y, "/": F.try_divide(x, y)}[op], DOUBLE)
+                return Value({"+": x + y, "-": x - y, "*": x * y, "/": quotient(x, y)}[op], DOUBLE)
             if names == {"integer"} and op != "/":
                 return Value({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a.col.cast("bigint"), b.col.cast("bigint")), INTEGER)
             x, y = a.col.cast("decimal(38,18)"), b.col.cast("decimal(38,18)")
-            if op == "*":
-                return Value(F.try_multiply(a.col.cast("decimal(19,9)"), b.col.cast("decimal(19,9)")).try_cast("decimal(38,18)"), DECIMAL)
-            return Value({"+": F.try_add, "-": F.try_subtract, "/": F.try_divide}[op](x, y).try_cast("decimal(38,18)"), DECIMAL)
+            return Value({"+": F.try_add(x, y), "-": F.try_subtract(x, y), "*": product(x, y), "/": ratio(x, y)}[op].try_cast("decimal(38,18)"), DECIMAL)
         p, q = box(a), box(b)
         both = lambda *names: p["dt"].isin(*names) & q["dt"].isin(*names)
         x, y, u, w = number(p), number(q), exact(p), exact(q)
-        approx = {"+": x + y, "-": x - y, "*": x * y, "/": F.try_divide(x, y)}[op]
-        dec = {"+": F.try_add(u, w), "-": F.try_subtract(u, w), "*": F.try_multiply(u.try_cast("decimal(19,9)"), w.try_cast("decimal(19,9)")), "/": F.try_divide(u, w)}[op].try_cast("decimal(38,18)")
-        whole = both(*[n for n in NUMERIC if n not in (XSD + "decimal", XSD + "float", XSD + "double")]) if op != "/" else F.lit(False)
-        made = F.when(whole & dec.isNotNull(), struct(K_LITERAL, dec.cast("decimal(38,0)").cast("string"), XSD + "integer")).when(dec.isNotNull(), struct(K_LITERAL, lexical(Value(dec, DECIMAL)), XSD + "decimal")).when(approx.isNotNull(), struct(K_LITERAL, approx.cast("string"), XSD + "double"))
+        approx = {"+": x + y, "-": x - y, "*": x * y, "/": quotient(x, y)}[op]
+        dec = {"+": F.try_add(u, w), "-": F.try_subtract(u, w), "*": product(u, w), "/": ratio(u, w)}[op].try_cast("decimal(38,18)")
+        integers = both(*INTEGERS)
+        whole = integers if op != "/" else F.lit(False)
+        # integers beyond 20 digits, as far as 38 go
+        m, n = (F.when(integers, t["v"].try_cast("decimal(38,0)")) for t in (p, q))
+        large = {"+": F.try_add(m, n), "-": F.try_subtract(m, n), "*": F.try_multiply(m, n), "/": F.lit(None).cast("decimal(38,0)")}[op].try_cast("decimal(38,0)")
+        inexact = p["dt"].isin(XSD + "double", XSD + "float") | q["dt"].isin(XSD + "double", XSD + "float")
+        kind = F.when(both(*EXACT, XSD + "float") & inexact, XSD + "float").otherwise(XSD + "double")
+        made = (
+            F.when(whole & large.isNotNull(), struct(K_LITERAL, large.cast("string"), XSD + "integer"))
+            .when(dec.isNotNull(), struct(K_LITERAL, lexical(Value(dec, DECIMAL)), XSD + "decimal"))
+            .when(approx.isNotNull() & inexact, struct(K_LITERAL, double_text(approx), kind))
+        )
         return Value(made, BOXED)
 
     def call(self, e: Call) -> Value:
@@ -171,17 +221,23 @@ class Scope:
         return made(*args)
 
     def _same_kind(self, values: list[Value]) -> list[Value]:
-        if len({v.kind for v in values}) <= 1:
+        if len({v.kind for v in values}) <= 1 and not any(v.own is not None and v.kind.name != "double" for v in values):
             return values
         return [Value(box(v), BOXED) for v in values]
 
     def _regex(self, e: Call) -> Value:
-        flags = _literal_text(e.args[-1]) if len(e.args) == (3 if e.name == "REGEX" else 4) else ""
-        source, pattern = self.eval(e.args[0]), java_regex(flags, _literal_text(e.args[1]))
+        """A pattern that matches the empty text is an error in REPLACE."""
+        given = e.args[-1] if len(e.args) == (3 if e.name == "REGEX" else 4) else Lit("", STRING)
+        source = self.eval(e.args[0])
         text = self._string(source)
+        if isinstance(given, Lit) and isinstance(e.args[1], Lit):
+            pattern = F.lit(java_regex(given.v, e.args[1].v))
+        else:
+            pattern = java_regex_column(self._string(self.eval(given)), self._string(self.eval(e.args[1])))
         if e.name == "REGEX":
-            return Value(text.rlike(pattern), BOOLEAN)
-        return self._like(source, F.regexp_replace(text, pattern, _literal_text(e.args[2])))
+            return Value(F.rlike(text, pattern), BOOLEAN)
+        replaced = F.regexp_replace(text, pattern, self._string(self.eval(e.args[2])))
+        return self._like(source, F.when(~F.rlike(F.lit(""), pattern), replaced))
 
     def _function(self, iri: str, args: list[Value]) -> Value:
         name = iri.removeprefix(XSD)
@@ -196,11 +252,54 @@ class Scope:
                 # a number is cut at its point; a string has to be an integer
                 whole = F.when(source.rlike(r"^[+-]?\d+$"), source.try_cast("bigint"))
                 return Value(F.when(v.col["dt"].isin(*NUMERIC), source.try_cast("double").cast("bigint")).otherwise(whole) if v.kind.name == "box" else whole, INTEGER)
+            if name == "decimal" and v.kind.name in ("box", "string"):
+                of_double = v.col["dt"].isin(XSD + "double", XSD + "float") if v.kind.name == "box" else F.lit(False)
+                return Value(F.when(source.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$") | of_double, source.try_cast(NATIVE[name])), DECIMAL)
+            if name in ("dateTime", "date") and v.kind.name in ("box", "string"):
+                return self._time_cast(name, v, source)
             return Value(source.try_cast(NATIVE[name]), Kind(name))
+        if iri.startswith(XSD) and len(args) == 1 and (name in RANGES or name == "float" or iri in DURATIONS):
+            return self._derived(name, args[0])
         if iri in self.functions:
             return self.functions[iri](*args)
         raise Unsupported(f"function <{iri}>")
 
+    def _time_cast(self, name: str, v: Value, source: Column) -> Value:
+        """A zone stays in the lexical form; a date of a dateTime is its local day."""
+        zone = r"(Z|[+-]\d\d:\d\d)?$"
+        day, time = r"^\d{4}-\d\d-\d\d", r"T\d\d:\d\d:\d\d(?:\.\d+)?"
+        if name == "date":
+            shown = F.when(source.rlike(day + f"(?:{time})?" + zone), F.concat(F.substring(source, 1, 10), F.regexp_extract(source, zone, 1)))
+        else:
+            shown = F.when(source.rlike(day + time + zone), source).when(source.rlike(day + zone), F.concat(F.substring(source, 1, 10), F.lit("T00:00:00"), F.regexp_extract(source, zone, 1)))
+        valid = shown.isNotNull() & F.regexp_replace(shown, zone, "").try_cast("timestamp").isNotNull()
+        return Value(F.when(valid, struct(K_LITERAL, shown, XSD + name)), BOXED)
+
+    def _derived(self, name: str, v: Value) -> Value:
+        """Casts to the types that have no native kind: boxed, null out of their range."""
+        if XSD + name in DURATIONS:
+            text = F.trim(lexical(v))
+            form = text.rlike(DURATION)
+            if name == "dayTimeDuration":
+                form = form & ~text.rlike(r"^-?P[^T]*[YM]")
+            if name == "yearMonthDuration":
+                form = form & ~text.rlike("[DT]")
+            return Value(F.when(form, struct(K_LITERAL, text, XSD + name)), BOXED)
+        if name == "float":
+            n = self._function(XSD + "double", [v]).col.cast("float")
+            return Value(F.when(n.isNotNull(), struct(K_LITERAL, F.when(n == float("inf"), "INF").when(n == float("-inf"), "-INF").otherwise(n.cast("string")), XSD + name)), BOXED)
+        low, high = RANGES[name]
+        n = self._function(XSD + "integer", [v]).col
+        if v.kind.name in ("box", "string"):
+            # beyond 64 bits only text tells the value
+            n = F.coalesce(n.cast("decimal(38,0)"), F.when(F.trim(lexical(v)).rlike(r"^[+-]?\d+$"), F.trim(lexical(v)).try_cast("decimal(38,0)")))
+        inside = F.lit(True)
+        if low is not None:
+            inside = inside & (n.cast("decimal(38,0)") >= F.lit(str(low)).cast("decimal(38,0)"))
+        if high is not None:
+            inside = inside & (n.cast("decimal(38,0)") <= F.lit(str(high)).cast("decimal(38,0)"))
+        return Value(F.when(inside & n.isNotNull(), struct(K_LITERAL, n.cast("string"), XSD + name)), BOXED)
+
     # tests and parts of terms
     def _is(self, v: Value, k: int) -> Value:
         if v.kind.name == "box":
@@ -223,7 +322,8 @@ class Scope:
         return Value(F.when(v.col.isNotNull(), number(v.col).isNotNull() if v.kind.name == "box" else F.lit(v.kind.numeric)), BOOLEAN)
 
     def _f_sameterm(self, a, b):
-        return Value(a.col == b.col if a.kind == b.kind != BOXED else same_term(box(a), box(b)), BOOLEAN)
+        plain = a.kind == b.kind != BOXED and a.own is None and b.own is None
+        return Value(a.col == b.col if plain else same_term(box(a), box(b)), BOOLEAN)
 
     def _f_str(self, v):
         return Value(F.when(v.col["k"].isin(K_IRI, K_LITERAL), v.col["v"]) if v.kind.name == "box" else lexical(v), TEXT)
@@ -368,26 +468,35 @@ class Scope:
     def _f_now(self):
         return Value(F.lit(self.now).cast("timestamp"), Kind("dateTime"))
 
-    def _field(self, v: Value, of: Callable[[Column], Column]) -> Value:
-        return Value(of(self._time(v)).cast("bigint"), INTEGER)
+    def _field(self, v: Value, of: Callable[[Column], Column], group: int) -> Value:
+        """A part of a date or time as it is written, whatever its zone."""
+        if v.own is None and v.kind.name != "box":
+            return Value(of(self._time(v)).cast("bigint"), INTEGER)
+        return Value(F.regexp_extract(self._written(v), CLOCK, group).try_cast("bigint"), INTEGER)
+
+    def _written(self, v: Value) -> Column:
+        b = box(v)
+        return F.when((b["k"] == K_LITERAL) & b["dt"].isin(XSD + "dateTime", XSD + "date", XSD + "dateTimeStamp") & b["v"].rlike(CLOCK) & instant(b).isNotNull(), b["v"])
 
     def _f_year(self, v):
-        return self._field(v, F.year)
+        return self._field(v, F.year, 1)
 
     def _f_month(self, v):
-        return self._field(v, F.month)
+        return self._field(v, F.month, 2)
 
     def _f_day(self, v):
-        return self._field(v, F.dayofmonth)
+        return self._field(v, F.dayofmonth, 3)
 
     def _f_hours(self, v):
-        return self._field(v, F.hour)
+        return self._field(v, F.hour, 4)
 
     def _f_minutes(self, v):
-        return self._field(v, F.minute)
+        return self._field(v, F.minute, 5)
 
     def _f_seconds(self, v):
-        return Value(F.date_part(F.lit("SECOND"), self._time(v)).cast("decimal(38,18)"), DECIMAL)
+        if v.own is None and v.kind.name != "box":
+            return Value(F.date_part(F.lit("SECOND"), self._time(v)).cast("decimal(38,18)"), DECIMAL)
+        return Value(F.regexp_extract(self._written(v), CLOCK, 6).try_cast("decimal(38,18)"), DECIMAL)
 
     def _f_tz(self, v):
         return Value(F.when(self._time(v).isNotNull(), F.regexp_extract(lexical(v), r"(Z|[+-]\d\d:\d\d)$", 1)), TEXT)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -36,8 +37,11 @@ BOXED = Kind("box")
 
 @dataclass(frozen=True)
 class Value:
+    """own: the boxed term itself, of a constant whose native value does not tell its lexical form."""
+
     col: Column
     kind: Kind
+    own: Column | None = None
 
 
 def struct(k, v, dt="", lang="", direction="") -> Column:
@@ -48,6 +52,8 @@ def struct(k, v, dt="", lang="", direction="") -> Column:
 def lexical(value: Value) -> Column:
     """STR() of a native value."""
     c, name = value.col, value.kind.name
+    if value.own is not None:
+        return value.own["v"]
     if name == "iri":
         return F.concat(F.lit(value.kind.prefix), c.cast("string"))
     if name == "box":
@@ -56,10 +62,18 @@ def lexical(value: Value) -> Column:
         return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.regexp_replace(F.date_format(c, ".SSSSSS"), r"\.?0+$", ""))
     if name == "decimal":
         return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    if name == "double":
+        return double_text(c)
     return c.cast("string")
 
 
+def double_text(c: Column) -> Column:
+    return F.when(c == float("inf"), "INF").when(c == float("-inf"), "-INF").otherwise(c.cast("string"))
+
+
 def box(value: Value) -> Column:
+    if value.own is not None:
+        return value.own
     if value.kind.name == "box":
         return value.col
     made = struct(K_IRI, lexical(value)) if value.kind.name == "iri" else struct(K_LITERAL, lexical(value), XSD + value.kind.name)
@@ -105,22 +119,40 @@ def triple_part(b: Column, part: int) -> Column:
     return F.when(b["k"] == K_TRIPLE, parse_nt(F.regexp_extract(b["v"], r"(?s)^<<\( (\S+) (\S+) (.*) \)>>$", part + 1)))
 
 
+#: Lexical forms that the native value of a constant gives back.
+CANONICAL = {"integer": r"-?(0|[1-9]\d*)", "decimal": r"-?(0|[1-9]\d*)\.(0|\d*[1-9])", "boolean": "true|false", "date": r"\d{4}-\d\d-\d\d", "dateTime": r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{0,5}[1-9])?"}
+
+
 def constant(term) -> Value:
-    """A ground term, native where its datatype is."""
+    """A ground term, native where its datatype is; its lexical form is kept beside where the native value loses it."""
     if isinstance(term, IRI):
         return Value(F.lit(term.v), Kind("iri"))
     if isinstance(term, Lit):
         name = term.dt.removeprefix(XSD)
         if term.dt == STRING:
             return Value(F.lit(term.v), Kind("string"))
-        if name in ("integer", "decimal", "double", "boolean"):
-            number = F.lit(term.v).try_cast("boolean" if name == "boolean" else NATIVE[name])
-            return Value(number, Kind(name))
-        if name in ("dateTime", "date"):
-            return Value(F.lit(term.v).try_cast(NATIVE[name]), Kind(name))
+        if term.dt.startswith(XSD) and name in NATIVE and fits(name, term.v):
+            plain = re.fullmatch(CANONICAL.get(name, "(?!)"), term.v) and term.v != "-0"
+            return Value(F.lit(term.v).try_cast(NATIVE[name]), Kind(name), None if plain else boxed_constant(term))
     return Value(boxed_constant(term), BOXED)
 
 
+def fits(name: str, text: str) -> bool:
+    """Whether a lexical form is one of the datatype and its native type holds the value."""
+    if name == "integer":
+        return bool(re.fullmatch(r"[+-]?\d+", text)) and -(1 << 63) <= int(text) < 1 << 63
+    if name == "decimal":
+        whole, _, part = text.lstrip("+-").partition(".")
+        return bool(re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)", text)) and len(whole.lstrip("0")) <= 20 and len(part.rstrip("0")) <= 18
+    if name == "double":
+        return bool(re.fullmatch(r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[+-]?INF|NaN", text))
+    if name == "boolean":
+        return text in ("true", "false", "1", "0")
+    if name == "date":
+        return bool(re.fullmatch(r"\d{4}-\d\d-\d\d", text))
+    return bool(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?", text))
+
+
 def boxed_constant(term) -> Column:
     if isinstance(term, IRI):
         return struct(K_IRI, term.v)
@@ -138,7 +170,32 @@ def number(b: Column) -> Column:
 
 
 def exact(b: Column) -> Column:
-    return F.when((b["k"] == K_LITERAL) & b["dt"].isin(*EXACT), b["v"].try_cast("decimal(38,18)"))
+    return F.when((b["k"] == K_LITERAL) & b["dt"].isin(*EXACT) & ~b["v"].rlike("[eE]"), F.trim(b["v"]).try_cast("decimal(38,18)"))
+
+
+def digits(b: Column) -> Column:
+    """(negative, length, digits) of an integer of any size, without leading zeros; null if it is none."""
+    text = F.when((b["k"] == K_LITERAL) & b["dt"].isin(*INTEGERS) & b["v"].rlike(r"^[+-]?\d+$"), F.regexp_replace(b["v"], r"^[+-]?0*(?=\d)", ""))
+    return F.when(text.isNotNull(), F.struct((b["v"].startswith("-") & (text != "0")).alias("negative"), F.length(text).alias("n"), text.alias("digits")))
+
+
+def _below(p: Column, q: Column) -> Column:
+    """Whether one digits() is less than another."""
+    smaller = lambda x, y: F.struct(x["n"], x["digits"]) < F.struct(y["n"], y["digits"])
+    return F.when(p["negative"] != q["negative"], p["negative"]).when(p["negative"], smaller(q, p)).otherwise(smaller(p, q))
+
+
+#: A duration as text: sign, years, months, days, hours, minutes, seconds.
+DURATION = r"^(-)?P(?=.)(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(?:T(?=.)(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
+DURATIONS = (XSD + "duration", XSD + "dayTimeDuration", XSD + "yearMonthDuration")
+
+
+def duration(b: Column) -> Column:
+    """(months, seconds) of a duration; null if it is none."""
+    part = lambda i: F.coalesce(F.regexp_extract(b["v"], DURATION, i).try_cast("decimal(28,9)"), F.lit(0))
+    sign = F.when(b["v"].startswith("-"), -1).otherwise(1)
+    months, seconds = part(2) * 12 + part(3), part(4) * 86400 + part(5) * 3600 + part(6) * 60 + part(7)
+    return F.when((b["k"] == K_LITERAL) & b["dt"].isin(*DURATIONS) & b["v"].rlike(DURATION), F.struct((months * sign).cast("decimal(38,9)").alias("months"), (seconds * sign).cast("decimal(38,9)").alias("seconds")))
 
 
 def instant(b: Column) -> Column:
@@ -174,6 +231,7 @@ def equal(a: Value, b: Value) -> Column:
     return (
         F.when(p.isNull() | q.isNull(), None)
         .when(exact(p).isNotNull() & exact(q).isNotNull(), exact(p) == exact(q))
+        .when(_seldom(p, q), _apart(p, q, _seldom_equal))
         .when(number(p).isNotNull() & number(q).isNotNull(), number(p) == number(q))
         .when(instant(p).isNotNull() & instant(q).isNotNull(), instant(p) == instant(q))
         .when(same_term(p, q), True)
@@ -199,11 +257,33 @@ def less(a: Value, b: Value) -> Column:
     string = lambda c: F.when((c["k"] == K_LITERAL) & (c["dt"] == STRING), c["v"])
     truth = lambda c: F.when((c["k"] == K_LITERAL) & (c["dt"] == XSD + "boolean"), c["v"].try_cast("boolean"))
     out = F.when(exact(p).isNotNull() & exact(q).isNotNull(), exact(p) < exact(q))
+    out = out.when(_seldom(p, q), _apart(p, q, _seldom_less))
     for of in (number, instant, string, truth):
         out = out.when(of(p).isNotNull() & of(q).isNotNull(), of(p) < of(q))
     return out
 
 
+def _seldom(p: Column, q: Column) -> Column:
+    """Both integers (that exact() does not hold), or both durations."""
+    kinds = lambda names: p["dt"].isin(*names) & q["dt"].isin(*names)
+    return (p["k"] == K_LITERAL) & (q["k"] == K_LITERAL) & (kinds(INTEGERS) | kinds(DURATIONS))
+
+
+def _apart(p: Column, q: Column, compare) -> Column:
+    """A comparison that is seldom reached, inside a function of its own so that it does not weigh on the code of a stage."""
+    return F.transform(F.array(F.struct(p.alias("p"), q.alias("q"))), lambda x: compare(x["p"], x["q"]))[0]
+
+
+def _seldom_equal(p: Column, q: Column) -> Column:
+    return F.coalesce(digits(p) == digits(q), duration(p) == duration(q))
+
+
+def _seldom_less(p: Column, q: Column) -> Column:
+    u, w = duration(p), duration(q)
+    # months and seconds cannot be compared with each other
+    return F.coalesce(_below(digits(p), digits(q)), F.when(u["months"] == w["months"], u["seconds"] < w["seconds"]).when(u["seconds"] == w["seconds"], u["months"] < w["months"]))
+
+
 def ebv(value: Value) -> Column:
     """Effective boolean value; null is an error."""
     c, name = value.col, value.kind.name

@@ -16,10 +16,6 @@ from quadloom.sources.graphs import QUADS, QuadGraph, _is, quads_frame
 from quadloom.sparql.ast import IRI, Triple, Var
 from quadloom.sparql.parser import parse_turtle
 
-#: Formats by file name extension (fixed values).
-EXTENSIONS = {".nt": "nt", ".nq": "nquads", ".ttl": "turtle", ".n3": "turtle", ".trig": "trig"}
-
-
 class NotUnique(ValueError):
     pass
 
@@ -41,19 +37,16 @@ class RdfGraph:
     # reading and writing
     @staticmethod
     def format_of(path: str) -> str:
-        suffix = Path(path).suffix
-        if suffix not in EXTENSIONS:
-            raise ValueError(f"no format is known for {path}")
-        return EXTENSIONS[suffix]
+        return turtle.format_of(path)
 
     def parse(self, source: str | None = None, data: str | None = None, format: str | None = None, graph: str = "", base: str = "") -> RdfGraph:
         """With the triples of a file or text. N-Triples and N-Quads are read by all executors; Turtle and TriG by the driver, as a document is one unit."""
-        form = format or (self.format_of(source) if source else "turtle")
-        if form in ("nt", "nquads"):
-            read = ntriples.read(self.spark, source) if source else ntriples.nquads_rows(self.spark.createDataFrame([(line,) for line in data.splitlines()], "value string"))
+        if source is not None:
+            read = turtle.read(self.spark, source, self.prefixes, format, base)
+        elif format in ("nt", "nquads"):
+            read = ntriples.nquads_rows(self.spark.createDataFrame([(line,) for line in data.splitlines()], "value string"))
         else:
-            text = data if data is not None else "\n".join(r.value for r in self.spark.read.text(source, wholetext=True).collect())
-            read = quads_frame(self.spark, parse_turtle(text, self.prefixes, base))
+            read = quads_frame(self.spark, parse_turtle(data, self.prefixes, base))
         if graph:
             read = read.withColumn("g", F.when(F.col("g") == "", graph).otherwise(F.col("g")))
         return self._with(setops.graph_union(self.quads, read))

@@ -8,11 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.functions.terms import BOX, BOXED, K_LITERAL, NUMERIC, Value, box, box_order, boxed_constant, number, struct
+from quadloom.functions.expressions import Scope
+from quadloom.functions.terms import BOX, BOXED, K_LITERAL, NUMERIC, Kind, Value, box, box_order, boxed_constant, number, struct
 from quadloom.plans.solution import Solution
-from quadloom.sparql.ast import RDF, SH, XSD, BNode, IRI, Lit
+from quadloom.sparql.ast import IRI, RDF, SH, XSD, BNode, Call, Lit, Var
+from quadloom.sparql.parser import parse_query
 
 SHNEX = "http://www.w3.org/ns/shacl-node-expr#"
+CALLS = "http://www.w3.org/ns/sparql#"
+#: Calls whose name is not that of the function (fixed values).
+OPERATORS = {"equals": "=", "sameValue": "=", "not-equals": "!=", "less-than": "<", "greater-than": ">", "less-than-or-equal": "<=", "greater-than-or-equal": ">=", "plus": "+", "subtract": "-", "multiply": "*", "divide": "/", "logical-not": "!", "unary-plus": "POS", "unary-minus": "NEG", "logical-or": "||", "logical-and": "&&", "encode": "ENCODE_FOR_URI"}
 TRUE = Lit("true", XSD + "boolean")
 BOOLEAN, INTEGER = XSD + "boolean", XSD + "integer"
 
@@ -20,8 +25,8 @@ BOOLEAN, INTEGER = XSD + "boolean", XSD + "integer"
 class NodeExpressions:
     """validator: gives the graph, its shapes, and which nodes conform to a shape."""
 
-    def __init__(self, validator):
-        self.v, self.facts = validator, validator.shapes.facts
+    def __init__(self, validator, arguments: dict | None = None):
+        self.v, self.facts, self.arguments = validator, validator.shapes.facts, arguments or {}
 
     def eval(self, expr, focus: DataFrame) -> DataFrame:
         """``focus`` has one distinct boxed column, focus."""
@@ -39,8 +44,79 @@ class NodeExpressions:
             made = getattr(self, "_" + name.lower(), None)
             if made:
                 return made(keys, focus)
+        for key, values in facts.items():
+            if key.startswith(CALLS):
+                return self._call(key.removeprefix(CALLS), self.v.shapes.items(values[0]), focus)
+        if SH + "select" in facts or SH + "sparqlExpr" in facts:
+            return self._query(facts, focus)
+        for key in facts:
+            if IRI(SH + "NamedParameterExpressionFunction") in self.facts.get(IRI(key), {}).get(RDF + "type", []):
+                return self._custom(IRI(key), facts, focus)
         raise NotImplementedError(f"node expression {sorted(facts)}")
 
+    # queries and calls
+    def _single(self, expr, focus: DataFrame, name: str) -> DataFrame:
+        """(focus, name): the only node of an expression; an expression of several nodes is a failure."""
+        found = self.eval(expr, focus).groupBy("focus").agg(F.count("*").alias("n"), F.min("node").alias(name))
+        return found.select("focus", F.when(F.col("n") > 1, F.raise_error(F.lit("an argument with more than one node"))).otherwise(F.col(name)).alias(name))
+
+    def _call(self, name: str, args: list, focus: DataFrame) -> DataFrame:
+        """A function of the query language. A missing argument gives no node, but for bound, coalesce and the logical ones."""
+        rows = focus
+        for i, a in enumerate(args):
+            rows = rows.join(self._single(a, focus, f"a{i}"), "focus", "left")
+        bound = {f"a{i}": Value(F.col(f"a{i}"), BOXED) for i in range(len(args))}
+        names = tuple(Var(n) for n in bound)
+        scope = Scope(bound, self.v.engine.functions, None, self.v.engine.now)
+        if name == "bound":
+            out = Value(F.col("a0").isNotNull(), Kind("boolean"))
+        elif name == "hasLang" and len(args) == 2:
+            out = Value(F.lower(scope._f_lang(bound["a0"]).col) == F.lower(scope._f_str(bound["a1"]).col), Kind("boolean"))
+        else:
+            out = scope.eval(Call(OPERATORS.get(name, name.upper()), names))
+            if name not in ("coalesce", "if", "logical-or", "logical-and"):
+                for n in bound:
+                    rows = rows.where(F.col(n).isNotNull())
+        return rows.select("focus", F.lit(0).alias("pos"), box(out).alias("node")).where("node is not null")
+
+    def _query(self, facts: dict, focus: DataFrame) -> DataFrame:
+        """A SELECT of one variable, or an expression, run once with all focus nodes as $this."""
+        engine, prefixes = self.v.engine, self.v.engine.prefixes | self.v.shapes.declared()
+        given = Solution(focus.select(F.col("focus").alias("this")), {"this": BOXED}, {"this"})
+        if SH + "select" in facts:
+            q = parse_query(facts[SH + "select"][0].v, prefixes)
+            if q.projection is None or len(q.projection) != 1:
+                raise ValueError("a select expression projects one variable")
+            name = q.projection[0][0]
+            found = engine._group(q.pattern, None, given=given)[0]
+            q.projection = [("this", None), *q.projection] if name != "this" else q.projection
+        else:
+            q = parse_query(f"SELECT $this ({facts[SH + 'sparqlExpr'][0].v}\n AS ?value) WHERE {{}}", prefixes)
+            name, found = "value", given
+        found = engine._modified(q, found)
+        pairs = found.df.select(box(found.value("this")).alias("focus"), box(found.value(name)).alias("node")).where("node is not null")
+        return self._numbered(pairs, box_order(F.col("node")))
+
+    def _custom(self, function: IRI, call: dict, focus: DataFrame) -> DataFrame:
+        """A declared function with named parameters: its body, in which arguments stand for their expressions."""
+        declared = [path for p in self.facts[function].get(SH + "parameter", []) for path in self.facts[p].get(SH + "path", [])]
+        own = {path: call[path.v][0] for path in declared if path.v in call}
+        return NodeExpressions(self.v, own).eval(self.facts[function][SH + "bodyExpression"][0], focus)
+
+    def _arg(self, keys, focus):
+        if keys["arg"] not in self.arguments:
+            return self.concat([], focus)
+        return NodeExpressions(self.v).eval(self.arguments[keys["arg"]], focus)
+
+    def _conformstoshape(self, keys, focus):
+        node, shape = self.v.shapes.items(keys["conformsToShape"])
+        if not isinstance(shape, IRI) or shape == IRI(SH + "this"):
+            raise NotImplementedError("conformsToShape of a computed shape")
+        nodes = self._single(node, focus, "node")
+        bad = self._failing(shape, nodes)
+        good = nodes.join(bad, "node", "left_anti")
+        return self._flag(nodes.select("focus"), good)
+
     # helpers
     def _nodes(self, keys: dict, focus: DataFrame) -> DataFrame:
         return self.eval(keys["nodes"], focus) if "nodes" in keys else self.eval(IRI(SH + "this"), focus)

@@ -415,6 +415,14 @@ class Validator:
             node = F.col("node")
             good = nodes.groupBy("focus").agg(F.count("*").alias("n"), F.min((node["v"] == "true") & (node["dt"] == XSD + "boolean")).alias("yes")).where("n = 1 and yes").select(F.col("focus").alias("value"))
             whole("Expression", semi_join(values, Solution(good, {"value": BOXED}, {"value"}), True))
+        for expr in shape.get("nodeByExpression"):
+            from quadloom.operators.node_expressions import values_of
+
+            # the shapes that the expression gives for each value; a shapes graph holds few, so their names fit the driver
+            told = durable(values_of(self, expr, self._as_focus(values)).select(F.col("focus").alias("value"), F.col("node")["v"].alias("shape")), "shapes-of")
+            for (name,) in told.select("shape").distinct().collect():
+                mine = semi_join(values, Solution(told.where(F.col("shape") == name).select("value"), {"value": BOXED}, {"value"}), False)
+                whole("NodeByExpression", semi_join(mine, self._bad_values(IRI(name), mine), False))
         for node in shape.get("reifierShape"):
             reifiers = self._reifiers(shape, values)
             bad = self.failing(node, self._focus(reifiers, "reifier"))

@@ -22,23 +22,29 @@ TRUE = Lit("true", XSD + "boolean")
 def apply_rules(graph: QuadGraph, shapes_text: str, prefixes: dict[str, str] | None = None, rounds: int = 1000) -> DataFrame:
     """The quads that the rules add; the graph is not changed.
 
-    Rules of one sh:order run together on base and derived triples until none is new; lower orders end
-    first. A pass of a rule runs once for all its focus nodes. Each round's new triples are a table.
+    Layers (sh:layer) run one after the other. In a layer the rules marked sh:runOnce run once, by
+    sh:order; then the others, those of one order together on base and derived triples until none is new,
+    lower orders first. A pass of a rule runs once for all its focus nodes. Each round's new triples are
+    a table.
     """
     shapes = Shapes(shapes_text, prefixes)
-    rules: dict[float, list[tuple[Shape, object]]] = {}
+    rules: dict[tuple, list[tuple[Shape, object]]] = {}
     for node, facts in list(shapes.facts.items()):
         for rule in facts.get(SH + "rule", []):
             own = shapes.facts[rule]
             if TRUE not in own.get(SH + "deactivated", []):
-                rules.setdefault(float(own.get(SH + "order", [Lit("0")])[0].v), []).append((shapes.shape(node), rule))
+                layer, order = (float(own.get(SH + n, [Lit("0")])[0].v) for n in ("layer", "order"))
+                again = TRUE not in own.get(SH + "runOnce", [])
+                rules.setdefault((layer, again, order), []).append((shapes.shape(node), rule))
     base = graph.quads.select(COLUMNS)
     made = durable(base.where("false"), "shacl-rules")
-    for order in sorted(rules):
-        for _ in range(rounds):
+    for layer, again, order in sorted(rules):
+        for nth in range(rounds):
+            if nth and not again:
+                break
             view = base.unionByName(made)
             validator = Validator(Engine(QuadGraph(view), prefixes), shapes)
-            parts = [_run(validator, shape, rule) for shape, rule in rules[order]]
+            parts = [_run(validator, shape, rule) for shape, rule in rules[layer, again, order]]
             out = parts[0]
             for p in parts[1:]:
                 out = out.unionByName(p)

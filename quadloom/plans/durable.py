@@ -15,9 +15,21 @@ def _own() -> str:
 
 
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
-    """df, written to spark.checkpoint.dir (a temporary folder only where that is unset) and read again."""
+    """df, written to spark.checkpoint.dir and read again; a temporary folder only where that is unset and all runs on this machine."""
     spark = df.sparkSession
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own()
-    path = f"{told.rstrip('/')}/quadloom/{name}-{uuid.uuid4().hex}"
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not told and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(told or _own()).rstrip('/')}/quadloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quadloom_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table of a durable() that nothing reads any more."""
+    path, spark = getattr(df, "_quadloom_path", None), df.sparkSession
+    if path:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

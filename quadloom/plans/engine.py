@@ -96,6 +96,10 @@ def reversed_path(p):
     return Mod(reversed_path(p.a), p.kind)
 
 
+class GraphError(ValueError):
+    """An update of a graph that is not there, or is there already."""
+
+
 class Engine:
     """Compiles queries for one graph. services: IRI of an endpoint to a graph that answers for it."""
 
@@ -108,8 +112,7 @@ class Engine:
     # entry points
     def solutions(self, text: str | Query) -> Solution:
         q = parse_query(text, self.prefixes) if isinstance(text, str) else text
-        own = Engine(self.graph.dataset(q.from_, q.from_named), self.prefixes, self.functions, self.services, self.now, self.entailment) if q.from_ or q.from_named else self
-        return own._select(q)
+        return self._over(q)._select(q)
 
     def select(self, text: str | Query, lexical_forms: bool = False) -> DataFrame:
         """Columns named as the variables: native values, IRIs as text, and boxed terms (or their lexical forms)."""
@@ -119,13 +122,24 @@ class Engine:
 
     def ask(self, text: str | Query) -> bool:
         q = parse_query(text, self.prefixes) if isinstance(text, str) else text
-        return not self._pattern(q.pattern, None).df.limit(1).isEmpty()
+        return not self._over(q)._pattern(q.pattern, None).df.limit(1).isEmpty()
 
     def construct(self, text: str | Query) -> DataFrame:
         """The set of triples (g, s, p, o) of a CONSTRUCT or DESCRIBE query."""
         q = parse_query(text, self.prefixes) if isinstance(text, str) else text
         if q.form == "DESCRIBE":
-            return self._describe(q)
+            return self._over(q)._describe(q)
+        if q.from_ or q.from_named:
+            return self._over(q)._construct(q)
+        return self._construct(q)
+
+    def _over(self, q: Query) -> Engine:
+        """For the dataset that the query names."""
+        if not (q.from_ or q.from_named):
+            return self
+        return Engine(self.graph.dataset(q.from_, q.from_named), self.prefixes, self.functions, self.services, self.now, self.entailment)
+
+    def _construct(self, q: Query) -> DataFrame:
         s = self._modified(q, self._pattern(q.pattern, None))
         return self.instantiate(s, [(None, t) for t in q.template])
 
@@ -187,9 +201,9 @@ class Engine:
         return Scope(s.values(), self.functions, None, self.now)
 
     def _select(self, q: Query, graph=None) -> Solution:
-        return self._modified(q, self._pattern(q.pattern, graph))
+        return self._modified(q, self._pattern(q.pattern, graph), graph)
 
-    def _modified(self, q: Query, s: Solution) -> Solution:
+    def _modified(self, q: Query, s: Solution, graph=None) -> Solution:
         if q.values is not None:
             s = join(s, self._values(q.values))
         projection, having, order = q.projection, list(q.having), list(q.order)
@@ -200,13 +214,17 @@ class Engine:
             projection = [(n, rename(e) if e is not None else None) for n, e in projection]
             having, order = [rename(e) for e in having], [(rename(e), d) for e, d in order]
         for e in having:
-            s = s.where(self._scope(s).ebv(e))
+            s = self._filtered(s, e, graph)
         for n, e in projection or []:
             if e is not None:
-                s = self._extended(s, n, e)
+                s = self._extended(s, n, e, graph)
         if order:
             keys = []
-            scope = self._scope(s)
+            flagged = []
+            for e, down in order:
+                s, e = self._flags(s, e, graph)
+                flagged.append((e, down))
+            order, scope = flagged, self._scope(s)
             for e, down in order:
                 v = scope.eval(e)
                 key = box_order(v.col) if v.kind == BOXED else v.col
@@ -227,10 +245,16 @@ class Engine:
             s = Solution(s.df.limit(q.limit), s.kinds, s.certain)
         return s
 
-    def _extended(self, s: Solution, name: str, e) -> Solution:
+    def _extended(self, s: Solution, name: str, e, graph=None) -> Solution:
         if name in s.kinds:
             raise ValueError(f"?{name} is already bound")
+        names = list(s.kinds)
+        if _holds_exists(e):
+            s, e = self._flags(s, e, graph)
+            return self._extended(s, name, e).keep([*names, name])
         v = self._scope(s).eval(e)
+        if v.own is not None:
+            v = Value(v.own, BOXED)
         sure = {name} if isinstance(e, (Lit, IRI)) or (isinstance(e, Var) and e.name in s.certain) or (isinstance(e, Agg) and e.name == "COUNT") else set()
         return s.select(s.values() | {name: v}, s.certain | sure)
 
@@ -347,7 +371,7 @@ class Engine:
             elif isinstance(p, Minus):
                 s = minus(s or self._unit(), self._pattern(p.pattern, graph))
             elif isinstance(p, Bind):
-                s = self._extended(s or self._unit(), p.var, p.expr)
+                s = self._extended(s or self._unit(), p.var, p.expr, graph)
             else:
                 right = self._pattern(p, graph)
                 s = right if s is None else join(s, right)
@@ -372,12 +396,14 @@ class Engine:
                 condition = lambda seen: F.coalesce(_all([Scope(seen, self.functions, None, self.now).ebv(x) for x in outer]), F.lit(False))
             return semi_join(s, inner, e.negated, condition)
         if _holds_exists(e):
-            return self._marked(s, e, graph)
+            names = list(s.kinds)
+            s, e = self._flags(s, e, graph)
+            return s.where(self._scope(s).ebv(e)).keep(names)
         return s.where(self._scope(s).ebv(e))
 
-    def _marked(self, s: Solution, e, graph) -> Solution:
-        """EXISTS inside an expression: a flag for each distinct binding of the variables that the pattern sees."""
-        names = list(s.kinds)
+    def _flags(self, s: Solution, e, graph) -> tuple[Solution, object]:
+        """EXISTS inside an expression: a flag for each distinct binding of the variables that the pattern sees; and the
+        expression with the flags in its place."""
 
         def replaced(x):
             nonlocal s
@@ -394,10 +420,12 @@ class Engine:
                 return Call("!", (found,)) if x.negated else found
             if isinstance(x, Call):
                 return Call(x.name, tuple(replaced(a) for a in x.args))
+            if isinstance(x, In):
+                return In(replaced(x.expr), tuple(replaced(a) for a in x.options), x.negated)
             return x
 
-        e = replaced(e)
-        return s.where(self._scope(s).ebv(e)).keep(names)
+        e = replaced(e) if _holds_exists(e) else e
+        return s, e
 
     def _values(self, v: Values) -> Solution:
         if not v.vars:
@@ -406,7 +434,8 @@ class Engine:
         rows = []
         kinds = {}
         for n, terms in columns.items():
-            own = {constant(t).kind for t in terms if t is not None}
+            told = [constant(t) for t in terms if t is not None]
+            own = {BOXED if v.own is not None and v.kind.name != "double" else v.kind for v in told}
             kinds[n] = own.pop() if len(own) == 1 else BOXED
         for i in range(len(v.rows)):
             one = []
@@ -568,14 +597,13 @@ class Engine:
     # updates
     def update(self, text: str) -> QuadGraph:
         """The graph after the updates; this one is not changed."""
-        if not isinstance(self.graph, QuadGraph):
-            raise Unsupported("updates of mapped tables")
-        quads = self.graph.quads
+        graph = self.graph if isinstance(self.graph, QuadGraph) else self.graph.as_quads()
+        quads = graph.quads
         for u in parse_update(text, self.prefixes):
-            quads = self._updated(quads, u)
-        return QuadGraph(quads, self.graph.default_union)
+            quads = self._updated(quads, u, graph.default_union)
+        return QuadGraph(quads, graph.default_union)
 
-    def _updated(self, quads: DataFrame, u: Update) -> DataFrame:
+    def _updated(self, quads: DataFrame, u: Update, default_union: bool) -> DataFrame:
         less = lambda a, b: a.join(b.select(a.columns), ["g", "s", "p", "o"], "left_anti").select("g", "s", "p", "o")
         more = lambda a, b: a.unionByName(b).distinct()
         of = lambda ref: F.col("g") == "" if ref == "DEFAULT" else F.col("g") != "" if ref == "NAMED" else F.lit(True) if ref == "ALL" else F.col("g") == ref.v
@@ -583,27 +611,35 @@ class Engine:
             return more(quads, quads_frame(self.spark, u.insert))
         if u.op == "DELETE DATA":
             return less(quads, quads_frame(self.spark, u.delete))
+        # a graph is there if it has a quad: without SILENT, one to be emptied or read must be, one to be made must not
+        there = lambda name: not quads.where(F.col("g") == name).isEmpty()
         if u.op in ("CLEAR", "DROP"):
+            if not u.silent and isinstance(u.graph, IRI) and not there(u.graph.v):
+                raise GraphError(f"{u.op}: there is no graph <{u.graph.v}>")
             return quads.where(~of(u.graph))
         if u.op == "CREATE":
+            if not u.silent and there(u.graph.v):
+                raise GraphError(f"CREATE: there is a graph <{u.graph.v}>")
             return quads
         if u.op in ("ADD", "COPY", "MOVE"):
             source, target = ("" if r == "DEFAULT" else r.v for r in (u.graph, u.target))
+            if not u.silent and source and not there(source):
+                raise GraphError(f"{u.op}: there is no graph <{source}>")
             if source == target:
                 return quads
             kept = quads.where(F.col("g") != target) if u.op != "ADD" else quads
             kept = kept.where(F.col("g") != source) if u.op == "MOVE" else kept
             return more(kept, quads.where(F.col("g") == source).withColumn("g", F.lit(target)))
         if u.op == "LOAD":
-            from quadloom.sources.ntriples import read
+            from quadloom.sources.turtle import read
 
             try:
-                return more(quads, read(self.spark, u.graph.v).withColumn("g", F.lit(u.target.v if u.target else "")))
+                return more(quads, read(self.spark, u.graph.v, self.prefixes).withColumn("g", F.lit(u.target.v if u.target else "")))
             except Exception:
                 if u.silent:
                     return quads
                 raise
-        view = QuadGraph(quads, self.graph.default_union)
+        view = QuadGraph(quads, default_union)
         if u.using or u.using_named:
             view = QuadGraph(quads, False, u.using, u.using_named)
         elif u.with_:
@@ -641,6 +677,8 @@ def _all(columns: list):
 
 
 def _holds_exists(e) -> bool:
+    if isinstance(e, In):
+        return any(_holds_exists(a) for a in (e.expr, *e.options))
     return isinstance(e, Exists) or (isinstance(e, Call) and any(_holds_exists(a) for a in e.args))
 
 

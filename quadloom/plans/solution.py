@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +77,78 @@ def _compatible(a: Solution, b: Solution, shared: list[str]) -> Column:
     return out
 
 
+def _masks(s: Solution, names: list[str]) -> list[tuple[frozenset[str], Solution]]:
+    """The rows of s by which of the names they bind; a name that is certain is bound in all."""
+    out = [(frozenset(), s)]
+    for n in names:
+        bound = lambda p, n=n: Solution(p.df.where(p.value(n).col.isNotNull()), p.kinds, p.certain | {n})
+        if n in s.certain:
+            out = [(have | {n}, p) for have, p in out]
+        else:
+            out = [x for have, p in out for x in ((have | {n}, bound(p)), (have, p.where(p.value(n).col.isNull())))]
+    return out
+
+
+def _splits(a: Solution, b: Solution, shared: list[str]) -> bool:
+    """Whether no shared variable is certain on both sides, so that no equality would be left to join by."""
+    return bool(shared) and not any(n in a.certain and n + TAG in b.certain for n in shared) and len(shared) <= 4
+
+
+def _equal(a: Solution, b: Solution, names: list[str]) -> Column | None:
+    out = None
+    for n in names:
+        one = a.value(n).col == b.value(n + TAG).col
+        out = one if out is None else out & one
+    return out
+
+
+def _inner(a: Solution, b: Solution, shared: list[str], condition: Column | None = None) -> DataFrame:
+    """Compatible pairs. Where no shared variable is certain, the rows of each side go by what they bind, and each two
+    parts join by what both bind; only rows that share no bound variable meet as a product, as they must."""
+    if not _splits(a, b, shared):
+        on = _compatible(a, b, shared) if shared else None
+        on = condition if on is None else on if condition is None else on & condition
+        return a.df.crossJoin(b.df) if on is None else a.df.join(b.df, on, "inner")
+    out = None
+    for have, x in _masks(a, shared):
+        for there, y in _masks(b, [n + TAG for n in shared]):
+            on = _equal(x, y, [n for n in shared if n in have and n + TAG in there])
+            on = condition if on is None else on if condition is None else on & condition
+            part = x.df.crossJoin(y.df) if on is None else x.df.join(y.df, on, "inner")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _semi(a: Solution, b: Solution, shared: list[str], negated: bool, condition: Column | None = None, sharing: bool = False) -> DataFrame:
+    """Rows of a with (or without) a compatible row of b; with ``sharing``, one that binds a variable both bind."""
+    if not _splits(a, b, shared):
+        on = _compatible(a, b, shared) if shared else F.lit(True)
+        if sharing and not any(n in a.certain and n + TAG in b.certain for n in shared):
+            on = on & reduce(Column.__or__, [a.value(n).col.isNotNull() & b.value(n + TAG).col.isNotNull() for n in shared])
+        return a.df.join(b.df, on if condition is None else on & condition, "left_anti" if negated else "left_semi")
+    out = None
+    for have, x in _masks(a, shared):
+        part, rest = None, x.df
+        for there, y in _masks(b, [n + TAG for n in shared]):
+            both = [n for n in shared if n in have and n + TAG in there]
+            if sharing and not both:
+                continue
+            on, right = _equal(x, y, both), y.df
+            if on is None and condition is None:
+                # any row will do
+                on, right = F.lit(True), right.limit(1)
+            else:
+                on = on if condition is None else condition if on is None else on & condition
+            if not negated:
+                # each part sees only the rows without a partner in those before, as this is a bag
+                found = rest.join(right, on, "left_semi")
+                part = found if part is None else part.unionByName(found)
+            rest = rest.join(right, on, "left_anti")
+        part = rest if negated else part
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _merged(joined: DataFrame, a: Solution, b: Solution, shared: list[str]) -> dict[str, Value]:
     out = {n: Value(joined[f"`{column_name(n)}`"], k) for n, k in a.kinds.items()}
     for n, k in b.kinds.items():
@@ -91,7 +164,7 @@ def _merged(joined: DataFrame, a: Solution, b: Solution, shared: list[str]) -> d
 def join(a: Solution, b: Solution) -> Solution:
     a, b, shared = aligned(a, b)
     b = b.tagged(TAG)
-    joined = a.df.join(b.df, _compatible(a, b, shared), "inner") if shared else a.df.crossJoin(b.df)
+    joined = _inner(a, b, shared)
     values = _merged(joined, a, b, shared)
     return Solution(joined, {}, set()).select(values, a.certain | {n.removesuffix(TAG) for n in b.certain})
 
@@ -100,14 +173,18 @@ def left_join(a: Solution, b: Solution, condition=None) -> Solution:
     """condition: from the merged values to a column, or None; a row without a partner keeps b's variables unbound."""
     a, b, shared = aligned(a, b)
     b = b.tagged(TAG)
-    on = _compatible(a, b, shared)
+    on = None
     if condition is not None:
         seen = a.values() | {n.removesuffix(TAG): v for n, v in b.values().items() if n.removesuffix(TAG) not in a.kinds}
         for n in shared:
             if n not in a.certain:
                 seen[n] = Value(F.coalesce(a.value(n).col, b.value(n + TAG).col), a.kinds[n])
-        on = on & condition(seen)
-    joined = a.df.join(b.df, on, "left")
+        on = condition(seen)
+    if _splits(a, b, shared):
+        joined = _inner(a, b, shared, on).unionByName(_semi(a, b, shared, True, on), allowMissingColumns=True)
+    else:
+        both = _compatible(a, b, shared)
+        joined = a.df.join(b.df, both if on is None else both & on, "left")
     return Solution(joined, {}, set()).select(_merged(joined, a, b, shared), set(a.certain))
 
 
@@ -115,10 +192,8 @@ def semi_join(a: Solution, b: Solution, negated: bool, condition=None) -> Soluti
     """EXISTS and NOT EXISTS."""
     x, y, shared = aligned(a, b)
     y = y.tagged(TAG)
-    on = _compatible(x, y, shared)
-    if condition is not None:
-        on = on & condition(y_values(y) | x.values())
-    return Solution(x.df.join(y.df, on, "left_anti" if negated else "left_semi"), x.kinds, x.certain)
+    on = condition(y_values(y) | x.values()) if condition is not None else None
+    return Solution(_semi(x, y, shared, negated, on), x.kinds, x.certain)
 
 
 def y_values(b: Solution) -> dict[str, Value]:
@@ -131,13 +206,7 @@ def minus(a: Solution, b: Solution) -> Solution:
     if not shared:
         return a
     b2 = b2.tagged(TAG)
-    on = _compatible(a2, b2, shared)
-    if not any(n in a2.certain and n + TAG in b2.certain for n in shared):
-        both = F.lit(False)
-        for n in shared:
-            both = both | (a2.value(n).col.isNotNull() & b2.value(n + TAG).col.isNotNull())
-        on = on & both
-    return Solution(a2.df.join(b2.df, on, "left_anti"), a2.kinds, a2.certain)
+    return Solution(_semi(a2, b2, shared, True, sharing=True), a2.kinds, a2.certain)
 
 
 def union(parts: list[Solution]) -> Solution:

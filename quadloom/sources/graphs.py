@@ -20,6 +20,7 @@ from quadloom.functions.terms import (
     boxed_constant,
     constant,
     equal,
+    lexical,
     same_term,
     struct,
     triple_part,
@@ -72,7 +73,10 @@ def _is(value: Value, term) -> Column:
     if not isinstance(term, Lit):
         return F.lit(False)
     own = constant(term)
-    return equal(value, own) if own.kind == kind else F.lit(False)
+    # another lexical form is another term; doubles are taken by value, as columns hold no lexical form
+    if own.kind != kind or own.own is not None and kind.name != "double":
+        return F.lit(False)
+    return equal(value, own)
 
 
 class QuadGraph:
@@ -187,13 +191,25 @@ class Narrowed(list):
 class MappedGraph:
     """Relational tables as a virtual graph. Patterns on one subject and table are one scan of just their columns."""
 
-    def __init__(self, spark: SparkSession, load: Callable[[str], DataFrame], maps: list[TableMap]):
-        self.spark, self.load, self.maps = spark, load, maps
+    def __init__(self, spark: SparkSession, load: Callable[[str], DataFrame], maps: list[TableMap], default: list[str] | None = None, named: list[str] | None = None):
+        self.spark, self.load, self.maps, self.default, self.named = spark, load, maps, default, named
 
     def dataset(self, default: list[str], named: list[str]) -> MappedGraph:
-        if default or named:
-            raise NotImplementedError("FROM over mapped tables")
-        return self
+        """Of FROM and FROM NAMED: the rows of the graphs listed. A row lies in one graph, so their merge has no repeats."""
+        return MappedGraph(self.spark, self.load, self.maps, default, named) if default or named else self
+
+    def as_quads(self) -> QuadGraph:
+        """All triples as one table of quads, those of named graphs too."""
+        one = self.scan([Triple(Var("s"), Var("p"), Var("o"))])
+        out = one.df.select(F.lit("").alias("g"), *self._quad(one))
+        if any(m.graph for m in self.maps):
+            many = self.scan([Triple(Var("s"), Var("p"), Var("o"))], Var("g"))
+            out = out.unionByName(many.df.select(lexical(many.value("g")).alias("g"), *self._quad(many)))
+        return QuadGraph(out)
+
+    @staticmethod
+    def _quad(x: Solution) -> list[Column]:
+        return [box(x.value("s")).alias("s"), lexical(x.value("p")).alias("p"), box(x.value("o")).alias("o")]
 
     def _tables(self, t: Triple) -> list[TableMap]:
         if isinstance(t.p, IRI):
@@ -232,6 +248,11 @@ class MappedGraph:
         if graph is not None and not m.graph or isinstance(triples[0].s, IRI) and not triples[0].s.v.startswith(m.prefix):
             return None
         df = self.load(m.table)
+        only = self.default if graph is None else self.named
+        if only is not None:
+            if not m.graph:
+                return None
+            df = df.where(F.col(m.graph_column).cast("string").isin([g[len(m.graph) :] for g in only if g.startswith(m.graph)]) if only else F.lit(False))
         where = [(graph, Value(df[m.graph_column], Kind("iri", m.graph)))] if graph is not None else []
         parts = [(triples[0].s, Value(F.expr(m.key), Kind("iri", m.prefix)))]
         if isinstance(triples[0].p, IRI):
