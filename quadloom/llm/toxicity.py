@@ -98,22 +98,30 @@ def sample(labelled: DataFrame, settings: Settings) -> DataFrame:
 
 
 class Sparse:
-    """Ones at (row, column), or +1 and -1, of a matrix with so many rows and columns."""
+    """Ones at (row, column), or +1 and -1, of a matrix with so many rows and columns; worked through in steps of STEP."""
+
+    STEP = 1 << 20
 
     def __init__(self, row: np.ndarray, column: np.ndarray, sign: np.ndarray | None, rows: int, columns: int):
         self.row, self.column, self.sign, self.shape = row, column, sign, (rows, columns)
 
+    def _product(self, to: np.ndarray, of: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        for at in range(0, len(to), self.STEP):
+            part = slice(at, at + self.STEP)
+            own = v[of[part]]
+            out += np.bincount(to[part], own if self.sign is None else own * self.sign[part], n)
+        return out
+
     def __matmul__(self, v: np.ndarray) -> np.ndarray:
-        own = v[self.column] if self.sign is None else v[self.column] * self.sign
-        return np.bincount(self.row, own, self.shape[0])
+        return self._product(self.row, self.column, v, self.shape[0])
 
     def transposed(self, v: np.ndarray) -> np.ndarray:
-        own = v[self.row] if self.sign is None else v[self.row] * self.sign
-        return np.bincount(self.column, own, self.shape[1])
+        return self._product(self.column, self.row, v, self.shape[1])
 
     def columns(self, chosen: np.ndarray) -> Sparse:
-        place = np.full(self.shape[1], -1)
-        place[chosen] = np.arange(len(chosen))
+        place = np.full(self.shape[1], -1, np.int32)
+        place[chosen] = np.arange(len(chosen), dtype=np.int32)
         own = place[self.column]
         keep = own >= 0
         return Sparse(self.row[keep], own[keep], None if self.sign is None else self.sign[keep], self.shape[0], len(chosen))
@@ -153,18 +161,24 @@ def _solve(x: Sparse, d: Sparse, labels: np.ndarray, w: np.ndarray, b: float, se
     return w, b
 
 
-def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], k: int, settings: Settings) -> tuple[np.ndarray, float]:
-    """Weights of all k features and the intercept: log loss + l1 + l2 + counterfactual * mean (score change)^2.
+def lists(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of a list of arrays, as fit_logistic takes them."""
+    return np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32), np.array([len(p) for p in parts], np.int64)
+
+
+def fit_logistic(rows: list[np.ndarray] | tuple, labels: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]] | tuple, k: int, settings: Settings) -> tuple[np.ndarray, float]:
+    """Weights of all k features and the intercept, from each row's features and each swap's two sides (or the lists() of
+    rows, and of the sides in turn): log loss + l1 + l2 + counterfactual * mean (score change)^2.
 
     The score change of a swap is that of the log odds, w . (x - x'), so the penalty is convex. Solved on a
     working set: features whose gradient at weight zero exceeds l1 join it until no feature is left that
     would, so the answer is that of all features and none is left out beforehand.
     """
-    count = lambda parts: np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    flat = lambda parts: np.concatenate([*parts, np.zeros(0, int)]).astype(int)
-    x = Sparse(count(rows), flat(rows), None, len(rows), k)
-    both = [np.r_[a, b] for a, b in swaps]
-    d = Sparse(count(both), flat(both), flat([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in swaps]), len(swaps), k)
+    values, lengths = rows if isinstance(rows, tuple) else lists(rows)
+    x = Sparse(np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), values, None, len(lengths), k)
+    values, lengths = swaps if isinstance(swaps, tuple) else lists([half for pair in swaps for half in pair])
+    side = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    d = Sparse(side // 2, values, np.where(side % 2 == 0, 1.0, -1.0), len(lengths) // 2, k)
     rate = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
     w, b = np.zeros(k), float(np.log(rate / (1 - rate)))
     chosen = np.zeros(0, int)
@@ -201,15 +215,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
     def numbered(batch):
         ids = [[mine[w] for w in words if w in mine] for words in batch.column(1).to_pylist()]
-        pairs = [[" ".join(str(mine[w]) for w in half.split() if w in mine) for pair in ps for half in pair.split("|")] for ps in batch.column(2).to_pylist()]
-        return {"toxic": batch.column(0), "ids": ids, "pairs": pairs}
+        halves = [[[mine[w] for w in half.split() if w in mine] for pair in ps for half in pair.split("|")] for ps in batch.column(2).to_pylist()]
+        return {"toxic": batch.column(0), "ids": ids, "sizes": [[len(h) for h in hs] for hs in halves], "swaps": [[i for h in hs for i in h] for hs in halves]}
 
-    schema = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("pairs", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField("toxic", T.IntegerType()), *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("ids", "sizes", "swaps")]])
     got = map_arrow(rows, numbered, schema).toArrow()
     drop_path(docs.sparkSession, path)
-    index = [np.array(x, int) for x in got.column("ids").to_pylist()]
-    halves = [np.array(h.split(), int) for ps in got.column("pairs").to_pylist() for h in ps]
-    w, b = fit_logistic(index, np.array(got.column("toxic").to_pylist(), float), list(zip(halves[::2], halves[1::2], strict=True)), len(vocabulary), settings)
+    flat = lambda name: np.concatenate([*[c.flatten().to_numpy(zero_copy_only=False) for c in got.column(name).chunks], np.zeros(0, np.int32)]).astype(np.int32)
+    lengths = np.concatenate([*[np.diff(c.offsets.to_numpy()) for c in got.column("ids").chunks], np.zeros(0, np.int64)]).astype(np.int64)
+    w, b = fit_logistic((flat("ids"), lengths), got.column("toxic").to_numpy().astype(float), (flat("swaps"), flat("sizes")), len(vocabulary), settings)
     return Model({word: float(w[i]) for word, i in vocabulary.items() if w[i]}, b, settings.threshold, settings.prefixes)
 
 
