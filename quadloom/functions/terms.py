@@ -202,6 +202,10 @@ def instant(b: Column) -> Column:
     return F.when((b["k"] == K_LITERAL) & b["dt"].isin(XSD + "dateTime", XSD + "date", XSD + "dateTimeStamp"), b["v"].try_cast("timestamp"))
 
 
+def _truth(b: Column) -> Column:
+    return F.when((b["k"] == K_LITERAL) & (b["dt"] == XSD + "boolean"), b["v"].try_cast("boolean"))
+
+
 def text_of(b: Column) -> Column:
     return F.when((b["k"] == K_LITERAL) & b["dt"].isin(STRING, LANG_STRING, DIR_STRING), b["v"])
 
@@ -234,6 +238,7 @@ def equal(a: Value, b: Value) -> Column:
         .when(_seldom(p, q), _apart(p, q, _seldom_equal))
         .when(number(p).isNotNull() & number(q).isNotNull(), number(p) == number(q))
         .when(instant(p).isNotNull() & instant(q).isNotNull(), instant(p) == instant(q))
+        .when(_truth(p).isNotNull() & _truth(q).isNotNull(), _truth(p) == _truth(q))
         .when(same_term(p, q), True)
         .when((p["k"] == K_LITERAL) & (q["k"] == K_LITERAL) & ~(p["dt"].isin(*plain) & q["dt"].isin(*plain)), None)
         .otherwise(False)
@@ -255,10 +260,9 @@ def less(a: Value, b: Value) -> Column:
         return F.lit(None).cast("boolean")
     p, q = box(a), box(b)
     string = lambda c: F.when((c["k"] == K_LITERAL) & (c["dt"] == STRING), c["v"])
-    truth = lambda c: F.when((c["k"] == K_LITERAL) & (c["dt"] == XSD + "boolean"), c["v"].try_cast("boolean"))
     out = F.when(exact(p).isNotNull() & exact(q).isNotNull(), exact(p) < exact(q))
     out = out.when(_seldom(p, q), _apart(p, q, _seldom_less))
-    for of in (number, instant, string, truth):
+    for of in (number, instant, string, _truth):
         out = out.when(of(p).isNotNull() & of(q).isNotNull(), of(p) < of(q))
     return out
 
@@ -281,7 +285,8 @@ def _seldom_equal(p: Column, q: Column) -> Column:
 def _seldom_less(p: Column, q: Column) -> Column:
     u, w = duration(p), duration(q)
     # months and seconds cannot be compared with each other
-    return F.coalesce(_below(digits(p), digits(q)), F.when(u["months"] == w["months"], u["seconds"] < w["seconds"]).when(u["seconds"] == w["seconds"], u["months"] < w["months"]))
+    x, y = digits(p), digits(q)
+    return F.when(x.isNotNull() & y.isNotNull(), _below(x, y)).otherwise(F.when(u["months"] == w["months"], u["seconds"] < w["seconds"]).when(u["seconds"] == w["seconds"], u["months"] < w["months"]))
 
 
 def ebv(value: Value) -> Column:

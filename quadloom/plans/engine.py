@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import fields, is_dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -597,9 +598,17 @@ class Engine:
     # updates
     def update(self, text: str) -> QuadGraph:
         """The graph after the updates; this one is not changed."""
-        graph = self.graph if isinstance(self.graph, QuadGraph) else self.graph.as_quads()
+        updates = parse_update(text, self.prefixes)
+        if isinstance(self.graph, QuadGraph):
+            return self._all_updated(self.graph, updates)
+        # only the predicates that the updates name are read for them; the others go by
+        named = _predicates(updates)
+        after = self._all_updated(self.graph.as_quads(named), updates)
+        return after if named is None else QuadGraph(after.quads.unionByName(self.graph.as_quads(without=named).quads))
+
+    def _all_updated(self, graph: QuadGraph, updates: list[Update]) -> QuadGraph:
         quads = graph.quads
-        for u in parse_update(text, self.prefixes):
+        for u in updates:
             quads = self._updated(quads, u, graph.default_union)
         return QuadGraph(quads, graph.default_union)
 
@@ -651,6 +660,21 @@ class Engine:
         return more(after, engine.instantiate(s, in_graph(u.insert))) if u.insert else after
 
 
+def _predicates(x) -> set[str] | None:
+    """The predicates of all triples within; None if one is not fixed, or whole graphs are meant."""
+    if isinstance(x, Update) and x.op in ("CLEAR", "DROP", "ADD", "COPY", "MOVE", "LOAD"):
+        return None
+    if isinstance(x, Triple):
+        return {x.p.v} if isinstance(x.p, IRI) else None
+    if isinstance(x, (list, tuple)):
+        parts = [_predicates(y) for y in x]
+    elif is_dataclass(x) and not isinstance(x, type):
+        parts = [_predicates(getattr(x, f.name)) for f in fields(x)]
+    else:
+        return set()
+    return None if any(p is None for p in parts) else set().union(*parts)
+
+
 def _flagged(s: Solution, hit: Solution, flag: str) -> Solution:
     """s with a flag that is bound where its binding, unbound variables included, is one of ``hit``."""
     hit = hit.boxed({n for n in hit.kinds if hit.kinds[n] != s.kinds[n]})

@@ -198,18 +198,19 @@ class MappedGraph:
         """Of FROM and FROM NAMED: the rows of the graphs listed. A row lies in one graph, so their merge has no repeats."""
         return MappedGraph(self.spark, self.load, self.maps, default, named) if default or named else self
 
-    def as_quads(self) -> QuadGraph:
-        """All triples as one table of quads, those of named graphs too."""
-        one = self.scan([Triple(Var("s"), Var("p"), Var("o"))])
-        out = one.df.select(F.lit("").alias("g"), *self._quad(one))
-        if any(m.graph for m in self.maps):
-            many = self.scan([Triple(Var("s"), Var("p"), Var("o"))], Var("g"))
-            out = out.unionByName(many.df.select(lexical(many.value("g")).alias("g"), *self._quad(many)))
-        return QuadGraph(out)
-
-    @staticmethod
-    def _quad(x: Solution) -> list[Column]:
-        return [box(x.value("s")).alias("s"), lexical(x.value("p")).alias("p"), box(x.value("o")).alias("o")]
+    def as_quads(self, only: set[str] | None = None, without: set[str] = frozenset()) -> QuadGraph:
+        """All triples, or those of some predicates, as one table of quads, with those of named graphs."""
+        names = {c.predicate for m in self.maps for c in m.columns} | {TYPE}
+        out = None
+        for p in sorted((names if only is None else names & only) - without):
+            for graph in (None, Var("g")):
+                if graph is not None and not any(m.graph for m in self._tables(Triple(Var("s"), IRI(p), Var("o")))):
+                    continue
+                x = self.scan([Triple(Var("s"), IRI(p), Var("o"))], graph)
+                name = F.lit("") if graph is None else lexical(x.value("g"))
+                own = x.df.select(name.alias("g"), box(x.value("s")).alias("s"), F.lit(p).alias("p"), box(x.value("o")).alias("o"))
+                out = own if out is None else out.unionByName(own)
+        return QuadGraph(self.spark.createDataFrame([], QUADS) if out is None else out)
 
     def _tables(self, t: Triple) -> list[TableMap]:
         if isinstance(t.p, IRI):
