@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from copy import deepcopy
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -154,13 +156,48 @@ class RdfGraph:
         """A DataFrame for SELECT, a graph for CONSTRUCT and DESCRIBE, a truth value for ASK. bindings: variables fixed to terms, in every group."""
         from quadloom.sparql.parser import parse_query
 
-        q = substituted(parse_query(text, self.prefixes), bindings or {})
+        return self._answer(substituted(parse_query(text, self.prefixes), bindings or {}))
+
+    def _answer(self, q):
         if q.form == "ASK":
             return self.engine.ask(q)
         if q.form in ("CONSTRUCT", "DESCRIBE"):
             return self._with(self.engine.construct(q))
         return self.engine.select(q)
 
+    def prepare(self, text: str) -> Callable:
+        """A query parsed once, to be run with bindings on this graph or another."""
+        from quadloom.sparql.parser import parse_query
+
+        parsed = parse_query(text, self.prefixes)
+
+        def run(bindings: dict[str, object] | None = None, graph: RdfGraph | None = None):
+            return (graph or self)._answer(substituted(deepcopy(parsed), bindings or {}))
+
+        return run
+
+    def path(self, path: str, start=None) -> DataFrame:
+        """(s, o): the pairs that a property path joins, a bag, or those from a start."""
+        from quadloom.sparql.parser import parse_query
+
+        q = parse_query(f"SELECT * {{ ?s {path} ?o }}", self.prefixes)
+        return self._answer(substituted(q, {"s": start}) if start is not None else q).select(*([] if start is not None else ["s"]), "o")
+
+    def result_lines(self, text: str, form: str = "tsv") -> DataFrame:
+        """(value): the rows of a SELECT query as lines of CSV (plain texts) or TSV (terms), made by all executors; the header is apart."""
+        from quadloom.functions.terms import box, nt_text
+        from quadloom.sparql.parser import parse_query
+
+        s = self.engine.solutions(parse_query(text, self.prefixes))
+        boxed = [box(Value(s.value(n).col, k)) for n, k in s.kinds.items()]
+        if form == "tsv":
+            return s.df.select(F.concat_ws("\t", *[F.coalesce(nt_text(b), F.lit("")) for b in boxed]).alias("value"))
+        if form != "csv":
+            raise ValueError(f"no lines of {form}")
+        plain = [F.coalesce(F.when(b["k"] == 1, F.concat(F.lit("_:"), b["v"])).otherwise(b["v"]), F.lit("")) for b in boxed]
+        quoted = [F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in plain]
+        return s.df.select(F.concat_ws(",", *quoted).alias("value"))
+
     def results_json(self, text: str) -> str:
         """SPARQL JSON results of a SELECT or ASK query, for results that fit the driver."""
         from quadloom.functions.terms import Value, box

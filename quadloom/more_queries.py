@@ -16,7 +16,7 @@ from quadloom.plans.catalog import PREFIXES, T
 from quadloom.plans.durable import durable
 from quadloom.plans.engine import Engine
 from quadloom.queries import QUERIES, Registered, _sparql, _terms, engine, iri, quads_of
-from quadloom.sources import ntriples
+from quadloom.sources import names, ntriples
 from quadloom.sources.graphs import QuadGraph
 from quadloom.sparql.ast import IRI, Triple, TripleTerm, Var
 
@@ -258,6 +258,50 @@ def _collection(spark, d):
     return g.engine.select("SELECT ?x ?y { ?x t:l ( 1 ?y ) ; t:b [ t:c ?y ] }", lexical_forms=True)
 
 
+@_register("prepared_query", f"SELECT {NATION} AS k FROM nation WHERE n_regionkey IN (2, 3)")
+def _prepared(spark, d):
+    run = RdfGraph(spark, _quads(spark, d, "n_regionkey"), PREFIXES).prepare("SELECT ?k { ?k t:n_regionkey ?g }")
+    return run({"g": IRI(T + "region/2")}).unionByName(run({"g": IRI(T + "region/3")})).select(F.col("k")["v"].alias("k"))
+
+
+@_register("path_of_graph", f"SELECT {CUSTOMER} AS s, {REGION} AS o FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def _path_api(spark, d):
+    found = RdfGraph(spark, _quads(spark, d, "c_nationkey", "n_regionkey"), PREFIXES).path("t:c_nationkey/t:n_regionkey")
+    return found.select(F.col("s")["v"].alias("s"), F.col("o")["v"].alias("o"))
+
+
+@_register("result_lines", f"""SELECT concat('<', {NATION}, '>', chr(9), '"', n_name, '"') AS value FROM nation UNION ALL SELECT concat({NATION}, ',', n_name) FROM nation""")
+def _lines(spark, d):
+    g = RdfGraph(spark, _quads(spark, d, "n_name"), PREFIXES)
+    text = "SELECT ?k ?n { ?k t:n_name ?n }"
+    return g.result_lines(text).unionByName(g.result_lines(text, "csv"))
+
+
+@_register("base_directions", f"SELECT 'encoded' AS what, concat('{setops.DIRECTIONS}', 'he--rtl') AS told, count(*) AS n FROM nation UNION ALL SELECT 'decoded', 'he--rtl', count(*) FROM nation UNION ALL SELECT 'dropped', 'he--', count(*) FROM nation")
+def _directions(spark, d):
+    quads = durable(engine(spark, d).construct("CONSTRUCT { ?k t:label ?x } WHERE { ?k t:n_name ?n BIND(STRLANGDIR(?n, 'he', 'rtl') AS ?x) }"), "directed")
+    told = setops.to_rdf11(quads)
+    tag = F.concat(F.col("o")["lang"], F.lit("--"), F.col("o")["dir"])
+    parts = [told.select(F.lit("encoded").alias("what"), F.col("o")["dt"].alias("told")), setops.decode_directions(told).select(F.lit("decoded").alias("what"), tag.alias("told")), setops.encode_directions(quads, "drop").select(F.lit("dropped").alias("what"), tag.alias("told"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("what", "told").agg(F.count("*").alias("n"))
+
+
+@_register("short_names", f"SELECT concat('q:', n_nationkey) AS short, {NATION} AS long, concat('<', {NATION}, '>') AS text FROM nation")
+def _names(spark, d):
+    prefixes = {"t": T, "q": T + "nation/"}
+    s = _quads(spark, d, "n_name").select("s", names.qname(F.col("s")["v"], prefixes).alias("short"))
+    return s.select("short", names.expand_curie(F.col("short"), prefixes).alias("long"), names.n3(F.col("s")).alias("text"))
+
+
+@_register("owl_imports", f"SELECT '{T}n_name' AS p, count(*) AS n FROM nation UNION ALL SELECT '{T}r_name', count(*) FROM region")
+def _imports(spark, d):
+    """The data import the names of nations, and these those of regions, which import the first again."""
+    link = lambda a, b: RdfGraph(spark, prefixes=PREFIXES).parse(data=f"t:{a} owl:imports t:{b} .", format="turtle").quads
+    modules = {T + "nations": _quads(spark, d, "n_name").unionByName(link("nations", "regions")), T + "regions": _quads(spark, d, "r_name").unionByName(link("regions", "nations")).unionByName(link("regions", "absent"))}
+    made = names.resolve_imports(link("data", "nations"), modules.get, "delta")
+    return made.where(F.col("p") != names.IMPORTS).groupBy("p").agg(F.count("*").alias("n"))
+
+
 # reifiers
 @_register(
     "reification_api",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.functions.terms import K_BNODE, K_IRI, K_TRIPLE, nt_text, struct, triple_part, triple_text
+from quadloom.functions.terms import DIR_STRING, K_BNODE, K_IRI, K_LITERAL, K_TRIPLE, LANG_STRING, nt_text, struct, triple_part, triple_text
 from quadloom.operators.closure import closure
 from quadloom.plans.durable import durable
 from quadloom.sparql.ast import RDF
@@ -121,6 +123,34 @@ def from_basic(quads: DataFrame) -> DataFrame:
         work = rest.join(ready.select("g", F.col("n").alias("o"), "t"), ["g", "o"], "left").select("g", "s", "p", F.coalesce("t", "o").alias("o"))
 
 
+#: Datatypes that stand for a language and a direction in RDF 1.1: this, the language, "--" and the direction (fixed value).
+DIRECTIONS = "https://www.w3.org/ns/i18n#"
+
+
+def encode_directions(quads: DataFrame, policy: str = "datatype", space: str = DIRECTIONS) -> DataFrame:
+    """Objects without base directions: in the datatype, left out ("drop"), or refused ("error")."""
+    if policy not in ("datatype", "error", "drop"):
+        raise ValueError(f"no policy {policy}")
+    o = F.col("o")
+    directed = (o["k"] == K_LITERAL) & (o["dir"] != "")
+    if policy == "error" and not quads.where(directed).isEmpty():
+        raise ValueError("literals with a base direction have no form in RDF 1.1")
+    told = struct(K_LITERAL, o["v"], F.concat(F.lit(space), o["lang"], F.lit("--"), o["dir"])) if policy == "datatype" else struct(K_LITERAL, o["v"], LANG_STRING, o["lang"])
+    return quads.select("g", "s", "p", F.when(directed, told).otherwise(o).alias("o"))
+
+
+def decode_directions(quads: DataFrame, space: str = DIRECTIONS) -> DataFrame:
+    """The inverse of encode_directions() with datatypes."""
+    o, form = F.col("o"), "^" + re.escape(space) + r"([A-Za-z0-9-]+?)--(ltr|rtl)$"
+    told = struct(K_LITERAL, o["v"], DIR_STRING, F.regexp_extract(o["dt"], form, 1), F.regexp_extract(o["dt"], form, 2))
+    return quads.select("g", "s", "p", F.when((o["k"] == K_LITERAL) & o["dt"].rlike(form), told).otherwise(o).alias("o"))
+
+
+def to_rdf11(quads: DataFrame, policy: str = "datatype") -> DataFrame:
+    """Without triple terms and base directions, so that any reader of RDF 1.1 takes the quads."""
+    return encode_directions(to_basic(quads), policy)
+
+
 def coloured(quads: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, colour) of blank nodes: digests refined by the colours around them until the number of classes stands.
 

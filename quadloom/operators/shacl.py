@@ -14,7 +14,7 @@ from quadloom.functions.expressions import java_regex
 from quadloom.functions.terms import BOXED, K_BNODE, K_IRI, K_LITERAL, K_TRIPLE, NATIVE, Kind, Value, box, boxed_constant, constant, equal, less, nt_text, parse_nt, same_term, struct
 from quadloom.plans.durable import durable
 from quadloom.plans.engine import Engine
-from quadloom.plans.solution import Solution, join, left_join, semi_join, union
+from quadloom.plans.solution import Solution, column_name, join, left_join, semi_join, union
 from quadloom.sources.graphs import QuadGraph, bind, quads_frame, term_text
 from quadloom.sparql.ast import RDF, RDFS, SH, XSD, Alt, BNode, Inv, IRI, Lit, Mod, Seq, Triple, TripleTerm, Var
 from quadloom.sparql.parser import parse_query, parse_turtle
@@ -146,6 +146,8 @@ def path_text(p) -> str:
 
 
 Found = list[tuple[str, Solution]]
+#: The column that names the violated component, where one pass finds those of several.
+EACH = "~component"
 
 
 class Validator:
@@ -190,7 +192,8 @@ class Validator:
         values = self.values(shape, focus)
         for component, s in self.constraints(shape, focus, values):
             text = lambda n, s=s: nt_text(box(s.value(n))) if n in s.kinds else F.lit(None).cast("string")
-            out.append(s.df.select(text("focus").alias("focus"), F.lit(path_text(shape.path) if shape.path else None).cast("string").alias("path"), text("value").alias("value"), F.lit(component if ":" in component else SH + component).alias("component"), F.lit(name).alias("shape"), F.lit(severity).alias("severity")))
+            told = F.concat(F.lit(SH), s.value(EACH).col) if EACH in s.kinds else F.lit(component if ":" in component else SH + component)
+            out.append(s.df.select(text("focus").alias("focus"), F.lit(path_text(shape.path) if shape.path else None).cast("string").alias("path"), text("value").alias("value"), told.alias("component"), F.lit(name).alias("shape"), F.lit(severity).alias("severity")))
         for node in shape.get("property"):
             inner = self.shapes.shape(node)
             if inner.one("deactivated") != Lit("true", XSD + "boolean"):
@@ -310,8 +313,11 @@ class Validator:
         out: Found = []
         value = values.value("value")
 
+        singles: list[tuple[str, Column]] = []
+        bounds: list[tuple[str, Callable[[Column], Column]]] = []
+
         def each(component: str, bad: Column) -> None:
-            out.append((component + "ConstraintComponent", values.where(F.coalesce(bad, F.lit(True)))))
+            singles.append((component, F.coalesce(bad, F.lit(True))))
 
         def whole(component: str, s: Solution) -> None:
             out.append((component + "ConstraintComponent", s))
@@ -346,11 +352,17 @@ class Validator:
             for l in self.shapes.items(head):
                 good = good | (tag == l.v.lower()) | tag.startswith(l.v.lower() + "-")
             each("LanguageIn", ~good)
+        if singles:
+            out.append(("", self._marked(values, singles)))
         for n in shape.get("minCount"):
             if int(n.v) > 0:
-                whole("MinCount", self._counted(focus, values, lambda c, k=int(n.v): c < k))
+                bounds.append(("MinCount", lambda c, k=int(n.v): c < k))
         for n in shape.get("maxCount"):
-            whole("MaxCount", self._counted(focus, values, lambda c, k=int(n.v): c > k))
+            bounds.append(("MaxCount", lambda c, k=int(n.v): c > k))
+        if bounds:
+            counted = self._counts(focus, values)
+            n = F.coalesce(counted.value("n").col, F.lit(0))
+            out.append(("", self._marked(counted, [(name, wrong(n)) for name, wrong in bounds]).keep(["focus", EACH])))
         for v in shape.get("hasValue"):
             have = values.where(self._any_of(value, [v]))
             whole("HasValue", semi_join(focus, have.keep(["focus"]), True))
@@ -574,13 +586,22 @@ class Validator:
             hit = hit | (v.col == own.col if own.kind == v.kind and v.kind != BOXED and not v.kind.prefix else same_term(b, boxed_constant(t)))
         return hit
 
+    def _marked(self, s: Solution, wrong: list[tuple[str, Column]]) -> Solution:
+        """The rows with each component that they violate, all in one pass."""
+        names = F.array_compact(F.array(*[F.when(bad, F.lit(name + "ConstraintComponent")) for name, bad in wrong]))
+        kept = s.select(s.values() | {EACH: Value(names, Kind("string"))}, s.certain | {EACH})
+        return Solution(kept.df.withColumn(column_name(EACH), F.explode(F.col(f"`{column_name(EACH)}`"))), kept.kinds, kept.certain)
+
     def _counted(self, focus: Solution, values: Solution, wrong: Callable[[Column], Column]) -> Solution:
         """Focus nodes whose number of values, none included, is wrong."""
-        n = values.df.groupBy(values.value("focus").col).agg(F.count("*").alias("n"))
-        counts = Solution(n, {"focus": values.kinds["focus"], "n": Kind("integer")}, {"focus", "n"})
-        both = left_join(focus, counts)
+        both = self._counts(focus, values)
         return both.where(wrong(F.coalesce(both.value("n").col, F.lit(0)))).keep(["focus"])
 
+    def _counts(self, focus: Solution, values: Solution) -> Solution:
+        """Focus nodes with their number of values, unbound where there is none."""
+        n = values.df.groupBy(values.value("focus").col).agg(F.count("*").alias("n"))
+        return left_join(focus, Solution(n, {"focus": values.kinds["focus"], "n": Kind("integer")}, {"focus", "n"}))
+
     def _by_failures(self, values: Solution, nodes: list, wrong: Callable[[Column], Column]) -> Solution:
         """Values by how many of the shapes they fail; each failure is one row, counted before it is joined."""
         bad = union([self._bad_values(n, values).distinct() for n in nodes])
