@@ -30,7 +30,7 @@ FLOOR = -12.75
 #: Words that are counted and looked up together.
 CHUNK = 400_000
 #: Bytes of training text to a shard of words, and the occurrences of one word beyond which its contexts are split.
-SHARD_BYTES, HOT = 16 << 20, 2_000_000
+SHARD_BYTES, HOT = 16 << 20, 1_000_000
 #: What no word is: the third word of a bigram that ends a text.
 NONE = np.uint32((1 << 32) - 1)
 
