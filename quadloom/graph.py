@@ -16,7 +16,6 @@ from quadloom.plans.engine import Engine
 from quadloom.sources import ntriples, turtle
 from quadloom.sources.graphs import QUADS, QuadGraph, _is, quads_frame
 from quadloom.sparql.ast import IRI, Triple, Var
-from quadloom.sparql.parser import parse_turtle
 
 class NotUnique(ValueError):
     pass
@@ -45,10 +44,8 @@ class RdfGraph:
         """With the triples of a file or text. N-Triples and N-Quads are read by all executors; Turtle and TriG by the driver, as a document is one unit."""
         if source is not None:
             read = turtle.read(self.spark, source, self.prefixes, format, base)
-        elif format in ("nt", "nquads"):
-            read = ntriples.nquads_rows(self.spark.createDataFrame([(line,) for line in data.splitlines()], "value string"))
         else:
-            read = quads_frame(self.spark, parse_turtle(data, self.prefixes, base))
+            read = turtle.parsed(self.spark, data, format or "turtle", self.prefixes, base)
         if graph:
             read = read.withColumn("g", F.when(F.col("g") == "", graph).otherwise(F.col("g")))
         return self._with(setops.graph_union(self.quads, read))

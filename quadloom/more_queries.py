@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -235,6 +236,15 @@ def _turtle(spark, d):
     return _terms(RdfGraph(spark, prefixes=PREFIXES).parse(data=g.serialize(format="turtle"), format="turtle").quads)
 
 
+@_register("document_formats", f"SELECT form, {iri('region', 'r_regionkey')} AS s, '{T}r_name' AS p, r_name AS o FROM region, (VALUES ('rdfxml'), ('jsonld')) v(form)")
+def _documents(spark, d):
+    rows = [(r.r_regionkey, r.r_name) for r in spark.read.parquet(f"{d}/region.parquet").collect()]
+    xml = "".join(f'<rdf:Description rdf:about="region/{k}"><t:r_name>{n}</t:r_name></rdf:Description>' for k, n in rows)
+    texts = {"rdfxml": f'<rdf:RDF xmlns:rdf="{RDF}" xmlns:t="{T}" xml:base="{T}">{xml}</rdf:RDF>', "jsonld": json.dumps({"@context": {"name": T + "r_name", "@base": T}, "@graph": [{"@id": f"region/{k}", "name": n} for k, n in rows]})}
+    parts = [_terms(RdfGraph(spark, prefixes=PREFIXES).parse(data=t, format=form).quads).withColumn("form", F.lit(form)) for form, t in texts.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @_register("blank_nodes", "SELECT 'skolem' AS what, count(*) AS n FROM nation UNION ALL SELECT 'back', count(*) FROM nation UNION ALL SELECT 'isomorphic', 1 UNION ALL SELECT 'different', 0")
 def _blank(spark, d):
     data = durable(engine(spark, d).construct("CONSTRUCT { _:b t:names ?n ; t:of ?k } WHERE { ?k t:n_name ?n }"), "blank")
