@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.graph import RdfGraph
-from quadloom.operators import entailment, reification, setops, shacl
+from quadloom.operators import entailment, reification, setops, shacl, skos
 from quadloom.operators.node_expressions import values_of
 from quadloom.operators.rules import RuleSet
 from quadloom.operators.shacl_rules import apply_rules
@@ -19,6 +19,7 @@ from quadloom.plans.engine import Engine
 from quadloom.queries import QUERIES, Registered, _sparql, _terms, engine, iri, quads_of
 from quadloom.sources import names, ntriples
 from quadloom.sources.graphs import QuadGraph
+from quadloom.sources.store import Store
 from quadloom.sparql.ast import IRI, Triple, TripleTerm, Var
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -429,6 +430,34 @@ def _shacl_lists(spark, d):
     return _by_component(shacl.validate(g, shapes, PREFIXES | {"x": "http://www.w3.org/ns/shacl-node-expr#", "q": "http://www.w3.org/ns/sparql#"}))
 
 
+@_register("shacl_options", "SELECT 'MinInclusiveConstraintComponent' AS component, count(*) AS n FROM part WHERE p_partkey IN (1, 2, 3)")
+def _shacl_options(spark, d):
+    text = "t:A sh:targetClass t:Part ; sh:property [ sh:path t:p_size ; sh:minInclusive 1000 ; sh:severity sh:Warning ] , [ sh:path t:p_size ; sh:maxInclusive 0 ; sh:severity sh:Info ] . t:B sh:targetClass t:Part ; sh:property [ sh:path t:p_name ; sh:maxLength 0 ] ."
+    return _by_component(shacl.validate(engine(spark, d), text, only=[T + "A"], focus=[f"{T}part/{k}" for k in (1, 2, 3)], least="Warning", limit=1000))
+
+
+@_register("skos_conditions", "SELECT 'S13' AS condition, count(*) AS n FROM nation UNION ALL SELECT 'S14', count(*) FROM nation UNION ALL SELECT 'S27', count(*) FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'S9', count(*) FROM region UNION ALL SELECT 'S46', 2 * count(*) FROM nation WHERE n_regionkey = 2")
+def _skos(spark, d):
+    """Nations below their region; those of region 1 are related to a node above, those of region 2 match one in two ways."""
+    text = """PREFIX k: <http://www.w3.org/2004/02/skos/core#> CONSTRUCT { ?n a k:Concept ; k:prefLabel ?x , ?y ; k:altLabel ?y ; k:broader ?up . ?up k:broader t:top . ?g a k:Concept , k:ConceptScheme . ?r k:related ?own . ?own k:broader ?r . ?m k:exactMatch ?far ; k:broadMatch ?far }
+    WHERE { ?n t:n_name ?name ; t:n_regionkey ?g . BIND(STRLANG(?name, 'en') AS ?x) BIND(STRLANG(CONCAT(?name, '!'), 'en') AS ?y) BIND(IRI(CONCAT(STR(?n), '/up')) AS ?up)
+    BIND(IF(?g = <https://example.org/t/region/1>, IRI(CONCAT(STR(?n), '/r')), 1) AS ?r) BIND(IRI(CONCAT(STR(?n), '/own')) AS ?own0) BIND(IF(isIRI(?r), ?own0, 1) AS ?own)
+    BIND(IF(?g = <https://example.org/t/region/2>, IRI(CONCAT(STR(?n), '/m')), 1) AS ?m) BIND(IRI(CONCAT(STR(?n), '/far')) AS ?far0) BIND(IF(isIRI(?m), ?far0, 1) AS ?far) }"""
+    data = durable(engine(spark, d).construct(text), "skos")
+    return skos.check(Engine(QuadGraph(data), PREFIXES)).groupBy("condition").agg(F.count_distinct("node").alias("n"))
+
+
+@_register("stored_graph", f"SELECT {NATION} AS k, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 3 AND n_regionkey <> 4")
+def _stored(spark, d):
+    """Added in two parts, one of them twice, and less by the nation 3 and what region 4 is called."""
+    a, b = _quads(spark, d, "n_regionkey", "n_name"), _quads(spark, d, "r_name")
+    store = Store(spark, f"{a._quadloom_path}-store-{uuid.uuid4().hex}")
+    store.add(a)
+    store.add(b.unionByName(a))
+    store.remove(a.where(F.col("s")["v"] == T + "nation/3").unionByName(b.where(F.col("s")["v"] == T + "region/4")))
+    return Engine(store.graph(), PREFIXES).select("SELECT ?k ?r { ?k t:n_regionkey ?g . ?g t:r_name ?r }", lexical_forms=True)
+
+
 # node expressions, each for all regions at once
 _EXPRESSIONS = {
     "if": ("[ x:if [ x:exists [ x:pathValues [ sh:inversePath t:n_regionkey ] ] ] ; x:then 'yes' ; x:else 'no' ]", "SELECT r_regionkey AS r, 0 AS pos, 'yes' AS node FROM region"),

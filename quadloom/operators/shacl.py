@@ -707,8 +707,25 @@ def evaluate(engine: Engine, shapes_text: str, node, prefixes: dict[str, str] |
     return out
 
 
-def validate(engine: Engine, shapes: str, prefixes: dict[str, str] | None = None) -> DataFrame:
-    return Validator(engine, Shapes(shapes, prefixes or engine.prefixes)).violations()
+#: Severities, from the least (fixed values).
+SEVERITIES = ("Trace", "Debug", "Info", "Warning", "Violation")
+
+
+def validate(engine: Engine, shapes: str, prefixes: dict[str, str] | None = None, only: list[str] | None = None, focus: list[str] | None = None, least: str | None = None, limit: int | None = None) -> DataFrame:
+    """The violations of the shapes: of those shapes only, of those focus nodes only, from a severity on, so many at most."""
+    known = Shapes(shapes, prefixes or engine.prefixes)
+    if only is not None:
+        for node, facts in known.facts.items():
+            if not (isinstance(node, IRI) and node.v in only):
+                for name in ("targetClass", "targetNode", "targetSubjectsOf", "targetObjectsOf", "targetWhere"):
+                    facts.pop(SH + name, None)
+    found = Validator(engine, known).violations()
+    if focus is not None:
+        found = found.where(F.col("focus").isin([f"<{f}>" for f in focus]))
+    if least is not None:
+        low = {SH + s for s in SEVERITIES[: SEVERITIES.index(least)]}
+        found = found.where(~F.col("severity").isin(*low))
+    return found if limit is None else found.limit(limit)
 
 
 def conforms(engine: Engine, shapes: str, prefixes: dict[str, str] | None = None) -> bool:
