@@ -37,10 +37,12 @@ SENTENCE = re.compile(r"[.!?\n]+")
 @dataclass(frozen=True)
 class Settings:
     """rows bounds the fit: so many labelled rows, chosen by a hash of their ids, with all their features and sentences.
+    slots: numbers that features get by a hash; of a million features some six in a hundred share theirs with another.
     Features are words and, as slurs are inflected and compounded, the beginnings of words in so many letters. The fit
     ends when its steps are within tolerance * l1, or after so many steps for a working set."""
 
     rows: int = 16_384
+    slots: int = 1 << 24
     prefixes: tuple[int, ...] = (3, 4, 5)
     l1: float = 2e-4
     l2: float = 1e-6
@@ -208,23 +210,26 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     # at most settings.rows ids and labels, so the broadcast is bounded; a doubled label counts once, as toxic
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows)
     rows, path = materialise(sample(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"), settings), "toxicity-sample")
-    # sorted, so that the fit does not hang on the order of the rows
-    vocabulary = {r.word: i for i, r in enumerate(rows.select(F.explode("words").alias("word")).distinct().orderBy("word").toLocalIterator(prefetchPartitions=True))}
-    # the sample's rows, fetched as index lists
-    mine = vocabulary
-
-    def numbered(batch):
-        ids = [[mine[w] for w in words if w in mine] for words in batch.column(1).to_pylist()]
-        halves = [[[mine[w] for w in half.split() if w in mine] for pair in ps for half in pair.split("|")] for ps in batch.column(2).to_pylist()]
-        return {"toxic": batch.column(0), "ids": ids, "sizes": [[len(h) for h in hs] for hs in halves], "swaps": [[i for h in hs for i in h] for hs in halves]}
-
-    schema = T.StructType([T.StructField("toxic", T.IntegerType()), *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("ids", "sizes", "swaps")]])
-    got = map_arrow(rows, numbered, schema).toArrow()
-    drop_path(docs.sparkSession, path)
+    # features are numbered by a hash, so no task and no driver holds their names
+    number = lambda w: F.pmod(F.xxhash64(w), F.lit(settings.slots)).cast("int")
+    halves = F.flatten(F.transform("pairs", lambda p: F.transform(F.split(p, r"\|"), lambda h: F.filter(F.split(h, " "), lambda w: w != ""))))
+    numbered = rows.select("toxic", F.transform("words", number).alias("ids"), halves.alias("halves"))
+    numbered = numbered.select("toxic", "ids", F.transform("halves", F.size).alias("sizes"), F.transform(F.flatten("halves"), number).alias("swaps"))
+    got = numbered.toArrow()
     flat = lambda name: np.concatenate([*[c.flatten().to_numpy(zero_copy_only=False) for c in got.column(name).chunks], np.zeros(0, np.int32)]).astype(np.int32)
     lengths = np.concatenate([*[np.diff(c.offsets.to_numpy()) for c in got.column("ids").chunks], np.zeros(0, np.int64)]).astype(np.int64)
-    w, b = fit_logistic((flat("ids"), lengths), got.column("toxic").to_numpy().astype(float), (flat("swaps"), flat("sizes")), len(vocabulary), settings)
-    return Model({word: float(w[i]) for word, i in vocabulary.items() if w[i]}, b, settings.threshold, settings.prefixes)
+    ids, swaps, sizes, toxic = flat("ids"), flat("swaps"), flat("sizes"), got.column("toxic").to_numpy().astype(float)
+    del got
+    # the slots in use, one after the other; a swapped word that no row has keeps weight zero
+    used = np.zeros(settings.slots, bool)
+    used[ids] = used[swaps] = True
+    place = np.cumsum(used, dtype=np.int32) - 1
+    w, b = fit_logistic((place[ids], lengths), toxic, (place[swaps], sizes), int(used.sum()), settings)
+    weights = dict(zip(np.flatnonzero(used)[w != 0].tolist(), w[w != 0].tolist(), strict=True))
+    # the names of the features with a weight, which are few
+    names = rows.select(F.explode("words").alias("word")).where(number(F.col("word")).isin(list(weights))).distinct().select("word", number(F.col("word"))).collect() if weights else []
+    drop_path(docs.sparkSession, path)
+    return Model({r[0]: weights[r[1]] for r in names}, b, settings.threshold, settings.prefixes)
 
 
 def score_column(model: Model, text: Column) -> Column:
