@@ -163,7 +163,12 @@ class Scope:
                 return Value({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a.col.cast("bigint"), b.col.cast("bigint")), INTEGER)
             x, y = a.col.cast("decimal(38,18)"), b.col.cast("decimal(38,18)")
             return Value({"+": F.try_add(x, y), "-": F.try_subtract(x, y), "*": product(x, y), "/": ratio(x, y)}[op].try_cast("decimal(38,18)"), DECIMAL)
-        p, q = box(a), box(b)
+        # in a function of its own: the cases are many, and would weigh on the code of a stage
+        pair = F.array(F.struct(box(a).alias("p"), box(b).alias("q")))
+        return Value(F.transform(pair, lambda x: self._boxed_arithmetic(op, x["p"], x["q"]))[0], BOXED)
+
+    @staticmethod
+    def _boxed_arithmetic(op: str, p: Column, q: Column) -> Column:
         both = lambda *names: p["dt"].isin(*names) & q["dt"].isin(*names)
         x, y, u, w = number(p), number(q), exact(p), exact(q)
         approx = {"+": x + y, "-": x - y, "*": x * y, "/": quotient(x, y)}[op]
@@ -175,12 +180,11 @@ class Scope:
         large = {"+": F.try_add(m, n), "-": F.try_subtract(m, n), "*": F.try_multiply(m, n), "/": F.lit(None).cast("decimal(38,0)")}[op].try_cast("decimal(38,0)")
         inexact = p["dt"].isin(XSD + "double", XSD + "float") | q["dt"].isin(XSD + "double", XSD + "float")
         kind = F.when(both(*EXACT, XSD + "float") & inexact, XSD + "float").otherwise(XSD + "double")
-        made = (
+        return (
             F.when(whole & large.isNotNull(), struct(K_LITERAL, large.cast("string"), XSD + "integer"))
             .when(dec.isNotNull(), struct(K_LITERAL, lexical(Value(dec, DECIMAL)), XSD + "decimal"))
             .when(approx.isNotNull() & inexact, struct(K_LITERAL, double_text(approx), kind))
         )
-        return Value(made, BOXED)
 
     def call(self, e: Call) -> Value:
         name = e.name

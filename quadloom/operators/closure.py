@@ -28,7 +28,8 @@ def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
         found = durable(found.unionAll(frontier), "reach")
         for old in before:
             drop(old)
-    drop(frontier)
+    if frontier is not found:
+        drop(frontier)
     return found
 
 
