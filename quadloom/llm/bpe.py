@@ -69,6 +69,7 @@ class Tokenizer:
     remembered: int = 1_000_000
     longest: int = 64
     _cache: dict[str, bytes] = field(default_factory=dict)
+    _older: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
         self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
@@ -116,13 +117,23 @@ class Tokenizer:
         return ids
 
     def _miss(self, piece: str) -> bytes:
+        # a text goes on asking the half that was the younger one when it began
+        if (got := self._cache.get(piece)) is not None:
+            return got
+        if (got := self._older.get(piece)) is not None:
+            self._remember(piece, got)
+            return got
         got = np.array(self.merge(piece.encode()), "<u4").tobytes()
         if len(piece) <= self.longest:
-            if len(self._cache) >= self.remembered:
-                self._cache.clear()
-            self._cache[piece] = got
+            self._remember(piece, got)
         return got
 
+    def _remember(self, piece: str, got: bytes) -> None:
+        """Into the younger half; when it is full the older one goes, so that what is met often stays."""
+        if len(self._cache) * 2 >= self.remembered:
+            self._older, self._cache = self._cache, {}
+        self._cache[piece] = got
+
     def encode_packed(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         get, miss = self._cache.get, self._miss
@@ -160,15 +171,16 @@ class _Told:
         return self.shared.value
 
 
-def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, remembered: int = Tokenizer.remembered) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for); one row per input row.
 
     The rank file is read once by the driver and broadcast; a vocabulary's size does not depend on the
     data. Null text counts as empty: no ids, the digests of no bytes. Pre-tokens of any length are
-    merged in time n log n. Repeated rows are encoded each; other columns are ignored.
+    merged in time n log n. Repeated rows are encoded each; other columns are ignored; an empty table gives
+    no rows. remembered: pre-tokens that a worker keeps, which changes its memory and speed alone.
     """
     ranks = read_ranks(path)
-    told = _Told(docs.sparkSession.sparkContext.broadcast((ranks, pattern)), f"{path} {pattern}")
+    told = _Told(docs.sparkSession.sparkContext.broadcast((ranks, pattern, remembered)), f"{path} {pattern} {remembered}")
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
