@@ -1,36 +1,44 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash keys, bit sketches, and an exact comparison of the texts."""
+"""Near copies by SimHash: wide fingerprints of word shingles, bit-sliced Hamming comparison within keys, and an exact comparison of the texts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-from itertools import repeat
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from itertools import combinations, repeat
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm.common import drop_path, fresh, map_arrow, materialise
 from quadloom.llm.components import connected_components
+from quadloom.llm.simhash import ALL, bit_planes
 
 #: Words of a shingle, and the similarity of near copies as a fraction.
 SHINGLE, SEED, NUMERATOR, DENOMINATOR = 5, 42, 4, 5
-#: 20 keys of 4 minima: a pair at similarity 0.8 shares none with a chance of 0.00003, a closer pair with less.
-BANDS, ROWS, HASHES = 20, 4, 128
-#: Differing bits of 128 up to which a pair is compared; at 0.8 they are 12.8 in the mean, with a deviation of 3.4.
-FAR = 27
+#: Words of 64 bits of a fingerprint. At similarity 0.8 a bit differs with a chance of acos(8/9) / pi = 0.1515.
+WORDS, AGREE = 4, 0.8485
+#: Differing bits up to which a pair is compared, of all 256 (38.8 in the mean at 0.8, deviation 5.7) and of the first 128 (19.4, 4.1).
+FAR, HALF_FAR = 68, 44
+#: Chance with which a pair at similarity 0.8 shares no key; the number of keys follows from it.
+LOST = 0.00003
+#: Up to ALONE sets all meet each other; beyond, keys have 6 bits, and more where a key would hold over BUCKET sets in the mean.
+ALONE, BUCKET = 4096, 4096
 #: Longs of the parity bits: each bit tells whether an odd number of a set's shingles fall on it.
-PARITY = 16
-#: Rounds in which a set meets one set of other components, before all unlinked members of a key meet.
-ROUNDS = 2
+PARITY = 8
+#: Rounds in which a set meets the first set of each of STARS keys, before all unlinked sets of a key meet.
+ROUNDS, STARS = 2, 8
+#: 64-bit words of pairs that one step of the comparison takes.
+STEP = 8192
 
 _random = np.random.default_rng(SEED)
-FLIP, FACTOR = (_random.integers(0, 1 << 64, HASHES, np.uint64) for _ in range(2))
+FLIP, FACTOR = (_random.integers(0, 1 << 64, WORDS, np.uint64) for _ in range(2))
 FACTOR |= np.uint64(1)
-MIX = _random.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -51,35 +59,236 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
     return both * DENOMINATOR >= (len(a) + len(b) - both) * NUMERATOR
 
 
-def minima(own: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, np.iinfo(np.uint64).max)
-    for at in range(0, len(own), 1024):
-        mixed = (own[at : at + 1024, None] ^ FLIP) * FACTOR
-        out = np.minimum(out, (mixed ^ (mixed >> np.uint64(32))).min(0))
-    return out
+def fingerprint(own: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles: bits that over half of their hashes have, in WORDS independent hashes."""
+    counts = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(own), 4096):
+        mixed = (own[at : at + 4096, None] ^ FLIP) * FACTOR
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * FACTOR
+        mixed ^= mixed >> np.uint64(29)
+        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return np.packbits(counts * 2 > len(own), bitorder="little").view(np.uint64)
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    odd = np.bincount((own >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def _without_one(own: np.ndarray) -> list[int]:
+    """Digests that a set of five shares with each of four at similarity 0.8, the one pair so small that bits tell it badly."""
+    some = combinations(own, 4) if len(own) == 5 else [own] if len(own) == 4 else []
+    return [xxhash.xxh64_intdigest(np.array(x).tobytes(), 3) - (1 << 63) for x in some]
 
 
 def _prints(batch: pa.RecordBatch) -> dict:
-    digests, sketches, keys, sizes, parities = [], [], [], [], []
+    digests, sizes, bits, fours = [], [], [], []
     for text in batch.column(2).to_pylist():
         own = shingles(text)
         data = own.tobytes()
         digests.append((xxhash.xxh64_intdigest(data, 1), xxhash.xxh64_intdigest(data, 2)))
         sizes.append(len(own))
-        odd = np.bincount((own >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-        parities.append(np.packbits(odd.astype(bool)).view(np.int64))
-        low = minima(own)
-        sketches.append(np.packbits((low >> np.uint64(40)).astype(np.uint8) & 1).view(np.int64))
-        mixed = (low[: BANDS * ROWS].reshape(BANDS, ROWS) * MIX).sum(1, dtype=np.uint64)
-        keys.append((mixed ^ (mixed >> np.uint64(31))).view(np.int64).tolist() if len(own) else [])
-    digest, sketch, parity = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64), np.array(sketches, np.int64).reshape(-1, 2), np.array(parities, np.int64).reshape(-1, PARITY)
-    out = {"row": batch.column(0), "doc_id": batch.column(1), "d1": digest[:, 0], "d2": digest[:, 1], "size": np.array(sizes, np.int64), "s1": sketch[:, 0], "s2": sketch[:, 1]}
-    return out | {f"p{i}": parity[:, i] for i in range(PARITY)} | {"keys": keys}
-
-
-SKETCH = ("size", *[f"p{i}" for i in range(PARITY)])
-PRINTS = T.StructType([*[T.StructField(n, T.LongType()) for n in ("row", "doc_id", "d1", "d2", "s1", "s2", *SKETCH)], T.StructField("keys", T.ArrayType(T.LongType()))])
+        bits.append(fingerprint(own).tobytes() + parity(own).tobytes())
+        fours.append(_without_one(own))
+    digest = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64)
+    return {"row": batch.column(0), "doc_id": batch.column(1), "d1": digest[:, 0], "d2": digest[:, 1], "size": np.array(sizes, np.int64), "bits": bits, "fours": fours}
+
+
+PRINTS = T.StructType([*[T.StructField(n, T.LongType()) for n in ("row", "doc_id", "d1", "d2", "size")], T.StructField("bits", T.BinaryType()), T.StructField("fours", T.ArrayType(T.LongType()))])
+KEYED = T.StructType([*[T.StructField(n, T.LongType()) for n in ("id", "label", "size")], T.StructField("bits", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+STAR = T.StructType([*LINK.fields, T.StructField("far", T.LongType())])
+
+
+def tables(n: int) -> np.ndarray:
+    """Masks (keys, WORDS) of the bits that the keys of n sets are made of.
+
+    A pair at similarity 0.8 agrees on k bits with a chance of AGREE ** k; there are as many keys as bring the
+    chance of none down to LOST, each of bits of its own as far as they go.
+    """
+    if n <= ALONE:
+        return np.zeros((1, WORDS), np.uint64)
+    k = max(6, ceil(log2(n / BUCKET)))
+    random = np.random.default_rng(SEED)
+    each = 64 * WORDS // k
+    count = ceil(log(LOST) / log(1 - AGREE**k))
+    chosen = np.concatenate([random.permutation(64 * WORDS)[: each * k].reshape(each, k) for _ in range(-(-count // each))])[:count]
+    masks = np.zeros((count, 64 * WORDS), bool)
+    np.put_along_axis(masks, chosen, True, 1)
+    return np.packbits(masks, axis=1, bitorder="little").view(np.uint64)
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), WORDS + PARITY)
+
+
+def _numbered(masks: np.ndarray, which: range) -> Callable:
+    """For map_arrow: each set with its keys, of the tables named."""
+
+    def each(batch: pa.RecordBatch) -> dict:
+        own = _bits(batch.column(3))[:, :WORDS]
+        keys = [[xxhash.xxh64_intdigest(x.tobytes(), t) - (1 << 63) for x in own & masks[t]] for t in which]
+        return {n: batch.column(i) for i, n in enumerate(("id", "label", "size", "bits"))} | {"keys": list(map(list, zip(*keys, strict=True)))}
+
+    return each
+
+
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and carry of three planes."""
+    x = a ^ b
+    return x ^ c, (a & b) | (x & c)
+
+
+def _over(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Bits set where the number in the counter planes (1, 2, 4 ... and one for all beyond) is over the radius."""
+    over, same = counters[-1].copy(), np.full_like(counters[-1], ALL)
+    for level in reversed(range(len(counters) - 1)):
+        if radius >> level & 1:
+            same &= counters[level]
+        else:
+            over |= same & counters[level]
+            same &= ~counters[level]
+    return over
+
+
+def _count(counters: list[np.ndarray], planes: Iterator[np.ndarray], n: int) -> None:
+    """Adds n bit planes, eight at a time, to the numbers in the counter planes."""
+    for _ in range(0, n, 8):
+        ones, twos, fours = counters[:3]
+        two = []
+        for _ in range(4):
+            ones, carry = _add(ones, next(planes), next(planes))
+            two.append(carry)
+        twos, four = _add(twos, two[0], two[1])
+        twos, other = _add(twos, two[2], two[3])
+        fours, carry = _add(fours, four, other)
+        counters[:3] = ones, twos, fours
+        for level in range(3, 7):
+            counters[level], carry = counters[level] ^ carry, counters[level] & carry
+        counters[7] |= carry
+
+
+def close(rows: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the fingerprints within FAR bits, HALF_FAR in the first half; planes: bit planes of the columns.
+
+    Distances of 64 columns at once are counted in vertical counters by carry-save adders, eight planes at a
+    time; half way the blocks of 64 are abandoned that hold nothing within the radius.
+    """
+    flips = np.where(np.unpackbits(np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little").astype(bool), np.uint64(ALL), np.uint64(0))
+    counters = [np.zeros((len(rows), planes.shape[1]), np.uint64) for _ in range(8)]  # 1, 2, 4, 8, 16, 32, 64, and 128 or more
+    half = 32 * WORDS
+    _count(counters, (planes[b] ^ flips[:, b, None] for b in range(half)), half)
+    far = _over(counters, HALF_FAR)
+    row, word = np.nonzero(far != np.uint64(ALL))
+    if not len(row):
+        return row, word
+    far, counters = far[row, word], [c[row, word] for c in counters]
+    _count(counters, (planes[b, word] ^ flips[row, b] for b in range(half, 2 * half)), half)
+    found = ~(far | _over(counters, FAR))
+    which, bit = np.nonzero(np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return row[which], word[which] * 64 + bit
+
+
+def _planes(prints: np.ndarray) -> np.ndarray:
+    """Bit planes of fingerprints (n, WORDS), the first word's bits first."""
+    return np.concatenate([bit_planes(prints[:, i]) for i in range(WORDS)])
+
+
+def possible(bits: np.ndarray, size: np.ndarray, other_bits: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether two sets can be near copies by their sizes and parity bits; this never loses a pair.
+
+    Shingles of one set alone are |x| + |y| - 2 |x & y|, which is at most (|x| + |y|) / 9 at similarity 0.8;
+    so many parity bits differ at most, and so much the sizes.
+    """
+    differing = np.bitwise_count(bits[:, WORDS:] ^ other_bits[:, WORDS:]).sum(1, dtype=np.int64)
+    apart, whole = DENOMINATOR - NUMERATOR, DENOMINATOR + NUMERATOR
+    return np.maximum(differing, np.abs(size - other_size)) * whole <= (size + other_size) * apart
+
+
+def pairs_of_key(label: np.ndarray, size: np.ndarray, bits: np.ndarray, earlier: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members of a key (sorted by label) that are close, possible and of two labels, and share none of the earlier keys."""
+    n, planes = len(label), _planes(bits[:, :WORDS])
+    ends = np.searchsorted(label, label, "right")
+    at = 0
+    while at < n:
+        first = ends[at] if at + 1 < n and ends[at] > at + 1 else at + 1  # columns of the row's own label need no look
+        to = min(n, at + max(1, STEP // max(1, planes.shape[1] - first // 64)))
+        if first > at + 1:
+            to = min(to, ends[at])
+        if first >= n:
+            break
+        i, j = close(bits[at:to, :WORDS], planes[:, first // 64 :])
+        i, j = i + at, j + first // 64 * 64
+        good = (j > i) & (j < n)
+        i, j = i[good], j[good]
+        good = label[i] != label[j]
+        i, j = i[good], j[good]
+        good = possible(bits[i], size[i], bits[j], size[j])
+        i, j = i[good], j[good]
+        good = np.ones(len(i), bool)
+        for mask in earlier:
+            good &= ((bits[i, :WORDS] ^ bits[j, :WORDS]) & mask).any(1)
+        yield i[good], j[good]
+        at = to
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Whole keys of rows sorted by key (key, table, id, label, size, bits)."""
+    kept: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(5)] + [_bits(batch.column(5))]
+        cuts = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            part = [c[start:end] for c in columns]
+            if kept and kept[-1][0][0] != part[0][0]:
+                yield tuple(np.concatenate(c) for c in zip(*kept, strict=True))
+                kept = []
+            kept.append(part)
+    if kept:
+        yield tuple(np.concatenate(c) for c in zip(*kept, strict=True))
+
+
+def _all(masks: np.ndarray) -> Callable:
+    """Pairs (a, b) of each key, in the first of the keys that they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table, ids, label, size, bits in _groups(batches):
+            if label[0] != label[-1]:
+                for i, j in pairs_of_key(label, size, bits, masks[: table[0]]):
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
+        _give_back()
+
+    return run
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each member with the first of its key, where they are close, possible and of two labels; only the first is kept."""
+    first = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, ids, label, size = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
+        bits = _bits(batch.column(5))
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), batch.num_rows]
+        out = []
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if first is None or first[0] != key[start]:
+                first = key[start], ids[start], label[start], size[start], bits[start].copy()
+            _, j = close(first[4][None, :WORDS], _planes(bits[start:end, :WORDS]))
+            j = j[j < end - start] + start
+            j = j[(label[j] != first[2]) & possible(bits[j], size[j], first[4][None], first[3])]
+            out.append((ids[j], np.full(len(j), first[1]), np.bitwise_count(bits[j, :WORDS] ^ first[4][:WORDS]).sum(1, dtype=np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "far"])
+
+
+def _give_back() -> None:
+    """Returns what a worker has freed to the system, as workers live on beside the heap of their executor."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,71 +303,71 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if near(shingles(batch.column(2)[i].as_py()), held):
                 good.append((x, y))
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in good], pa.int64()) for k in (0, 1)], ["a", "b"])
+    _give_back()
 
 
-def _distance(a: str, b: str) -> Column:
-    """MinHash bits in which two sets differ."""
-    return F.bit_count(F.col(f"{a}s1").bitwiseXOR(F.col(f"{b}s1"))) + F.bit_count(F.col(f"{a}s2").bitwiseXOR(F.col(f"{b}s2")))
+#: Row numbers in one bitmap.
+BITMAP = 32768
 
 
-def _possible(x: Column, y: Column) -> Column:
-    """Whether two sets can be near copies by their sizes and parity bits; this never loses a pair.
+def among(rows: DataFrame, name: str, ids: DataFrame) -> tuple[DataFrame, str]:
+    """The rows whose number is one of ids (id, distinct or not), and the path of a table to drop.
 
-    Shingles of one set alone are |x| + |y| - 2 |x & y|, which is at most (|x| + |y|) / 9 at similarity 0.8;
-    so many parity bits differ at most, and so much the sizes.
+    The ids go out as bitmaps, 4 KB for 32,768 rows or a partition, so that no text is moved for being looked at.
     """
-    differing = reduce(Column.__add__, [F.bit_count(x[f"p{i}"].bitwiseXOR(y[f"p{i}"])) for i in range(PARITY)])
-    apart, whole = DENOMINATOR - NUMERATOR, DENOMINATOR + NUMERATOR
-    return F.greatest(F.abs(x["size"] - y["size"]), differing.cast("long")) * whole <= (x["size"] + y["size"]) * apart
+    bits = ids.groupBy(F.expr(f"id div {BITMAP}").alias("near_at")).agg(F.bitmap_construct_agg(F.pmod("id", F.lit(BITMAP))).alias("near_bits"))
+    bits, path = materialise(bits, "near-bitmap")
+    at = F.pmod(F.col(name), F.lit(BITMAP))
+    byte = F.conv(F.hex(F.substring("near_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("near_at", F.expr(f"`{name}` div {BITMAP}")).join(F.broadcast(bits), "near_at")
+    return found.where(F.getbit(byte, F.pmod(F.col(name), F.lit(8)).cast("int")) == 1).drop("near_at", "near_bits"), path
+
+
+def candidates(sets: DataFrame, masks: np.ndarray, nth: int) -> DataFrame:
+    """Pairs (a, b) of labelled sets (id, label, size, bits) to be compared; nth: the round, ROUNDS for all pairs that are left."""
+    last = nth == ROUNDS
+    which = range(len(masks)) if last else range(min(nth * STARS, len(masks)), min((nth + 1) * STARS, len(masks)))
+    keyed = map_arrow(sets.select("id", "label", "size", "bits"), _numbered(masks, which), KEYED)
+    keyed = keyed.select("id", "label", "size", "bits", F.posexplode("keys").alias("table", "key"))
+    keyed = keyed.select("key", F.col("table").cast("long"), "id", "label", "size", "bits").repartition("key")
+    if last:
+        return keyed.sortWithinPartitions("key", "label", "id").mapInArrow(_all(masks), LINK)
+    stars = keyed.sortWithinPartitions(F.col("key"), F.xxhash64("id", F.lit(nth)), F.col("id")).mapInArrow(_stars, STAR)
+    return stars.groupBy("a").agg(F.min(F.struct("far", "b")).alias("c")).select("a", F.col("c.b").alias("b"))
 
 
 def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, component) of the ids of distinct sets (id, s1, s2, sketch, keys) that have near copies; texts: id, text.
-
-    In each round a key names one of its members (another in every round), and each set meets the
-    nearest named set that is not yet in its component, so a round costs the sets that are still to be linked and a
-    large group its size, not its square. Keys whose members are all in one component are done. Sets that
-    end in different components all the same then meet all others of their keys. Only pairs whose
-    sketches allow it are compared, texts that no pair names are not moved, and every link is one of
-    exact similarity.
+    """(node, component) of the ids of distinct sets (id, size, bits, fours) that have near copies; texts: id, text.
+
+    In each of the first rounds each set meets the nearest of the first sets of some of its keys, so that a large
+    group is one component before its members would all meet. Then all sets of a key meet whose components
+    differ. Pairs are compared by their fingerprints first, then by sizes and parity bits, and every link is one
+    of exact similarity; texts that no pair names are not moved.
     """
     spark = sets.sparkSession
-    keyed = sets.select("id", "s1", "s2", F.explode("keys").alias("key"))
-    often, often_path = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-keys")
-    shared, shared_path = materialise(keyed.join(often, "key"), "near-shared")
-    gone, found, components = [often_path, shared_path], None, None
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        of = lambda name, text: texts.select(F.col("id").alias(name), F.col("text").alias(text)).join(pairs.select(name).distinct(), name, "left_semi")
-        both = pairs.join(of("a", "ta"), "a").join(of("b", "tb"), "b").select("a", "b", "ta", "tb")
-        more, path = materialise(both.mapInArrow(_verified, LINK), "near-links")
-        gone.append(path)
-        return more
-
+    masks = tables(sets.count())
+    four = sets.where("size in (4, 5)").select("id", "size", F.explode("fours").alias("four"))
+    five = four.where("size = 5").select(F.col("id").alias("a"), "four").hint("merge")
+    found, path = materialise(five.join(four.where("size = 4").select(F.col("id").alias("b"), "four"), "four").select("a", "b"), "near-links")
+    gone, components = [path], None
     for nth in range(ROUNDS + 1):
-        label = F.col("id")
+        if nth < ROUNDS and len(masks) == 1:
+            continue
+        labelled = sets.where("size >= 4").withColumn("label", F.col("id"))
         if components is not None:
-            shared, label = shared.drop("label").join(components.withColumnRenamed("node", "id"), "id", "left"), F.coalesce("component", "id")
-        shared = shared.select("id", "s1", "s2", "key", label.alias("label"))
-        named = F.min(F.struct(F.xxhash64("id", F.lit(nth)).alias("h"), "id", "s1", "s2", "label")).alias("c")
-        mixed, path = materialise(shared.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), named).where("low <> high").select("key", F.col("c.id").alias("cid"), F.col("c.s1").alias("cs1"), F.col("c.s2").alias("cs2"), F.col("c.label").alias("clabel")), "near-mixed")
-        shared, other = materialise(shared.join(mixed, "key"), "near-shared")
-        gone += [path, other]
-        if nth < ROUNDS:
-            met = shared.withColumn("far", _distance("", "c")).where((F.col("label") != F.col("clabel")) & (F.col("far") <= FAR))
-            pairs = met.groupBy(F.col("id").alias("a")).agg(F.min(F.struct("far", "cid")).alias("c")).select("a", F.col("c.cid").alias("b"))
-        else:
-            left, path = materialise(shared.select("id", "s1", "s2", "key", "label").join(sets.select("id", "sketch"), "id"), "near-left")
-            gone.append(path)
-            other = left.select("key", *[F.col(c).alias(f"o{c}") for c in ("id", "s1", "s2", "sketch", "label")])
-            on = (F.col("id") < F.col("oid")) & (F.col("label") != F.col("olabel")) & (_distance("", "o") <= FAR) & _possible(F.col("sketch"), F.col("osketch"))
-            pairs = left.join(other, "key").where(on).select(F.col("id").alias("a"), F.col("oid").alias("b")).distinct()
-        pairs, path = materialise(pairs, "near-pairs")
+            labelled = labelled.drop("label").join(components.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        pairs, path = materialise(candidates(labelled, masks, nth), "near-pairs")
         gone.append(path)
-        if nth < ROUNDS and pairs.isEmpty():
+        if not pairs.isEmpty():
+            named, path = among(texts, "id", pairs.select(F.explode(F.array("a", "b")).alias("id")))
+            gone.append(path)
+            of = lambda n, text, t=named: t.select(F.col("id").alias(n), F.col("text").alias(text)).hint("merge")
+            both = pairs.join(of("a", "ta"), "a").join(of("b", "tb"), "b").select("a", "b", "ta", "tb")
+            more, path = materialise(both.mapInArrow(_verified, LINK), "near-links")
+            gone.append(path)
+            found = found.unionAll(more)
+        elif nth < ROUNDS:
             continue
-        part = linked(pairs)
-        found = part if found is None else found.unionAll(part)
         components, path = materialise(connected_components(found), "near-components")
         if nth < ROUNDS:
             gone.append(path)
@@ -180,10 +389,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows, _ = materialise(docs.withColumn(name, F.monotonically_increasing_id()), "near-rows")
     prints, prints_path = materialise(map_arrow(rows.select(name, F.col("doc_id").cast("long"), "text"), _prints, PRINTS), "near-prints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("best")
-    sets, sets_path = materialise(prints.groupBy("d1", "d2").agg(best, F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first(F.struct(*SKETCH)).alias("sketch"), F.first("keys").alias("keys")).select(F.col("best.row").alias("id"), "best", "s1", "s2", "sketch", "keys"), "near-sets")
+    one = prints.groupBy("d1", "d2").agg(best, F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fours").alias("fours"))
+    sets, sets_path = materialise(one.select(F.col("best.row").alias("id"), "best", "size", "bits", "fours"), "near-sets")
     components = links(sets, rows.select(F.col(name).alias("id"), "text"))
-    keep = sets.join(components.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("component", "id").alias("c")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(name))
-    keep, _ = materialise(keep, "near-kept")
+    keep = sets.select("id", "best").join(components.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("component", "id").alias("c")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("id"))
+    kept, _ = among(rows, name, keep)
     for path in (prints_path, sets_path):
         drop_path(spark, path)
-    return rows.join(keep, name, "left_semi").select(docs.columns)
+    return kept.select(docs.columns)
