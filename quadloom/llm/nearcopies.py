@@ -31,8 +31,8 @@ LOST = 0.00003
 ALONE, BUCKET = 4096, 4096
 #: Longs of the parity bits: each bit tells whether an odd number of a set's shingles fall on it.
 PARITY = 8
-#: Rounds in which a set meets the first set of each of STARS keys, before all unlinked sets of a key meet.
-ROUNDS, STARS = 2, 8
+#: Keys of a round in which a set meets the nearest set of another component; rounds go on while one links over 1/RARE of the sets.
+STARS, RARE = 8, 20
 #: 64-bit words of pairs that one step of the comparison takes.
 STEP = 8192
 
@@ -95,9 +95,10 @@ def _prints(batch: pa.RecordBatch) -> dict:
 
 
 PRINTS = T.StructType([*[T.StructField(n, T.LongType()) for n in ("row", "doc_id", "d1", "d2", "size")], T.StructField("bits", T.BinaryType()), T.StructField("fours", T.ArrayType(T.LongType()))])
-KEYED = T.StructType([*[T.StructField(n, T.LongType()) for n in ("id", "label", "size")], T.StructField("bits", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+KEYS = T.StructField("keys", T.ArrayType(T.LongType()))
+MET = T.StructType([T.StructField("id", T.LongType())])
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-STAR = T.StructType([*LINK.fields, T.StructField("far", T.LongType())])
+NEAREST = T.StructType([*LINK.fields, T.StructField("far", T.LongType())])
 
 
 def tables(n: int) -> np.ndarray:
@@ -119,16 +120,17 @@ def tables(n: int) -> np.ndarray:
 
 
 def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), WORDS + PARITY)
+    """Longs of the bits of one row or more, with or without parity."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-def _numbered(masks: np.ndarray, which: range) -> Callable:
-    """For map_arrow: each set with its keys, of the tables named."""
+def _numbered(masks: np.ndarray, which: list[int]) -> Callable:
+    """For map_arrow: each set (its bits last) with its keys, of the tables named."""
 
     def each(batch: pa.RecordBatch) -> dict:
-        own = _bits(batch.column(3))[:, :WORDS]
+        own = _bits(batch.column(batch.num_columns - 1))[:, :WORDS]
         keys = [[xxhash.xxh64_intdigest(x.tobytes(), t) - (1 << 63) for x in own & masks[t]] for t in which]
-        return {n: batch.column(i) for i, n in enumerate(("id", "label", "size", "bits"))} | {"keys": list(map(list, zip(*keys, strict=True)))}
+        return dict(zip(batch.schema.names, batch.columns, strict=True)) | {"keys": list(map(list, zip(*keys, strict=True)))}
 
     return each
 
@@ -233,12 +235,13 @@ def pairs_of_key(label: np.ndarray, size: np.ndarray, bits: np.ndarray, earlier:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Whole keys of rows sorted by key (key, table, id, label, size, bits)."""
+    """Whole keys of rows sorted by key, which is the first column; the last one is the bits."""
     kept: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy() for i in range(5)] + [_bits(batch.column(5))]
+        *numbers, bits = batch.columns
+        columns = [c.to_numpy() for c in numbers] + [_bits(bits)]
         cuts = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts, cuts[1:], strict=False):
             part = [c[start:end] for c in columns]
@@ -250,6 +253,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield tuple(np.concatenate(c) for c in zip(*kept, strict=True))
 
 
+NO_KEYS = np.zeros((0, WORDS), np.uint64)
+
+
 def _all(masks: np.ndarray) -> Callable:
     """Pairs (a, b) of each key, in the first of the keys that they share."""
 
@@ -264,24 +270,39 @@ def _all(masks: np.ndarray) -> Callable:
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each member with the first of its key, where they are close, possible and of two labels; only the first is kept."""
-    first = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, ids, label, size = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
-        bits = _bits(batch.column(5))
-        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), batch.num_rows]
-        out = []
-        for start, end in zip(cuts, cuts[1:], strict=False):
-            if first is None or first[0] != key[start]:
-                first = key[start], ids[start], label[start], size[start], bits[start].copy()
-            _, j = close(first[4][None, :WORDS], _planes(bits[start:end, :WORDS]))
-            j = j[j < end - start] + start
-            j = j[(label[j] != first[2]) & possible(bits[j], size[j], first[4][None], first[3])]
-            out.append((ids[j], np.full(len(j), first[1]), np.bitwise_count(bits[j, :WORDS] ^ first[4][:WORDS]).sum(1, dtype=np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "far"])
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of the members (key, id, size, fingerprint) that are close to another of their key, and of a possible size."""
+    for _, ids, size, prints in _groups(batches):
+        met = np.zeros(len(ids), bool)
+        for i, j in pairs_of_key(np.arange(len(ids)), size, prints, NO_KEYS):
+            met[i] = met[j] = True
+        if met.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[met])], ["id"])
+    _give_back()
+
+
+def nearest_of_key(label: np.ndarray, size: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(member, the nearest that pairs_of_key gives it, their differing bits); a number for each member is held, no pairs."""
+    other, least = np.zeros(len(label), np.int64), np.full(len(label), 64 * WORDS + 1)
+    for i, j in pairs_of_key(label, size, bits, NO_KEYS):
+        far = np.bitwise_count(bits[i, :WORDS] ^ bits[j, :WORDS]).sum(1, dtype=np.int64)
+        for x, y in ((i, j), (j, i)):
+            order = np.lexsort((y, far, x))
+            first = order[np.flatnonzero(np.diff(x[order], prepend=-1))]
+            first = first[far[first] < least[x[first]]]
+            least[x[first]], other[x[first]] = far[first], y[first]
+    found = np.flatnonzero(least <= 64 * WORDS)
+    return found, other[found], least[found]
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each member of a key with the nearest of another label, where one is close and possible."""
+    for _, _, ids, label, size, bits in _groups(batches):
+        if label[0] != label[-1]:
+            i, j, far = nearest_of_key(label, size, bits)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(far)], ["a", "b", "far"])
+    _give_back()
 
 
 def _give_back() -> None:
@@ -323,26 +344,43 @@ def among(rows: DataFrame, name: str, ids: DataFrame) -> tuple[DataFrame, str]:
     return found.where(F.getbit(byte, F.pmod(F.col(name), F.lit(8)).cast("int")) == 1).drop("near_at", "near_bits"), path
 
 
-def candidates(sets: DataFrame, masks: np.ndarray, nth: int) -> DataFrame:
-    """Pairs (a, b) of labelled sets (id, label, size, bits) to be compared; nth: the round, ROUNDS for all pairs that are left."""
-    last = nth == ROUNDS
-    which = range(len(masks)) if last else range(min(nth * STARS, len(masks)), min((nth + 1) * STARS, len(masks)))
-    keyed = map_arrow(sets.select("id", "label", "size", "bits"), _numbered(masks, which), KEYED)
-    keyed = keyed.select("id", "label", "size", "bits", F.posexplode("keys").alias("table", "key"))
-    keyed = keyed.select("key", F.col("table").cast("long"), "id", "label", "size", "bits").repartition("key")
-    if last:
-        return keyed.sortWithinPartitions("key", "label", "id").mapInArrow(_all(masks), LINK)
-    stars = keyed.sortWithinPartitions(F.col("key"), F.xxhash64("id", F.lit(nth)), F.col("id")).mapInArrow(_stars, STAR)
-    return stars.groupBy("a").agg(F.min(F.struct("far", "b")).alias("c")).select("a", F.col("c.b").alias("b"))
+def _keyed(sets: DataFrame, masks: np.ndarray, which: list[int]) -> DataFrame:
+    """(key, table, and the columns of sets, their bits last), a row for each set and table named, a key in one task."""
+    schema = T.StructType([*sets.schema.fields, KEYS])
+    keyed = map_arrow(sets, _numbered(masks, which), schema).select("*", F.posexplode("keys").alias("table", "key"))
+    return keyed.select("key", F.col("table").cast("long"), *sets.columns).repartition("key")
+
+
+def not_alone(sets: DataFrame, masks: np.ndarray) -> tuple[DataFrame, list[str]]:
+    """The sets that are close to another one in some key, and the paths of tables to drop.
+
+    Only they can be near copies. Fingerprints go to the keys alone, without parity bits, a third as long; what
+    is left is few enough to go there with them, again and again.
+    """
+    prints = sets.select("id", "size", F.substring("bits", 1, 8 * WORDS).alias("bits"))
+    met = _keyed(prints, masks, list(range(len(masks)))).drop("table").sortWithinPartitions("key", "id").mapInArrow(_met, MET)
+    some, path = among(sets, "id", met)
+    some, some_path = materialise(some, "near-met")
+    return some, [path, some_path]
+
+
+def candidates(sets: DataFrame, masks: np.ndarray, nth: int | None) -> DataFrame:
+    """Pairs (a, b) of labelled sets (id, label, size, bits) to be compared; nth: the round, None for all pairs that are left."""
+    which = list(range(len(masks))) if nth is None else [(nth * STARS + x) % len(masks) for x in range(min(STARS, len(masks)))]
+    keyed = _keyed(sets.select("id", "label", "size", "bits"), masks, which).sortWithinPartitions("key", "label", "id")
+    if nth is None:
+        return keyed.mapInArrow(_all(masks), LINK)
+    return keyed.mapInArrow(_nearest, NEAREST).groupBy("a").agg(F.min(F.struct("far", "b")).alias("c")).select(F.least("a", "c.b").alias("a"), F.greatest("a", "c.b").alias("b")).distinct()
 
 
 def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, component) of the ids of distinct sets (id, size, bits, fours) that have near copies; texts: id, text.
 
-    In each of the first rounds each set meets the nearest of the first sets of some of its keys, so that a large
-    group is one component before its members would all meet. Then all sets of a key meet whose components
-    differ. Pairs are compared by their fingerprints first, then by sizes and parity bits, and every link is one
-    of exact similarity; texts that no pair names are not moved.
+    Sets that no key brings close to another are left out first. Then, in rounds, each set meets the nearest set
+    of another component in some of its keys, so that a group is one component before its members would all
+    meet: a round has no more pairs than sets. At last all sets of a key meet whose components differ. Pairs are
+    compared by their fingerprints first, then by sizes and parity bits, and every link is one of exact
+    similarity; texts that no pair names are not moved.
     """
     spark = sets.sparkSession
     masks = tables(sets.count())
@@ -350,14 +388,17 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     five = four.where("size = 5").select(F.col("id").alias("a"), "four").hint("merge")
     found, path = materialise(five.join(four.where("size = 4").select(F.col("id").alias("b"), "four"), "four").select("a", "b"), "near-links")
     gone, components = [path], None
-    for nth in range(ROUNDS + 1):
-        if nth < ROUNDS and len(masks) == 1:
-            continue
-        labelled = sets.where("size >= 4").withColumn("label", F.col("id"))
+    some, nth = sets.where("size >= 4").select("id", "size", "bits"), None
+    if len(masks) > 1:
+        some, paths = not_alone(some, masks)
+        gone, n, nth = gone + paths, some.count(), 0
+    while True:
+        labelled = some.withColumn("label", F.col("id"))
         if components is not None:
             labelled = labelled.drop("label").join(components.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
         pairs, path = materialise(candidates(labelled, masks, nth), "near-pairs")
         gone.append(path)
+        linked = 0
         if not pairs.isEmpty():
             named, path = among(texts, "id", pairs.select(F.explode(F.array("a", "b")).alias("id")))
             gone.append(path)
@@ -365,12 +406,14 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
             both = pairs.join(of("a", "ta"), "a").join(of("b", "tb"), "b").select("a", "b", "ta", "tb")
             more, path = materialise(both.mapInArrow(_verified, LINK), "near-links")
             gone.append(path)
-            found = found.unionAll(more)
-        elif nth < ROUNDS:
-            continue
-        components, path = materialise(connected_components(found), "near-components")
-        if nth < ROUNDS:
+            found, linked = found.unionAll(more), more.count()
+        if linked or nth is None:
+            components, path = materialise(connected_components(found), "near-components")
+        if nth is None:
+            break
+        if linked:
             gone.append(path)
+        nth = nth + 1 if linked * RARE > n else None
     for path in gone:
         drop_path(spark, path)
     return components

@@ -71,3 +71,52 @@ def test_near_copies_go_by_keys(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert got == kept(rows)
+
+
+def test_nearest_of_a_key(monkeypatch):
+    monkeypatch.setattr(nearcopies, "STEP", 4)
+    rng = np.random.default_rng(6)
+    bits = np.repeat(rng.integers(0, 1 << 64, (1, 12), np.uint64), 300, 0)
+    bits[:, :4] ^= np.packbits(rng.random((300, 256)) < 0.11, axis=1).view(np.uint64)
+    label, size = np.sort(rng.integers(0, 9, 300) * rng.integers(0, 2, 300)), np.full(300, 50)
+    far = np.bitwise_count(bits[:, None, :4] ^ bits[None, :, :4])
+    good = (far.sum(2) <= nearcopies.FAR) & (far[:, :, :2].sum(2) <= nearcopies.HALF_FAR) & (label[:, None] != label[None])
+    least = np.where(good, far.sum(2, dtype=np.int64), 999).min(1)
+    i, j, d = nearcopies.nearest_of_key(label, size, bits)
+    assert i.tolist() == np.flatnonzero(least < 999).tolist() and d.tolist() == least[i].tolist()
+    assert good[i, j].all() and (far.sum(2)[i, j] == d).all()
+
+
+def test_pairs_grow_with_the_sets_and_not_with_the_square_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "ALONE", 0)
+    counts, own = [], nearcopies.candidates
+
+    def counted(*args):
+        pairs = own(*args)
+        counts.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(nearcopies, "candidates", counted)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    now, texts = [word() for _ in range(1500)], []
+    for at in rng.sample(range(1500), 300):  # each is a near copy of some 30 before it, and of no more
+        now[at] = word()
+        texts.append(" ".join(now))
+    texts += [" ".join(word() for _ in range(200)) for _ in range(100)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert got == {0, *range(300, 400)}
+    assert max(counts) <= 2 * 300
+
+
+def test_sets_far_from_all_others_go_to_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "ALONE", 0)
+    seen, own = [], nearcopies.candidates
+    monkeypatch.setattr(nearcopies, "candidates", lambda sets, *args: seen.append(sets.count()) or own(sets, *args))
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    texts = [" ".join(word() for _ in range(150)) for _ in range(200)]
+    rows = list(enumerate(texts + [t + " end" for t in texts[:20]]))
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert got == set(range(200)) and set(seen) == {40}
