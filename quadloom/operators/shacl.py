@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions.expressions import java_regex
-from quadloom.functions.terms import BOXED, K_BNODE, K_IRI, K_LITERAL, K_TRIPLE, NATIVE, Kind, Value, box, boxed_constant, constant, equal, less, nt_text, parse_nt, same_term, struct
+from quadloom.functions.terms import BOX, BOXED, K_BNODE, K_IRI, K_LITERAL, K_TRIPLE, NATIVE, Kind, Value, box, boxed_constant, constant, equal, less, nt_text, parse_nt, same_term, struct
 from quadloom.plans.durable import durable
 from quadloom.plans.engine import Engine
 from quadloom.plans.solution import Solution, column_name, join, left_join, semi_join, union
@@ -633,19 +633,28 @@ def report_graph(engine: Engine, shapes_text: str, prefixes: dict[str, str] | No
     spark, report = engine.spark, struct(K_BNODE, "report")
     told: list = []
     paths = {path_text(s.path): _path_node(s.path, told) for s in shapes.shapes.values() if s.path is not None}
-    nodes = spark.createDataFrame([(text, term_text(node)) for text, node in paths.items()] or [("", "")], "path string, node string")
-    messages = [(n.v if isinstance(n, IRI) else f"_:{n.v}", term_text(m)) for n, f in shapes.facts.items() for m in f.get(SH + "message", [])]
-    said = spark.createDataFrame(messages or [("", "")], "shape string, message string")
+    # both looked up in literals: a join by so few keys would bring the results of a path together in one task
+    nodes = _looked_up(F.col("path"), {text: boxed_constant(node) for text, node in paths.items()}, BOX)
+    messages = {n.v if isinstance(n, IRI) else f"_:{n.v}": F.array(*[boxed_constant(m) for m in dict.fromkeys(f[SH + "message"])]) for n, f in shapes.facts.items() if SH + "message" in f}
+    said = _looked_up(F.col("shape"), messages, f"array<{BOX}>")
     node = struct(K_BNODE, F.concat(F.lit("r"), F.md5(F.concat_ws("\u0001", *[F.coalesce(c, F.lit("\u0002")) for c in found.columns]))))
-    results = found.withColumn("r", node).join(nodes, "path", "left")
+    results = found.withColumn("r", node)
     shape = F.when(F.col("shape").startswith("_:"), struct(K_BNODE, F.substring("shape", 3, 1 << 30))).otherwise(boxed_iri(F.col("shape")))
-    facts = [(RDF + "type", struct(K_IRI, SH + "ValidationResult")), (SH + "focusNode", parse_nt(F.col("focus"))), (SH + "resultPath", parse_nt(F.col("node"))), (SH + "value", parse_nt(F.col("value"))), (SH + "sourceConstraintComponent", boxed_iri(F.col("component"))), (SH + "sourceShape", shape), (SH + "resultSeverity", boxed_iri(F.col("severity")))]
+    facts = [(RDF + "type", struct(K_IRI, SH + "ValidationResult")), (SH + "focusNode", parse_nt(F.col("focus"))), (SH + "resultPath", nodes), (SH + "value", parse_nt(F.col("value"))), (SH + "sourceConstraintComponent", boxed_iri(F.col("component"))), (SH + "sourceShape", shape), (SH + "resultSeverity", boxed_iri(F.col("severity")))]
     each = results.select("r", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in facts])).alias("x")).select(F.lit("").alias("g"), F.col("r").alias("s"), "x.p", "x.o")
-    texts = results.join(said, "shape").select(F.lit("").alias("g"), F.col("r").alias("s"), F.lit(SH + "resultMessage").alias("p"), parse_nt(F.col("message")).alias("o"))
+    texts = results.select(F.lit("").alias("g"), F.col("r").alias("s"), F.lit(SH + "resultMessage").alias("p"), F.explode(said).alias("o"))
     links = results.select(F.lit("").alias("g"), report.alias("s"), F.lit(SH + "result").alias("p"), F.col("r").alias("o"))
     broken = found if disallows is None else found.where(F.col("severity").isin(*disallows))
     head = quads_frame(spark, [(None, Triple(BNode("report"), IRI(RDF + "type"), IRI(SH + "ValidationReport"))), (None, Triple(BNode("report"), IRI(SH + "conforms"), Lit(str(broken.isEmpty()).lower(), XSD + "boolean")))] + told)
-    return each.where("o is not null").unionByName(texts).unionByName(links).unionByName(head).distinct()
+    # the results are a set and each names its own node, so no quad comes twice
+    return each.where("o is not null").unionByName(texts).unionByName(links).unionByName(head)
+
+
+def _looked_up(key: Column, told: dict[str, Column], kind: str) -> Column:
+    """What ``told``, which the driver holds, has for the key; null if nothing."""
+    if not told:
+        return F.lit(None).cast(kind)
+    return F.try_element_at(F.create_map(*[x for k, v in told.items() for x in (F.lit(k), v)]), key)
 
 
 def _path_node(p, told: list):

@@ -131,6 +131,17 @@ def test_report(more):
     assert view.ask("ASK { ?r sh:conforms true }")
 
 
+def test_report_joins_nothing_by_few_keys(more):
+    """Paths and messages of a report are few: a join by them would bring its results together in few tasks."""
+    text = ":S sh:targetClass :P ; sh:property [ sh:path :friend ; sh:message 'no' , 'nein'@de , 'no' ; sh:maxCount 0 ] , [ sh:path :n ; sh:minCount 1 ] ."
+    report = shacl.report_graph(more, text)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert report.count() == report.distinct().count()
+    told = Engine(QuadGraph(report), P).select("SELECT ?p ?m { ?r sh:resultPath ?p OPTIONAL { ?r sh:resultMessage ?m } }", lexical_forms=True)
+    assert {tuple(r) for r in told.collect()} == {("http://e/friend", "no"), ("http://e/friend", "nein"), ("http://e/n", None)}
+
+
 def test_each_and_evaluate(more, engine):
     found = shacl.validate_each({"one": more, "two": engine}, ":S sh:targetSubjectsOf :age ; sh:property [ sh:path :age ; sh:maxInclusive 6 ] .", P).collect()
     assert sorted((r.data, r.focus) for r in found) == [("one", "<http://e/v>"), ("two", "<http://e/b>")]
