@@ -522,7 +522,12 @@ class Engine:
             b = self._path(p.b, graph, zero=zero, seeds=reached)
             first = {n: a.value("o" if n == middle else n) for n in ["s", middle, *ends[2:]]}
             then = {n: b.value("s" if n == middle else n) for n in [middle, *ends[1:]]}
-            return join(a.select(first, set(first)), b.select(then, set(then))).keep(ends)
+            pairs = join(a.select(first, set(first)), b.select(then, set(then))).keep(ends)
+            if start is not None and isinstance(p.b, Mod):
+                # a closure from one end is a table already; so are these pairs, as their size is to be known when what
+                # they join is planned: few keys would bring the other side together in few tasks
+                pairs = Solution(durable(pairs.df, "path"), pairs.kinds, pairs.certain)
+            return pairs
         if isinstance(p, NegSet):
             every = self._from(start, step(Var("p"), start)) if start is not None and not p.has_inverse else step(Var("p"))
             parts = []

@@ -174,6 +174,22 @@ def _has(df, s, p, o):
     return not df.where(f"s.v = 'http://e/{s}' and p like '%{p}' and o.v = 'http://e/{o}'").isEmpty()
 
 
+def test_query_time_entailment_brings_nothing_together_by_predicates(spark):
+    """The predicates of a domain or range are few: a shuffle by them would put the triples of one into one task."""
+    data = ":a :p :b . :c :q 1 . :d a :Low . :q rdfs:subPropertyOf :p . :p rdfs:domain :Low ; rdfs:range :Low . :Low rdfs:subClassOf :High ."
+    quads = QuadGraph.of(spark, parse_turtle(data, P)).quads
+    e = Engine(QuadGraph(spark.createDataFrame(quads.collect(), quads.schema)), P, entailment="RDFS")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = e.select("SELECT DISTINCT ?x { ?x a :High }", lexical_forms=True)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert {r.x for r in found.where("x like 'http%'").collect()} == {"http://e/a", "http://e/b", "http://e/c", "http://e/d"}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 3
+
+
 def test_rdfs(spark):
     got = entailment.rdfs_closure(_triples(spark, ":A rdfs:subClassOf :B . :B rdfs:subClassOf :C . :p rdfs:subPropertyOf :q . :q rdfs:domain :D ; rdfs:range :E . :x a :A ; :p :y , 5 .")).persist()
     assert all(_has(got, *t) for t in (("x", "type", "C"), ("x", "/q", "y"), ("x", "type", "D"), ("y", "type", "E"), ("A", "subClassOf", "C")))
