@@ -192,10 +192,17 @@ DURATIONS = (XSD + "duration", XSD + "dayTimeDuration", XSD + "yearMonthDuration
 
 def duration(b: Column) -> Column:
     """(months, seconds) of a duration; null if it is none."""
-    part = lambda i: F.coalesce(F.regexp_extract(b["v"], DURATION, i).try_cast("decimal(28,9)"), F.lit(0))
-    sign = F.when(b["v"].startswith("-"), -1).otherwise(1)
-    months, seconds = part(2) * 12 + part(3), part(4) * 86400 + part(5) * 3600 + part(6) * 60 + part(7)
-    return F.when((b["k"] == K_LITERAL) & b["dt"].isin(*DURATIONS) & b["v"].rlike(DURATION), F.struct((months * sign).cast("decimal(38,9)").alias("months"), (seconds * sign).cast("decimal(38,9)").alias("seconds")))
+    # one match gives all parts behind a mark, which no text that is left as it is begins with; each begins with a zero,
+    # as a cast of nothing to a number throws and catches, which costs more than all the rest
+    told = F.when((b["k"] == K_LITERAL) & b["dt"].isin(*DURATIONS) & (b["v"].startswith("P") | b["v"].startswith("-P")), F.regexp_replace(b["v"], DURATION, "=$1,0$2,0$3,0$4,0$5,0$6,0$7,"))
+
+    def made(parts: Column) -> Column:
+        part = lambda i: F.coalesce(F.get(parts, F.lit(i)).try_cast("decimal(28,9)"), F.lit(0))
+        sign = F.when(F.get(parts, F.lit(0)) == "=-", -1).otherwise(1)
+        months, seconds = part(1) * 12 + part(2), part(3) * 86400 + part(4) * 3600 + part(5) * 60 + part(6)
+        return F.when(F.get(parts, F.lit(0)).isin("=", "=-"), F.struct((months * sign).cast("decimal(38,9)").alias("months"), (seconds * sign).cast("decimal(38,9)").alias("seconds")))
+
+    return F.get(F.transform(F.array(F.split(told, ",")), made), F.lit(0))
 
 
 def instant(b: Column) -> Column:
@@ -274,18 +281,20 @@ def _seldom(p: Column, q: Column) -> Column:
 
 
 def _apart(p: Column, q: Column, compare) -> Column:
-    """A comparison that is seldom reached, inside a function of its own so that it does not weigh on the code of a stage."""
-    return F.transform(F.array(F.struct(p.alias("p"), q.alias("q"))), lambda x: compare(x["p"], x["q"]))[0]
+    """A comparison that is seldom reached, inside a function of its own so that it does not weigh on the code of a stage.
+
+    ``compare`` gets the digits and durations of both, each made once a row.
+    """
+    made = F.transform(F.array(F.struct(p.alias("p"), q.alias("q"))), lambda x: F.struct(digits(x["p"]).alias("x"), digits(x["q"]).alias("y"), duration(x["p"]).alias("u"), duration(x["q"]).alias("w")))
+    return F.transform(made, lambda m: compare(m["x"], m["y"], m["u"], m["w"]))[0]
 
 
-def _seldom_equal(p: Column, q: Column) -> Column:
-    return F.coalesce(digits(p) == digits(q), duration(p) == duration(q))
+def _seldom_equal(x: Column, y: Column, u: Column, w: Column) -> Column:
+    return F.coalesce(x == y, u == w)
 
 
-def _seldom_less(p: Column, q: Column) -> Column:
-    u, w = duration(p), duration(q)
+def _seldom_less(x: Column, y: Column, u: Column, w: Column) -> Column:
     # months and seconds cannot be compared with each other
-    x, y = digits(p), digits(q)
     return F.when(x.isNotNull() & y.isNotNull(), _below(x, y)).otherwise(F.when(u["months"] == w["months"], u["seconds"] < w["seconds"]).when(u["seconds"] == w["seconds"], u["months"] < w["months"]))
 
 
